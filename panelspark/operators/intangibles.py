@@ -22,6 +22,7 @@ from ..functions.columns import (
     sic_rate,
     zero_if_null,
 )
+from ..session import materialize
 from .dedup import keep_last
 from .panel import (
     add_anchor_rows,
@@ -116,7 +117,7 @@ def founding_year(panel: DataFrame, company: DataFrame, founding: DataFrame, key
 def attach_sic_rates(df: DataFrame, sic: str = "sich", delta: str = "theta_g2",
                      gamma: str = "gamma_o2") -> DataFrame:
     """Industry rates from the SIC code (generated CASE over fixed ranges; no join)."""
-    return df.withColumn(delta, sic_rate(sic, "delta")).withColumn(gamma, sic_rate(sic, "gamma"))
+    return df.withColumns({delta: sic_rate(sic, "delta"), gamma: sic_rate(sic, "gamma")})
 
 
 # --------------------------------------------------------------------------- W8
@@ -139,7 +140,7 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
                       exclude: Sequence = (), pivot_year: int = RD_PIVOT_YEAR,
                       age_mode: str = "as_coded", zero_mode: str = "as_coded",
                       lag: int = FOUNDING_LAG_YEARS, key: str = "gvkey", year: str = "fyear",
-                      keep_intermediate: bool = False) -> DataFrame:
+                      keep_intermediate: bool = False, checkpoint: bool = True) -> DataFrame:
     """Knowledge and organisational capital stocks per firm-year.
 
     ``funda``: key, year, datadate, assets, xsga, xrd, rdip, cogs (+ optional sich).
@@ -169,6 +170,9 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     # 6. data-row counter, age since IPO
     f = f.withColumn("count", (F.row_number().over(_firm(k).orderBy(y, "datadate")) - 1).cast("long"))
     f = f.withColumn("ageipo", (F.col(y) - F.year("ipodate")).cast("int"))
+    if checkpoint:
+        # fan-out: four growth aggregates and the rest of the job read this
+        f = materialize(f.repartition(k))
     # 7. growth rates (global, small) -- before step 8's fills
     g_rd = growth_by_age(f, "xrd", k).select(F.col("age").alias("ageipo"), F.col("grate").alias("grate_xrd"))
     g_sga = growth_by_age(f, "xsga", k).select(F.col("age").alias("ageipo"), F.col("grate").alias("grate_xsga"))
@@ -201,6 +205,9 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     data_row = F.col("count").isNotNull()
     est = founding_estimate(F.col("listed"), F.col("firstcomp"), F.year("ipodate"), lag)
     f = f.withColumn("__fy", F.min_by(F.when(data_row, est), F.when(data_row & est.isNotNull(), F.col(y))).over(w))
+    if checkpoint:
+        # fan-out: founding rows are derived from this frame and unioned back into it
+        f = materialize(f)
     # 13. founding-year row, dedup (real rows win), densify, back-fill firm constants
     found_rows = (f.groupBy(k).agg(F.max("__fy").alias(y), F.min("cusip").alias("cusip"))
                    .where(F.col(y).isNotNull()).withColumn("__src", F.lit(2)))

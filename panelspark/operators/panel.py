@@ -55,7 +55,7 @@ def nearest_fill(df: DataFrame, key, order, col: str, when: Column | None = None
     donor = F.when(x.isNotNull(), F.struct(F.col("__rn").alias("rn"), x.alias("v")))
     prev = F.last(donor, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     nxt = F.first(donor, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    tagged = tagged.withColumn("__prev", prev).withColumn("__next", nxt)
+    tagged = tagged.withColumns({"__prev": prev, "__next": nxt})
     p, n, r = F.col("__prev"), F.col("__next"), F.col("__rn")
     pick = (F.when(p.isNull(), n.v)
             .when(n.isNull(), p.v)
@@ -64,7 +64,8 @@ def nearest_fill(df: DataFrame, key, order, col: str, when: Column | None = None
     flag = x.isNull() if when is None else (x.isNull() & when)
     if era is not None:
         flag = flag & era
-    return tagged.withColumn(out, F.when(flag, pick).otherwise(x)).drop("__rn", "__prev", "__next")
+    keep = [c for c in df.columns if c != out]
+    return tagged.select(*keep, F.when(flag, pick).otherwise(x).alias(out)).select(*df.columns, *([] if out in df.columns else [out]))
 
 
 # --------------------------------------------------------------------------- W3

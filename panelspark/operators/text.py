@@ -24,7 +24,12 @@ MIN_SECTION_CHARS = 10000
 # the same pattern means the same thing to Java regex and to RE2.
 WS = r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NON_WS = WS.replace("[", "[^", 1)
+# the same class without the newline: runs of it never cross a paragraph break
+WS_INLINE = WS.replace(r"\t\n", r"\t", 1)
 SENTENCE_BREAK = r"(?<=[.!?])" + WS + "+"
+# the same set as literal characters, for trimming without a regex
+WS_CHARS = ("\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 
 
 # --------------------------------------------------------------------------- F16, F17, A13
@@ -89,11 +94,17 @@ def chunk_array(text: str | Column, sep: str = "\n", cap: int = CHUNK_CAP) -> Co
     """Paragraphs (split on ``sep``) with whitespace runs collapsed; paragraphs
     longer than ``cap`` characters split at sentence ends; blank chunks dropped."""
     t = F.col(text) if isinstance(text, str) else text
-    paras = F.transform(F.split(t, _regex_literal(sep), -1),
-                        lambda p: F.regexp_replace(p, WS + "{2,}", " "))
+    if sep == "\n":
+        # one pass over the whole text: whitespace runs never span a newline,
+        # so this equals collapsing inside each paragraph
+        paras = F.split(F.regexp_replace(t, WS_INLINE + "{2,}", " "), "\n", -1)
+    else:
+        paras = F.transform(F.split(t, _regex_literal(sep), -1),
+                            lambda p: F.regexp_replace(p, WS + "{2,}", " "))
     pieces = F.flatten(F.transform(
         paras, lambda p: F.when(F.length(p) > cap, F.split(p, SENTENCE_BREAK, -1)).otherwise(F.array(p))))
-    return F.filter(pieces, lambda c: c.rlike(NON_WS))
+    # blank = only whitespace: trimming the literal whitespace set leaves nothing
+    return F.filter(pieces, lambda c: F.length(F.btrim(c, F.lit(WS_CHARS))) > 0)
 
 
 def chunk_docs(df: DataFrame, key: str | Sequence[str], text: str, sep: str = "\n",

@@ -9,7 +9,6 @@ and no per-dimension explode is needed.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -28,22 +27,35 @@ class HashingEncoder:
     """Deterministic bag-of-words feature hashing, L2-normalised.
 
     A stand-in for a sentence encoder (no model weights ship with the source):
-    lower-cased word tokens are hashed (CRC-32) to a dimension and a sign.
-    Any object with ``dim`` and ``encode(list[str]) -> ndarray[n, dim]`` can
-    replace it.
+    lower-cased word tokens are hashed to a dimension and a sign. One call per
+    Arrow batch: tokens of the whole batch are hashed at once
+    (``pandas.util.hash_array``, fixed key, so stable across processes) and
+    scattered with ``bincount``. Any object with ``dim`` and
+    ``encode(list[str]) -> ndarray[n, dim]`` can replace it.
     """
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
+        import itertools
         import re
-        out = np.zeros((len(texts), self.dim), dtype=np.float64)
-        tok = re.compile(r"\w+", re.UNICODE)
-        for i, t in enumerate(texts):
-            for w in tok.findall(t.lower()):
-                h = zlib.crc32(w.encode("utf-8"))
-                out[i, h % self.dim] += 1.0 if (h >> 31) & 1 == 0 else -1.0
+
+        n, dim = len(texts), self.dim
+        tok = re.compile(r"\w+")
+        toks = [tok.findall(t.lower()) if t else [] for t in texts]
+        lens = np.fromiter((len(t) for t in toks), dtype=np.int64, count=n)
+        total = int(lens.sum())
+        out = np.zeros(n * dim, dtype=np.float64)
+        if total:
+            flat = np.empty(total, dtype=object)
+            flat[:] = list(itertools.chain.from_iterable(toks))
+            h = pd.util.hash_array(flat)
+            slot = (h % np.uint64(dim)).astype(np.int64)
+            sign = np.where((h >> np.uint64(63)) == 0, 1.0, -1.0)
+            rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+            out = np.bincount(rows * dim + slot, weights=sign, minlength=n * dim)
+        out = out.reshape(n, dim)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         np.divide(out, norms, out=out, where=norms > 0)
         return out
@@ -53,30 +65,47 @@ _ENCODERS: dict = {}
 
 
 def _get_encoder(factory: Callable[[], object]):
-    # built once per Python worker process, reused for every batch
-    enc = _ENCODERS.get(id(factory))
+    # built once per Python worker process (keyed by the factory's name, which
+    # survives pickling), reused for every batch and task
+    key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
+    enc = _ENCODERS.get(key)
     if enc is None:
         enc = factory()
-        _ENCODERS[id(factory)] = enc
+        _ENCODERS[key] = enc
     return enc
 
 
 def embed_chunks(df: DataFrame, text: str = "chunk", out: str = "vec",
-                 factory: Callable[[], object] | None = None) -> DataFrame:
-    """Encode each row's ``text`` to a unit vector (array<float>) with ``mapInPandas`` (V3)."""
+                 factory: Callable[[], object] | None = None, keep_text: bool = True) -> DataFrame:
+    """Encode each row's ``text`` to a unit vector (array<float>) (V3).
+
+    ``mapInArrow``: record batches go to the Python worker and come back as
+    Arrow arrays (the vectors are built as one flat float buffer plus offsets),
+    with no pandas round trip per row. ``keep_text=False`` drops the text from
+    the output so it is not shipped back.
+    """
+    import pyarrow as pa
+
     factory = factory or HashingEncoder
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.FloatType()))])
+    fields = [f for f in df.schema.fields if keep_text or f.name != text]
+    schema = T.StructType(fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
+    names = [f.name for f in fields]
 
     def run(batches):
         enc = _get_encoder(factory)
-        for pdf in batches:
-            if len(pdf) == 0:
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
                 continue
-            vecs = enc.encode(pdf[text].tolist()).astype(np.float32)
-            pdf[out] = list(vecs)
-            yield pdf
+            texts = rb.column(rb.schema.get_field_index(text)).to_pylist()
+            vecs = np.ascontiguousarray(enc.encode(texts), dtype=np.float32)
+            dim = vecs.shape[1]
+            offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+            arr = pa.ListArray.from_arrays(offsets, pa.array(vecs.reshape(-1)))
+            cols = [rb.column(rb.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays(cols + [arr], names=names + [out])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def pool_vectors(df: DataFrame, key: str | Sequence[str], vector: str, weight: str | None = None,
@@ -123,7 +152,7 @@ def embed_docs(df: DataFrame, key: str, fields: dict[str, str], factory: Callabl
         F.struct(F.lit(out).alias("field"), F.col(src).alias("text")) for src, out in fields.items()
     ])).alias("__f")).select(key, "__f.field", "__f.text")
     chunks = chunk_docs(melted, [key, "field"], "text", sep, cap)
-    vecs = embed_chunks(chunks.select(key, "field", "chunk", "n_chars"), "chunk", "vec", factory)
+    vecs = embed_chunks(chunks.select(key, "field", "chunk", "n_chars"), "chunk", "vec", factory, keep_text=False)
     pooled = pool_vectors(vecs, [key, "field"], "vec", "n_chars", out="vec")
     wide = pooled.groupBy(key).pivot("field", list(fields.values())).agg(F.first("vec"))
     return df.select(key).join(wide, key, "left")

@@ -16,7 +16,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "8192",
 }
 
 
@@ -60,3 +60,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location (never a machine-local tmp)."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage at a fan-out point: a reliable checkpoint written under the
+    cluster's ``spark.checkpoint.dir`` (never ``localCheckpoint``: a lost
+    executor would lose the only copy). Later stages read the written files, so
+    the upstream plan runs once and a retry does not replay it."""
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    # persist first: the eager checkpoint runs one job to count and another to
+    # write the files; without the cache the whole upstream plan would run twice
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
