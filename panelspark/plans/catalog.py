@@ -885,3 +885,25 @@ rec as (
 select gvkey, fyear, round(k, {ROUND_STOCKS}) as kcap_v2, round(o, {ROUND_STOCKS}) as ocap_v2 from rec where cnt is not null"""
 
 SQL["intangible_stocks"] = JOB_C_SQL
+
+
+# =========================================================================== streaming
+
+@query("sections_stream", SQL["sections"])
+def q_sections_stream(spark, d):
+    """Section extraction as a file-source stream over landed page files
+    (``availableNow``); the result must equal the batch query."""
+    from pyspark.sql import types as T
+
+    from ..streaming.incremental import incremental_sections
+
+    base = scratch_path(spark, "sections_stream")
+    pages = V.table(spark, d, "pages").select("page_id", "url", "html")
+    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
+                           T.StructField("html", T.StringType())])
+    pages.repartition(4).write.mode("overwrite").parquet(f"{base}/in")
+    incremental_sections(spark, f"{base}/in", schema, "page_id", "html", SECTION_PATTERNS,
+                         f"{base}/ok", f"{base}/err", f"{base}/_checkpoint", require=ENGLISH_PAGE,
+                         max_files_per_trigger=2)
+    ok = spark.read.parquet(f"{base}/ok").drop("batch")
+    return _section_summary(ok)
