@@ -203,3 +203,19 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     na = F.sqrt(dot(a, a))
     nb = F.sqrt(dot(b, b))
     return F.when((na > 0) & (nb > 0), dot(a, b) / (na * nb))
+
+
+# --------------------------------------------------------------------------- F24, F25
+
+# Fixed value: the public archive prefix the source put before a filing's path.
+FILING_ARCHIVE_BASE = "https://www.sec.gov/Archives/"
+
+
+def filing_url(path: str | Column, base: str = FILING_ARCHIVE_BASE) -> Column:
+    """Absolute URL of a filing from its archive path."""
+    return F.concat(F.lit(base), col_(path).cast("string"))
+
+
+def capture(c: str | Column, pattern: str, group: int = 1) -> Column:
+    """Regex capture, e.g. the file name after a folder (F25); '' when there is no match."""
+    return F.regexp_extract(col_(c), pattern, group)

@@ -23,6 +23,7 @@ from ..functions.columns import (
     zero_if_null,
 )
 from ..session import materialize
+from ..sources.io import require_columns
 from .dedup import keep_last
 from .panel import (
     add_anchor_rows,
@@ -150,6 +151,9 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     if age_mode not in ("as_coded", "recomputed"):
         raise ValueError("age_mode must be 'as_coded' or 'recomputed'")
     k, y = key, year
+    require_columns(funda, [k, y, "datadate", "assets", "xsga", "xrd", "rdip", "cogs"])
+    require_columns(company, [k, "sic", "ipodate", "cusip", "seq"])
+    require_columns(founding, ["cusip", "founding"])
     # 1. company attributes, SIC fallback, exclusions, first accounts year, missing-assets flag
     comp = company.select(k, "sic", "ipodate", "cusip", "seq")
     f = funda.join(comp, k, "left")

@@ -100,3 +100,26 @@ def test_incremental_map_and_unprocessed(spark, tmp_dir):
     assert out.count() == text.chunk_docs(docs, "doc_id", "text").count()
     done = out.select("doc_id").distinct()
     assert incremental.unprocessed(docs, done, "doc_id").count() == docs.where(F.length("text") == 0).count()
+
+
+def test_founding_sheet_and_file_order(spark, tmp_dir):
+    p = f"{tmp_dir}/founding.csv"
+    with open(p, "w") as fh:
+        fh.write("CUSIP,offer date,Founding,Unused\n12345678,19990101,1980,x\n87654321,20010101,-99,y\n")
+    f = io.read_founding(spark, p)
+    assert f.columns == ["cusip", "offer_date", "founding"]
+    assert [r.founding for r in f.orderBy("cusip").collect()] == [1980, -99]
+    import time
+    for i in range(2):
+        spark.range(3).write.mode("append").parquet(f"{tmp_dir}/parts")
+        time.sleep(1.1)
+    parts = io.read_parts(spark, f"{tmp_dir}/parts")
+    names = [r.file_name for r in parts.groupBy("file_name").agg(F.min("file_mtime").alias("t")).orderBy("t").collect()]
+    assert len(names) >= 2   # oldest first (O3)
+
+
+def test_url_and_capture(spark):
+    from panelspark.functions import columns as C
+    df = spark.createDataFrame([("edgar/data/1/0001.txt", "raw/items1_a_7/chunk3.parquet")], "p string, f string")
+    r = df.select(C.filing_url("p").alias("u"), C.capture("f", r"items1_a_7/(.*)").alias("n")).first()
+    assert r.u == "https://www.sec.gov/Archives/edgar/data/1/0001.txt" and r.n == "chunk3.parquet"
