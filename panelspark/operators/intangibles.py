@@ -34,7 +34,10 @@ from .panel import (
     linear_recurrence,
     nearest_fill,
     pivot_zero_fill,
+    row_index,
 )
+from . import segmented
+from .segmented import hot_key_rows
 
 # Founding-list codes that mean "unknown", the code that means
 # 2013, the years subtracted from the IPO year to estimate founding, the
@@ -52,22 +55,30 @@ def growth_by_age(df: DataFrame, value: str, key: str = "gvkey", age: str = "age
                   ages: tuple[int, int] | None = None) -> DataFrame:
     """Mean log growth of ``value`` by age over key-rows with both values > 0 (A3).
 
-    Self-join on (key, age) = (key, prev age + 1) -- not ``lag``: duplicate ages
-    multiply and age gaps do not match. ``ages`` restricts the ages (inclusive);
-    by default 1 .. max(age), like the source's loop. Output (age, n, grate).
+    The source merged the rows of age ``a`` with the rows of age ``a - 1`` of the
+    same key (duplicates multiply, age gaps do not match) and averaged
+    ``log x - log x_prev`` over all those pairs. The pairs are never formed here:
+    per (key, age) we keep the count ``n`` and the sum of logs ``S`` (a partial
+    aggregate), join age ``a`` to age ``a - 1`` one row to one row, and use
+    ``sum(n_prev * S - n * S_prev) / sum(n * n_prev)`` -- the same mean. ``ages``
+    restricts the ages (inclusive); by default 1 .. max(age), like the source's
+    loop. Output (age, n, grate) with ``n`` the number of pairs.
     """
-    cur = df.select(F.col(key), F.col(age).alias("__age"), F.col(value).alias("__x"))
+    pos = df.where(F.col(value) > 0)
+    per = pos.groupBy(F.col(key), F.col(age).cast("int").alias("__age")).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(F.log(F.col(value))).alias("__s"))
+    cur = per
     if ages is None:
         cur = cur.where(F.col("__age") >= 1)
     else:
         cur = cur.where(F.col("__age").between(*ages))
-    cur = cur.where(F.col("__x") > 0)
-    prev = (df.select(F.col(key), (F.col(age) + 1).alias("__age"), F.col(value).alias("__xp"))
-              .where(F.col("__xp") > 0))
+    prev = per.select(F.col(key), (F.col("__age") + 1).alias("__age"),
+                      F.col("__n").alias("__np"), F.col("__s").alias("__sp"))
     pairs = cur.join(prev, [key, "__age"], "inner")
-    return (pairs.groupBy(F.col("__age").cast("int").alias("age"))
-                 .agg(F.count(F.lit(1)).alias("n"),
-                      F.avg(F.log(F.col("__x")) - F.log(F.col("__xp"))).alias("grate")))
+    num = F.col("__np").cast("double") * F.col("__s") - F.col("__n").cast("double") * F.col("__sp")
+    den = F.col("__n") * F.col("__np")
+    return (pairs.groupBy(F.col("__age").alias("age"))
+                 .agg(F.sum(den).alias("n"), (F.sum(num) / F.sum(den).cast("double")).alias("grate")))
 
 
 def growth_pre(df: DataFrame, value: str, key: str = "gvkey", age: str = "ageipo") -> DataFrame:
@@ -141,12 +152,20 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
                       exclude: Sequence = (), pivot_year: int = RD_PIVOT_YEAR,
                       age_mode: str = "as_coded", zero_mode: str = "as_coded",
                       lag: int = FOUNDING_LAG_YEARS, key: str = "gvkey", year: str = "fyear",
-                      keep_intermediate: bool = False, checkpoint: bool = True) -> DataFrame:
+                      keep_intermediate: bool = False, checkpoint: bool = True,
+                      segments: int | str | None = "auto") -> DataFrame:
     """Knowledge and organisational capital stocks per firm-year.
 
     ``funda``: key, year, datadate, assets, xsga, xrd, rdip, cogs (+ optional sich).
     ``company``: key, sic, ipodate, cusip, seq. ``founding``: cusip, founding.
     Returns (key, year, kcap_v2, ocap_v2) for rows that came from data.
+
+    Steps 1-9 run on the raw accounts, where one firm could hold many rows;
+    ``segments='auto'`` measures the largest firm once and, above
+    ``segmented.HOT_ROWS`` rows, switches those steps to the two-level scans
+    (``segments`` = 64) so no task holds a whole firm. From step 10 on the panel is
+    unique on (firm, year) by construction, so per-firm groups are bounded by the
+    calendar span.
     """
     if age_mode not in ("as_coded", "recomputed"):
         raise ValueError("age_mode must be 'as_coded' or 'recomputed'")
@@ -154,6 +173,9 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     require_columns(funda, [k, y, "datadate", "assets", "xsga", "xrd", "rdip", "cogs"])
     require_columns(company, [k, "sic", "ipodate", "cusip", "seq"])
     require_columns(founding, ["cusip", "founding"])
+    if segments == "auto":
+        segments = 64 if hot_key_rows(funda, [k]) > segmented.HOT_ROWS else None
+    seg = segments or None
     # 1. company attributes, SIC fallback, exclusions, first accounts year, missing-assets flag
     comp = company.select(k, "sic", "ipodate", "cusip", "seq")
     f = funda.join(comp, k, "left")
@@ -161,18 +183,21 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     f = f.withColumn("sich", sich.cast("int")).drop("sic")
     if exclude:
         f = f.where(~F.col(k).isin(list(exclude)))
-    f = f.withColumn("firstcomp", F.min(y).over(_firm(k)).cast("int"))
+    if seg:
+        f = f.join(f.groupBy(k).agg(F.min(y).cast("int").alias("firstcomp")), k, "left")
+    else:
+        f = f.withColumn("firstcomp", F.min(y).over(_firm(k)).cast("int"))
     f = f.where(F.col(y).isNotNull())
     f = f.withColumn("atnan", F.col("assets").isNull().cast("int"))
     by_date = [F.col("datadate"), F.col(y)]
     # 2-3. nearest fill where assets are missing: SG&A all years, R&D from the pivot year
-    f = nearest_fill(f, k, by_date, "xsga", when=F.col("atnan") == 1)
-    f = nearest_fill(f, k, by_date, "xrd", when=F.col("atnan") == 1, era=F.col(y) >= pivot_year)
+    f = nearest_fill(f, k, by_date, "xsga", when=F.col("atnan") == 1, segments=seg)
+    f = nearest_fill(f, k, by_date, "xrd", when=F.col("atnan") == 1, era=F.col(y) >= pivot_year, segments=seg)
     # 4. pivot-year rule; 5. SG&A net of R&D
-    f = pivot_zero_fill(f, k, y, "xrd", pivot_year)
+    f = pivot_zero_fill(f, k, y, "xrd", pivot_year, segments=seg)
     f = f.withColumn("xsga", net_sga("xsga", "xrd", "rdip", "cogs"))
     # 6. data-row counter, age since IPO
-    f = f.withColumn("count", (F.row_number().over(_firm(k).orderBy(y, "datadate")) - 1).cast("long"))
+    f = row_index(f, k, [F.col(y), F.col("datadate")], "count", segments=seg)
     f = f.withColumn("ageipo", (F.col(y) - F.year("ipodate")).cast("int"))
     if checkpoint:
         # fan-out: four growth aggregates and the rest of the job read this
@@ -184,9 +209,14 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     pre_sga = growth_pre(f, "xsga", k).select(F.col("grate_pre").alias("pre_xsga"))
     # 8. before the pivot year, nearest fill of R&D for firms whose pivot-year R&D is > 0
     w = _firm(k)
-    pivot_pos = F.min_by(F.col("xrd"), F.when(F.col(y) == pivot_year, F.col("datadate"))).over(w) > 0
+    pivot_val = F.min_by(F.col("xrd"), F.when(F.col(y) == pivot_year, F.col("datadate")))
+    if seg:
+        f = f.join(f.groupBy(k).agg(pivot_val.alias("__p8")), k, "left")
+    else:
+        f = f.withColumn("__p8", pivot_val.over(w))
     f = nearest_fill(f, k, [F.col(y), F.col("datadate")], "xrd",
-                     when=F.coalesce(pivot_pos, F.lit(False)), era=F.col(y) <= pivot_year)
+                     when=F.coalesce(F.col("__p8") > 0, F.lit(False)), era=F.col(y) <= pivot_year,
+                     segments=seg).drop("__p8")
     # 9. remaining nulls -> 0
     f = f.withColumn("xsga", zero_if_null("xsga")).withColumn("xrd", zero_if_null("xrd"))
     # 10. IPO-year rows for firms with a positive age, keep-last dedup, densify

@@ -8,6 +8,11 @@ range frame) and every ordering carries a full tie-break.
 
 Operators that share ``partitionBy(key)`` reuse one hash partitioning, so a
 chain of them costs one shuffle.
+
+For tables where one key may hold a large share of the rows, the scan
+operators take ``segments=N``: the key is then range-split over N partitions
+and scanned in two levels (``segmented.segmented_scan``), so no task holds a
+whole key. Results are identical; the cost is one extra shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segmented import segmented_scan
+
 
 def _cols(xs) -> list[Column]:
     xs = [xs] if isinstance(xs, (str, Column)) else list(xs)
@@ -29,15 +36,22 @@ def _w(key, order, extra_partition: Sequence[Column] = ()):
 
 # --------------------------------------------------------------------------- W1
 
-def row_index(df: DataFrame, key, order, out: str = "count") -> DataFrame:
+def _names(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def row_index(df: DataFrame, key, order, out: str = "count", segments: int | None = None) -> DataFrame:
     """Running row number from 0 within each key."""
+    if segments:
+        t = segmented_scan(df, _names(key), _cols(order), segments)
+        return t.withColumn(out, (F.col("__rn") - 1).cast("long")).drop("__rn")
     return df.withColumn(out, (F.row_number().over(_w(key, order)) - 1).cast("long"))
 
 
 # --------------------------------------------------------------------------- W2
 
 def nearest_fill(df: DataFrame, key, order, col: str, when: Column | None = None,
-                 era: Column | None = None, out: str | None = None) -> DataFrame:
+                 era: Column | None = None, out: str | None = None, segments: int | None = None) -> DataFrame:
     """Fill flagged null values from the nearest non-null value of the same key.
 
     Distance is counted in rows in ``order``; a tie goes to the previous value;
@@ -48,14 +62,23 @@ def nearest_fill(df: DataFrame, key, order, col: str, when: Column | None = None
     """
     out = out or col
     x = F.col(col)
-    extra = [era] if era is not None else []
-    w = _w(key, order, extra)
-    rn = F.row_number().over(w)
-    tagged = df.withColumn("__rn", rn)
-    donor = F.when(x.isNotNull(), F.struct(F.col("__rn").alias("rn"), x.alias("v")))
-    prev = F.last(donor, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    nxt = F.first(donor, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    tagged = tagged.withColumns({"__prev": prev, "__next": nxt})
+    if segments:
+        keys = _names(key)
+        base = df
+        if era is not None:
+            base, keys = df.withColumn("__era", era), keys + ["__era"]
+        tagged = segmented_scan(base, keys, _cols(order), segments, prev={"__prev": x}, nxt={"__next": x})
+        if era is not None:
+            tagged = tagged.drop("__era")
+    else:
+        extra = [era] if era is not None else []
+        w = _w(key, order, extra)
+        rn = F.row_number().over(w)
+        tagged = df.withColumn("__rn", rn)
+        donor = F.when(x.isNotNull(), F.struct(F.col("__rn").alias("rn"), x.alias("v")))
+        prev = F.last(donor, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        nxt = F.first(donor, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        tagged = tagged.withColumns({"__prev": prev, "__next": nxt})
     p, n, r = F.col("__prev"), F.col("__next"), F.col("__rn")
     pick = (F.when(p.isNull(), n.v)
             .when(n.isNull(), p.v)
@@ -70,9 +93,15 @@ def nearest_fill(df: DataFrame, key, order, col: str, when: Column | None = None
 
 # --------------------------------------------------------------------------- W3
 
-def bfill(df: DataFrame, key, order, cols: Sequence[str] | str, suffix: str = "") -> DataFrame:
+def bfill(df: DataFrame, key, order, cols: Sequence[str] | str, suffix: str = "",
+          segments: int | None = None) -> DataFrame:
     """Backward fill per key: next non-null value at or after the row."""
     cols = [cols] if isinstance(cols, str) else list(cols)
+    if segments:
+        nx = {f"__bf{i}": F.col(c) for i, c in enumerate(cols)}
+        t = segmented_scan(df, _names(key), _cols(order), segments, nxt=nx)
+        t = t.withColumns({c + suffix: F.coalesce(F.col(c), F.col(f"__bf{i}.v")) for i, c in enumerate(cols)})
+        return t.drop("__rn", *nx)
     w = _w(key, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     for c in cols:
         df = df.withColumn(c + suffix, F.first(F.col(c), ignorenulls=True).over(w))
@@ -81,16 +110,21 @@ def bfill(df: DataFrame, key, order, cols: Sequence[str] | str, suffix: str = ""
 
 # --------------------------------------------------------------------------- W4
 
-def densify_years(df: DataFrame, key, year: str = "fyear", src: str | None = None) -> DataFrame:
+def densify_years(df: DataFrame, key, year: str = "fyear", src: str | None = None,
+                  segments: int | None = None) -> DataFrame:
     """One row per year from each key's first to last year; a gap year copies the
     whole previous row, its nulls included (W4).
 
     ``explode(sequence(year, next_year - 1))`` -- no calendar table and no join;
     the only shuffle is the window's partitioning by key.
     """
-    w = _w(key, year)
-    nxt = F.lead(F.col(year)).over(w)
-    out = df.withColumn("__to", F.coalesce(nxt - 1, F.col(year)))
+    if segments:
+        t = segmented_scan(df, _names(key), [F.col(year)], segments, nxt={"__ny": F.col(year)})
+        out = t.withColumn("__to", F.coalesce(F.col("__ny.v") - 1, F.col(year))).drop("__rn", "__ny")
+    else:
+        w = _w(key, year)
+        nxt = F.lead(F.col(year)).over(w)
+        out = df.withColumn("__to", F.coalesce(nxt - 1, F.col(year)))
     if src:
         out = out.withColumn(src, F.col(year))
     return (out.withColumn(year, F.explode(F.sequence(F.col(year), F.col("__to"))))
@@ -108,7 +142,7 @@ def add_anchor_rows(df: DataFrame, anchors: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- F12, A9
 
 def pivot_zero_fill(df: DataFrame, key, year: str, col: str, pivot_year: int,
-                    out: str | None = None) -> DataFrame:
+                    out: str | None = None, segments: int | None = None) -> DataFrame:
     """R&D pivot-year rule.
 
     From the pivot year on, null -> 0. Before it, null -> 0 only if the key has
@@ -116,20 +150,28 @@ def pivot_zero_fill(df: DataFrame, key, year: str, col: str, pivot_year: int,
     from "value is null".
     """
     out = out or col
-    w = Window.partitionBy(*_cols(key))
     y, x = F.col(year), F.col(col)
-    has_pivot = F.max(F.when(y == pivot_year, F.lit(1))).over(w)
-    # the first pivot-year row in the frame's order decides (a panel has one)
-    pivot_val = F.min_by(x, F.when(y == pivot_year, F.lit(0))).over(w)
+    has_pivot = F.max(F.when(y == pivot_year, F.lit(1)))
+    # the pivot-year row decides (a panel has one)
+    pivot_val = F.min_by(x, F.when(y == pivot_year, F.lit(0)))
+    if segments:
+        # per-key facts as a partial aggregate joined back: no task holds a whole key
+        facts = df.groupBy(*_names(key)).agg(has_pivot.alias("__hp"), pivot_val.alias("__pv"))
+        df = df.join(facts, _names(key), "left")
+        has_pivot, pivot_val = F.col("__hp"), F.col("__pv")
+    else:
+        w = Window.partitionBy(*_cols(key))
+        has_pivot, pivot_val = has_pivot.over(w), pivot_val.over(w)
     pivot_zero = (has_pivot == 1) & (pivot_val.isNull() | (pivot_val == 0))
     fill = x.isNull() & ((y >= pivot_year) | ((y < pivot_year) & pivot_zero))
-    return df.withColumn(out, F.when(fill, F.lit(0.0)).otherwise(x))
+    res = df.withColumn(out, F.when(fill, F.lit(0.0)).otherwise(x))
+    return res.drop("__hp", "__pv") if segments else res
 
 
 # --------------------------------------------------------------------------- W5
 
 def backcast_rates(df: DataFrame, key, order, level: str, logv: str, rate: str,
-                   out: str | None = None) -> DataFrame:
+                   out: str | None = None, segments: int | None = None) -> DataFrame:
     """Age-rate backcast in logs.
 
     For a row whose ``level`` is null, take the next row ``v`` with a level and
@@ -138,12 +180,19 @@ def backcast_rates(df: DataFrame, key, order, level: str, logv: str, rate: str,
     ``log x_v - (C_v - C_t)`` -- two window passes, linear in rows.
     """
     out = out or logv
-    w = _w(key, order)
-    c_run = F.sum(F.coalesce(F.col(rate), F.lit(0.0))).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = df.withColumn("__C", c_run)
-    donor = F.when(F.col(level).isNotNull(), F.struct(F.col(logv).alias("lg"), F.col("__C").alias("c")))
-    t = t.withColumn("__nx", F.first(donor, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    if segments:
+        keys, oc = _names(key), _cols(order)
+        t = segmented_scan(df, keys, oc, segments, sums={"__C": F.col(rate)}).drop("__rn")
+        donor = F.when(F.col(level).isNotNull(), F.struct(F.col(logv).alias("lg"), F.col("__C").alias("c")))
+        t = segmented_scan(t, keys, oc, segments, nxt={"__nx": donor}).drop("__rn")
+        t = t.withColumn("__nx", F.col("__nx.v"))
+    else:
+        w = _w(key, order)
+        c_run = F.sum(F.coalesce(F.col(rate), F.lit(0.0))).over(
+            w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        t = df.withColumn("__C", c_run)
+        donor = F.when(F.col(level).isNotNull(), F.struct(F.col(logv).alias("lg"), F.col("__C").alias("c")))
+        t = t.withColumn("__nx", F.first(donor, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
     filled = F.col("__nx.lg") - (F.col("__nx.c") - F.col("__C"))
     return (t.withColumn(out, F.when(F.col(level).isNull(), filled).otherwise(F.col(logv)))
              .drop("__C", "__nx"))
@@ -152,18 +201,23 @@ def backcast_rates(df: DataFrame, key, order, level: str, logv: str, rate: str,
 # --------------------------------------------------------------------------- W6
 
 def backcast_constant(df: DataFrame, key, order, logv: str, rate: Column | float,
-                      out: str | None = None) -> DataFrame:
+                      out: str | None = None, segments: int | None = None) -> DataFrame:
     """Constant-rate backcast of null logs: ``log x_t = log x_v - s * (rows from t to v)``.
 
     ``v`` is the next row with a non-null log; null when there is none. Closed
     form of the source's step-by-step descent.
     """
     out = out or logv
-    w = _w(key, order)
     s = rate if isinstance(rate, Column) else F.lit(float(rate))
-    t = df.withColumn("__rn", F.row_number().over(w))
-    donor = F.when(F.col(logv).isNotNull(), F.struct(F.col(logv).alias("lg"), F.col("__rn").alias("rn")))
-    t = t.withColumn("__nx", F.first(donor, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    if segments:
+        t = segmented_scan(df, _names(key), _cols(order), segments, nxt={"__d": F.col(logv)})
+        t = t.withColumn("__nx", F.when(F.col("__d").isNotNull(), F.struct(
+            F.col("__d.v").alias("lg"), F.col("__d.rn").alias("rn")))).drop("__d")
+    else:
+        w = _w(key, order)
+        t = df.withColumn("__rn", F.row_number().over(w))
+        donor = F.when(F.col(logv).isNotNull(), F.struct(F.col(logv).alias("lg"), F.col("__rn").alias("rn")))
+        t = t.withColumn("__nx", F.first(donor, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
     filled = F.col("__nx.lg") - s * (F.col("__nx.rn") - F.col("__rn")).cast("double")
     return (t.withColumn(out, F.when(F.col(logv).isNull(), filled).otherwise(F.col(logv)))
              .drop("__rn", "__nx"))
