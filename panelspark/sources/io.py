@@ -113,24 +113,28 @@ def with_row_number(df: DataFrame, order: Sequence[str], out: str = "row_no",
                     partitions: int | None = None) -> DataFrame:
     """Global 0-based row number in ``order`` without a single-partition window.
 
-    Range-partition on the order, number rows inside each partition, then add
-    each partition's offset (a running sum over one count per partition -- a
-    table the size of the partition count, broadcast back). This is what
-    ``zipWithIndex`` does, in DataFrame form. ``order`` must be unique.
+    Rows are cut into ordered buckets at split points of the first order column
+    (``percentile_approx``, a partial aggregate; a bucket is the number of split
+    points at or below the value, a pure function of the row, so every
+    re-execution agrees). Rows are numbered inside each bucket; each bucket's
+    offset is a running sum over one count per bucket -- a table of at most
+    ``partitions`` rows, broadcast back. ``order`` must be unique.
     """
     order = list(order)
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                .withColumn("__pid", F.spark_partition_id())
-                .withColumn("__pos", F.monotonically_increasing_id()))
-    # position inside the partition = id - (partition index << 33)
-    ranged = ranged.withColumn("__pos", F.col("__pos") - F.shiftleft(F.col("__pid").cast("long"), 33))
-    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    return (ranged.join(F.broadcast(offsets), "__pid")
-                  .withColumn(out, (F.col("__off") + F.col("__pos")).cast("long"))
-                  .drop("__pid", "__pos", "__off"))
+    first = F.col(order[0])
+    qs = [i / n for i in range(1, n)]
+    splits = df.agg(F.percentile_approx(first, qs, 10000).alias("__q"))
+    # one-row split table (a global aggregate): broadcast, joined on a constant key
+    b = df.withColumn("__one", F.lit(1)).join(F.broadcast(splits.withColumn("__one", F.lit(1))), "__one")
+    b = b.withColumn("__b", F.size(F.filter("__q", lambda q: q <= first))).drop("__q", "__one")
+    b = b.withColumn("__pos", F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1)
+    counts = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    return (b.join(F.broadcast(offsets), "__b")
+             .withColumn(out, (F.col("__off") + F.col("__pos")).cast("long"))
+             .drop("__b", "__pos", "__off"))
 
 
 def row_chunks(df: DataFrame, order: Sequence[str], rows: int = ROWS_PER_PART, out: str = "chunk",
