@@ -108,6 +108,74 @@ def embed_chunks(df: DataFrame, text: str = "chunk", out: str = "vec",
     return df.mapInArrow(run, schema)
 
 
+def embed_pooled(chunks: DataFrame, keys: Sequence[str], text: str = "chunk", weight: str = "n_chars",
+                 out: str = "vec", factory: Callable[[], object] | None = None) -> DataFrame:
+    """Encode chunks and pool them per key in one Arrow pass (V3 + V4).
+
+    ``chunks`` must come straight from ``chunk_docs`` (``posexplode``), so the
+    chunks of one key are consecutive inside one task; the pass keeps a running
+    weighted sum per key, carried across Arrow batch boundaries, and emits one
+    L2-normalised vector per key (null for a zero vector). Chunk vectors never
+    become rows and pooling needs no shuffle. Memory is one vector per open key.
+    """
+    import pyarrow as pa
+
+    factory = factory or HashingEncoder
+    keys = list(keys)
+    key_fields = [chunks.schema[k] for k in keys]
+    schema = T.StructType(key_fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        enc = _get_encoder(factory)
+        done_keys, done_vecs = [], []
+        cur, acc = None, None
+
+        def flush():
+            if cur is not None:
+                nrm = float(np.sqrt((acc * acc).sum()))
+                done_keys.append(cur)
+                done_vecs.append((acc / nrm).tolist() if nrm > 0 else None)
+
+        def emit():
+            cols = [pa.array([k[i] for k in done_keys], type=pa.from_numpy_dtype(np.int64)
+                             if isinstance(key_fields[i].dataType, T.LongType) else None)
+                    for i in range(len(keys))]
+            rb = pa.RecordBatch.from_arrays(cols + [pa.array(done_vecs, type=pa.list_(pa.float64()))],
+                                            names=keys + [out])
+            done_keys.clear()
+            done_vecs.clear()
+            return rb
+
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            kcols = [rb.column(rb.schema.get_field_index(k)).to_pylist() for k in keys]
+            kk = list(zip(*kcols))
+            vecs = enc.encode(rb.column(rb.schema.get_field_index(text)).to_pylist())
+            w = np.asarray(rb.column(rb.schema.get_field_index(weight)).to_numpy(zero_copy_only=False),
+                           dtype=np.float64)
+            # float32 like the stored vectors, then pooled in double
+            wv = vecs.astype(np.float32).astype(np.float64) * w[:, None]
+            start = 0
+            for i in range(1, len(kk) + 1):
+                if i == len(kk) or kk[i] != kk[start]:
+                    part = wv[start:i].sum(axis=0)
+                    psum = w[start:i].sum()
+                    if kk[start] == cur:
+                        acc, wsum = acc + part, wsum + psum
+                    else:
+                        flush()
+                        cur, acc, wsum = kk[start], part, psum
+                    start = i
+            if done_keys:
+                yield emit()
+        flush()
+        if done_keys:
+            yield emit()
+
+    return chunks.select(*keys, text, weight).mapInArrow(run, schema)
+
+
 def pool_vectors(df: DataFrame, key: str | Sequence[str], vector: str, weight: str | None = None,
                  out: str = "vec") -> DataFrame:
     """Weighted mean of the vectors per key, then L2-normalised.
@@ -144,15 +212,19 @@ def embed_docs(df: DataFrame, key: str, fields: dict[str, str], factory: Callabl
     """Embed several text columns per document in one pass (V3, V5).
 
     ``fields`` maps a text column to its output column (e.g. text -> embfull,
-    item1 -> emb1). The columns are melted to (key, field, text), chunked,
-    encoded, pooled per (key, field) weighted by chunk length, and pivoted back
-    with a fixed value list (no extra pass to discover the pivot values).
+    item1 -> emb1). The columns are melted to (key, field, text), chunked in the
+    JVM, encoded and pooled per (key, field) weighted by chunk length in one
+    Arrow pass (``embed_pooled``), and pivoted back with a fixed value list (no
+    extra pass to discover the pivot values).
     """
+    # Encoding costs far more CPU per byte than a shuffle, so spread documents
+    # evenly by key first (AQE still sizes the partitions): upstream joins or
+    # large files can leave the text in a handful of partitions.
+    df = df.repartition(F.col(key))
     melted = df.select(key, F.explode(F.array(*[
         F.struct(F.lit(out).alias("field"), F.col(src).alias("text")) for src, out in fields.items()
     ])).alias("__f")).select(key, "__f.field", "__f.text")
     chunks = chunk_docs(melted, [key, "field"], "text", sep, cap)
-    vecs = embed_chunks(chunks.select(key, "field", "chunk", "n_chars"), "chunk", "vec", factory, keep_text=False)
-    pooled = pool_vectors(vecs, [key, "field"], "vec", "n_chars", out="vec")
+    pooled = embed_pooled(chunks, [key, "field"], "chunk", "n_chars", "vec", factory)
     wide = pooled.groupBy(key).pivot("field", list(fields.values())).agg(F.first("vec"))
     return df.select(key).join(wide, key, "left")
