@@ -250,12 +250,10 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     f = densify_years(f, k, y)
     f = bfill(f, k, [y], ["firstcomp", "ipodate"])
     # 14. constant-rate backcast of the remaining null logs
-    # (each pre-IPO rate is a one-row global aggregate: a proven size bound, so it
-    # is broadcast and attached by an equi-join on a constant key; an all-null
-    # rate adds nothing, as a NaN sum did in the source)
-    one = F.lit(1).alias("__one")
-    pre = pre_rd.select(one, "pre_xrd").join(pre_sga.select(one, "pre_xsga"), "__one")
-    f = f.withColumn("__one", F.lit(1)).join(F.broadcast(pre), "__one", "left").drop("__one")
+    # each pre-IPO rate is a one-row global aggregate, attached as a scalar
+    # subquery (computed once, no join); an all-null rate adds nothing, as a
+    # NaN sum did in the source
+    f = f.withColumns({"pre_xrd": pre_rd.scalar(), "pre_xsga": pre_sga.scalar()})
     f = backcast_constant(f, k, [y], "logxrd", F.coalesce(F.col("pre_xrd"), F.lit(0.0)))
     f = backcast_constant(f, k, [y], "logxsga", F.coalesce(F.col("pre_xsga"), F.lit(0.0)))
     # 15. back to levels

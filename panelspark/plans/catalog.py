@@ -526,9 +526,9 @@ from (select *,
             from panel) u) w""")
 def q_backcast_pre(spark, d):
     p = _aged_panel(spark, d)
-    s = I.growth_pre(p, "xsga").select(F.lit(1).alias("__one"), F.coalesce("grate_pre", F.lit(0.0)).alias("__s"))
-    # one-row global aggregate: broadcast, attached by an equi-join on a constant key
-    p = p.withColumn("__one", F.lit(1)).join(F.broadcast(s), "__one", "left")
+    s = I.growth_pre(p, "xsga").select(F.coalesce("grate_pre", F.lit(0.0)))
+    # one-row global aggregate, attached as a scalar subquery (no join)
+    p = p.withColumn("__s", s.scalar())
     p = p.withColumn("logxsga", I.guarded_log("xsga"))
     p = P.backcast_constant(p, "gvkey", ["fyear"], "logxsga", F.col("__s"))
     return p.select("gvkey", "fyear", r("logxsga").alias("logxsga"))

@@ -125,9 +125,9 @@ def with_row_number(df: DataFrame, order: Sequence[str], out: str = "row_no",
     first = F.col(order[0])
     qs = [i / n for i in range(1, n)]
     splits = df.agg(F.percentile_approx(first, qs, 10000).alias("__q"))
-    # one-row split table (a global aggregate): broadcast, joined on a constant key
-    b = df.withColumn("__one", F.lit(1)).join(F.broadcast(splits.withColumn("__one", F.lit(1))), "__one")
-    b = b.withColumn("__b", F.size(F.filter("__q", lambda q: q <= first))).drop("__q", "__one")
+    # the split points are a one-row global aggregate: a scalar subquery, no join
+    b = df.withColumn("__q", splits.scalar())
+    b = b.withColumn("__b", F.size(F.filter("__q", lambda q: q <= first))).drop("__q")
     b = b.withColumn("__pos", F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1)
     counts = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
