@@ -47,6 +47,8 @@ FOUNDING_CODE_2013 = (201, 2013)
 FOUNDING_LAG_YEARS = 8
 OCAP_RETENTION = 0.8
 RD_PIVOT_YEAR = 1977
+# The accounts kept -- industrial format, standardized data.
+ACCOUNTS_FORMAT = {"indfmt": "INDL", "datafmt": "STD"}
 
 
 # --------------------------------------------------------------------------- A3, A10, J8, F26
@@ -156,7 +158,8 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
                       segments: int | str | None = "auto") -> DataFrame:
     """Knowledge and organisational capital stocks per firm-year.
 
-    ``funda``: key, year, datadate, assets, xsga, xrd, rdip, cogs (+ optional sich).
+    ``funda``: key, year, datadate, assets, xsga, xrd, rdip, cogs (+ optional sich,
+    and indfmt/datafmt, which are filtered to industrial standardized rows).
     ``company``: key, sic, ipodate, cusip, seq. ``founding``: cusip, founding.
     Returns (key, year, kcap_v2, ocap_v2) for rows that came from data.
 
@@ -183,6 +186,9 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     f = f.withColumn("sich", sich.cast("int")).drop("sic")
     if exclude:
         f = f.where(~F.col(k).isin(list(exclude)))
+    for c, v in ACCOUNTS_FORMAT.items():
+        if c in funda.columns:          # source filter: pushed to the scan
+            f = f.where(F.col(c) == v)
     if seg:
         f = f.join(f.groupBy(k).agg(F.min(y).cast("int").alias("firstcomp")), k, "left")
     else:

@@ -234,3 +234,17 @@ def test_partition_count_invariance(spark):
         results.append(sorted((r.k, r.y, r.x) for r in out.collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1]
+
+
+def test_job_filters_formats_and_excludes(spark):
+    import datetime as dt
+    rows = [(1, 2000, dt.date(2000, 12, 31), 1.0, 1.0, 1.0, 0.0, 0.0, "INDL", "STD"),
+            (1, 2001, dt.date(2001, 12, 31), 1.0, 2.0, 2.0, 0.0, 0.0, "FS", "STD"),
+            (2, 2000, dt.date(2000, 12, 31), 1.0, 1.0, 1.0, 0.0, 0.0, "INDL", "STD")]
+    funda = spark.createDataFrame(rows, "gvkey long, fyear int, datadate date, assets double, xsga double, "
+                                        "xrd double, rdip double, cogs double, indfmt string, datafmt string")
+    comp = spark.createDataFrame([(1, 100, None, "c1", 1), (2, 100, None, "c2", 1)],
+                                 "gvkey long, sic int, ipodate date, cusip string, seq int")
+    fnd = spark.createDataFrame([], "cusip string, founding int")
+    out = I.intangible_stocks(funda, comp, fnd, exclude=[2], checkpoint=False, segments=None).collect()
+    assert [(r.gvkey, r.fyear) for r in out] == [(1, 2000)]
