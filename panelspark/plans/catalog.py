@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import SIC_GROUP_ORDER, SIC_GROUPS, SIC_RATES, code_prefix, fiscal_year, net_sga
 from ..operators import dedup, links, panel as P, returns, text, vectors
 from ..operators import intangibles as I
+from ..operators import jobs
 from ..sources import io
 from ..session import scratch_path
 from . import testviews as V
@@ -907,3 +908,59 @@ def q_sections_stream(spark, d):
                          max_files_per_trigger=2)
     ok = spark.read.parquet(f"{base}/ok").drop("batch")
     return _section_summary(ok)
+
+
+
+# =========================================================================== end-to-end jobs A and B
+
+CCM_SQL = f"""
+select gvkey, datadate, fyear, permno, permco, linkdt, linkenddt from (
+  select p.gvkey, p.datadate, p.fyear, l.cik as permno, l.cik % 50 as permco,
+    l.link_start as linkdt, l.link_end as linkenddt,
+    row_number() over (partition by p.gvkey, p.datadate order by l.cik, l.link_start, l.link_end) as rn
+  from panel p join ({LINK_CLEAN_SQL}) l
+    on p.gvkey = l.gvkey
+   and (l.link_start is null or l.link_start < make_date(p.fyear - 1, 12, 31))
+   and (coalesce(l.end_open, false) or l.link_end > make_date(p.fyear, 12, 31))
+  where p.fyear between 1950 and 2020) t
+where rn = 1"""
+
+
+@query("panel_with_returns", f"""
+select gvkey, fyear, permno, round(ret, {ROUND}) as ret, crsp_first_date, comp_first_date, founding, firstyear,
+  cast(case when year - firstyear < 0 then 0 else year - firstyear end as integer) as age
+from (
+  select t2.*, cf.comp_first_date, fr.founding,
+    cast(coalesce(fr.founding, year(coalesce(t2.ipodate, t2.crsp_first_date, cf.comp_first_date))) as integer) as firstyear
+  from (
+    select t1.*, ar.crsp_first_date, ar.ret
+    from (select t0.*, ccm.permno, ccm.permco
+          from (select p.gvkey, p.fyear as year, p.fyear, p.datadate, c.cusip, c.ipodate, p.assets, p.sale
+                from panel p left join company c on p.gvkey = c.gvkey) t0
+          left join ({CCM_SQL}) ccm on t0.gvkey = ccm.gvkey and t0.datadate = ccm.datadate and t0.fyear = ccm.fyear) t1
+    left join ({ANNUAL_RETURN_SQL}) ar on t1.permno = ar.permno and t1.fyear = ar.yr) t2
+  left join (select gvkey, min(datadate) as comp_first_date from panel group by gvkey) cf on t2.gvkey = cf.gvkey
+  left join (select permco, cusip, min(founding) as founding
+             from (select cusip, cast(try_cast(crsp_perm as double) as bigint) as permco, founding
+                   from (select cusip, cast(case when founding in (-99, -9, 0) then null when founding = 201 then 2013
+                                                 else founding end as integer) as founding, crsp_perm from founding) a
+                   where cusip is not null and founding is not null and crsp_perm is not null and crsp_perm <> '.') b
+             where permco is not null group by permco, cusip) fr
+    on t2.permco = fr.permco and t2.cusip = fr.cusip
+  where t2.assets is not null and t2.sale is not null) t""")
+def q_panel_with_returns(spark, d):
+    t = jobs.panel_with_returns(V.accounts(spark, d), V.ccm(spark, d), V.monthly(spark, d), V.founding(spark, d))
+    return t.select("gvkey", "fyear", "permno", r("ret").alias("ret"), "crsp_first_date", "comp_first_date",
+                    "founding", "firstyear", "age")
+
+
+@query("filing_firm_panel", f"""
+select l.cik, l.gvkey, l.fyear, l.fname, round(p.sale, {ROUND}) as sale,
+  substring(cast(c.sic as varchar), 1, 3) as naics3, substring(cast(c.sic as varchar), 1, 2) as naics2
+from ({LINKED_FILINGS_SQL}) l
+join panel p on l.gvkey = p.gvkey and l.fyear = p.fyear
+left join company c on p.gvkey = c.gvkey
+where p.assets is not null and p.sale > 5""")
+def q_filing_firm_panel(spark, d):
+    t = jobs.filing_firm_panel(V.filings(spark, d), V.links_raw(spark, d), V.accounts(spark, d))
+    return t.select("cik", "gvkey", "fyear", "fname", r("sale").alias("sale"), "naics3", "naics2")

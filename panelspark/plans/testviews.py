@@ -64,8 +64,10 @@ def founding(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = k % 10
     code = (F.when(m == 0, -99).when(m == 1, -9).when(m == 2, 201).when(m == 3, 0)
              .otherwise(F.lit(1980) + k % 25)).cast("int")
+    perm = F.when(k % 4 == 0, F.lit(".")).otherwise((k % 50).cast("string"))
     # the list covers customers with a non-negative balance (a data-driven subset)
-    return c.where(F.col("c_acctbal") >= 0).select(F.col("c_name").alias("cusip"), code.alias("founding"))
+    return c.where(F.col("c_acctbal") >= 0).select(F.col("c_name").alias("cusip"), code.alias("founding"),
+                                                   perm.alias("crsp_perm"))
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +112,24 @@ def filing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "fname").join(c, "fname")
 
 
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Firm-year accounts as the first job reads them (panel + company header)."""
+    c = company(spark, sf_dir).select("gvkey", "cusip", "ipodate", F.col("sic").cast("string").alias("naicsh"))
+    return panel(spark, sf_dir).join(c, "gvkey", "left").withColumn("year", F.col("fyear"))
+
+
+def ccm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account-security links covering each firm-year (the link filter job's output):
+    permno = the filer id, permco = permno % 50 (as in ``monthly``)."""
+    from ..operators.dedup import keep_first
+    from ..operators.links import clean_links, containing_links
+    lk = clean_links(links_raw(spark, sf_dir)).select("cik", "gvkey", "link_start", "link_end", "end_open")
+    c = containing_links(panel(spark, sf_dir).select("gvkey", "fyear", "datadate"), lk)
+    c = c.select("gvkey", "datadate", "fyear", F.col("cik").alias("permno"), (F.col("cik") % 50).alias("permco"),
+                 F.col("link_start").alias("linkdt"), F.col("link_end").alias("linkenddt"))
+    return keep_first(c, ["gvkey", "datadate"], ["permno", "linkdt", "linkenddt"])
+
+
 SPARK_VIEWS = {
     "panel": panel, "company": company, "founding": founding, "monthly": monthly,
     "filings": filings, "links_raw": links_raw, "filing_text": filing_text,
@@ -136,7 +156,8 @@ select c_custkey as gvkey, c_name as cusip, cast(c_nationkey as integer) as seq,
 from customer""",
     "founding": """
 select c_name as cusip, cast(case c_custkey % 10 when 0 then -99 when 1 then -9 when 2 then 201
-  when 3 then 0 else 1980 + c_custkey % 25 end as integer) as founding
+  when 3 then 0 else 1980 + c_custkey % 25 end as integer) as founding,
+  case when c_custkey % 4 = 0 then '.' else cast(c_custkey % 50 as varchar) end as crsp_perm
 from customer where c_acctbal >= 0""",
     "monthly": """
 select l_suppkey as permno, l_suppkey % 50 as permco, cast(year(l_shipdate) as integer) as yr,
