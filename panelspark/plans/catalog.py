@@ -964,3 +964,24 @@ where p.assets is not null and p.sale > 5""")
 def q_filing_firm_panel(spark, d):
     t = jobs.filing_firm_panel(V.filings(spark, d), V.links_raw(spark, d), V.accounts(spark, d))
     return t.select("cik", "gvkey", "fyear", "fname", r("sale").alias("sale"), "naics3", "naics2")
+
+
+# =========================================================================== streaming
+
+@query("chunks_stream", SQL["chunk_docs"])
+def q_chunks_stream(spark, d):
+    """Chunking as a file-source stream over landed document files (X2): each
+    micro-batch only sees files not processed before; the result equals the
+    batch query."""
+    from pyspark.sql import types as T
+
+    from ..streaming.incremental import incremental_map
+
+    base = scratch_path(spark, "chunks_stream")
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    docs.repartition(4).write.mode("overwrite").parquet(f"{base}/in")
+    incremental_map(spark, f"{base}/in", schema, lambda b: text.chunk_docs(b, "doc_id", "text"),
+                    f"{base}/out", f"{base}/_checkpoint", max_files_per_trigger=2)
+    c = spark.read.parquet(f"{base}/out").drop("batch")
+    return c.select("doc_id", "chunk_no", "n_chars", F.md5("chunk").alias("chunk_md5"))
