@@ -139,13 +139,17 @@ def attach_sic_rates(df: DataFrame, sic: str = "sich", delta: str = "theta_g2",
 def capital_stocks(df: DataFrame, key: str = "gvkey", year: str = "fyear", rd: str = "xrd",
                    sga: str = "xsga", delta: str = "theta_g2", gamma: str = "gamma_o2",
                    kout: str = "kcap_v2", oout: str = "ocap_v2",
-                   retention: float = OCAP_RETENTION) -> DataFrame:
+                   retention: float = OCAP_RETENTION, block_rows: int | None = None) -> DataFrame:
     """Perpetual inventory per firm: K0 = 0, K_t = K_{t-1}(1 - delta_t) + R_t;
-    O0 = 0, O_t = retention * O_{t-1} + gamma_t * S_t (W8)."""
+    O0 = 0, O_t = retention * O_{t-1} + gamma_t * S_t (W8).
+
+    One row per (firm, year) keeps each firm's fold bounded by the calendar
+    span; ``block_rows`` switches to the blocked affine layout for inputs with
+    very long keys (see ``panel.linear_recurrence``)."""
     return linear_recurrence(df, key, [year], {
         kout: (F.lit(1.0) - F.col(delta), F.col(rd)),
         oout: (F.lit(retention), F.col(gamma) * F.col(sga)),
-    })
+    }, block_rows=block_rows)
 
 
 # --------------------------------------------------------------------------- job C

@@ -226,45 +226,118 @@ def backcast_constant(df: DataFrame, key, order, logv: str, rate: Column | float
 # --------------------------------------------------------------------------- W8
 
 def linear_recurrence(df: DataFrame, key, order: Sequence[str], recurrences: dict[str, tuple[Column, Column]],
-                      ) -> DataFrame:
-    """Per-key ordered recurrences ``s_0 = 0; s_t = a_t * s_{t-1} + b_t``.
+                      block_rows: int | None = None, first_zero: bool = True,
+                      segments: int = 64, _depth: int = 0) -> DataFrame:
+    """Per-key ordered recurrences ``s_t = a_t * s_{t-1} + b_t``.
 
-    ``recurrences`` maps an output column to its ``(a, b)`` column pair. Each key's
-    rows (bounded: one per year) are gathered with ``collect_list`` after one
+    ``recurrences`` maps an output column to its ``(a, b)`` column pair. With
+    ``first_zero`` the first row's state is 0 whatever its ``b`` (the stock
+    starts at 0); otherwise the state before the first row is 0. A null ``b``
+    makes every later state null, as in the source.
+
+    Default layout: each key's rows are gathered with ``collect_list`` after one
     hash shuffle on the key, sorted, folded with the SQL ``aggregate`` function
-    and put back with ``inline`` -- all JVM-side. The first row's ``b`` is
-    ignored (the stock starts at 0) and a null ``b`` makes every later state null,
-    as in the source.
+    and put back with ``inline`` -- all JVM-side. That suits keys of bounded
+    length (one row per year). With ``block_rows=S`` no group exceeds S rows:
+    rows get their global number within the key (``segmented_scan``, which
+    splits hot keys), are cut into blocks of S, and each block folds into affine
+    pairs ``s_t = P_t * s_in + Q_t``; the block ends form a recurrence of the same
+    kind over (key, block), solved the same way (recursively, until every key
+    fits in one block); each block's incoming state then completes its rows.
+    Exact composition of the same steps, no exp/log closed form.
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = list(order)
-    payload = [c for c in df.columns if c not in keys and c not in order]
     names = list(recurrences)
+    if block_rows:
+        from .segmented import hot_key_rows
+
+        if hot_key_rows(df, keys) > block_rows:
+            return _blocked_recurrence(df, keys, order, recurrences, block_rows, first_zero, segments, _depth)
+    payload = [c for c in df.columns if c not in keys and c not in order]
     inputs = []
     for i, n in enumerate(names):
         a, b = recurrences[n]
         inputs += [a.cast("double").alias(f"__a{i}"), b.cast("double").alias(f"__b{i}")]
     row = F.struct(*[F.col(o) for o in order], *[F.col(c) for c in payload], *inputs)
     g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("__rows"))
-
-    def step(acc, x):
-        fields = []
-        for i, n in enumerate(names):
-            last = acc[f"l{i}"]
-            new = F.when(acc["n"] == 0, F.lit(0.0)).otherwise(x[f"__a{i}"] * last + x[f"__b{i}"])
-            fields.append(new.alias(f"l{i}"))
-        return fields
-
-    def merge(acc, x):
-        new = step(acc, x)
-        parts = [F.concat(acc[f"s{i}"], F.array(new[i])).alias(f"s{i}") for i in range(len(names))]
-        return F.struct(*parts, *new, (acc["n"] + 1).alias("n"))
-
-    zero = F.struct(*[F.array().cast("array<double>").alias(f"s{i}") for i in range(len(names))],
-                    *[F.lit(None).cast("double").alias(f"l{i}") for i in range(len(names))],
-                    F.lit(0).alias("n"))
-    g = g.withColumn("__st", F.aggregate(F.col("__rows"), zero, merge))
+    states = _fold(F.col("__rows"), len(names), "state", first_zero)
+    g = g.withColumn("__st", states)
     zipped = F.arrays_zip(F.col("__rows").alias("r"), *[F.col(f"__st.s{i}").alias(f"s{i}") for i in range(len(names))])
     g = g.select(*keys, F.explode(zipped).alias("__z"))
     return g.select(*keys, *[F.col(f"__z.r.{c}").alias(c) for c in order + payload],
                     *[F.col(f"__z.s{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _fold(rows: Column, k: int, mode: str, first_zero: bool = False) -> Column:
+    """Fold a sorted array of structs with ``__a{i}``/``__b{i}`` fields.
+
+    mode ``state``: arrays ``s{i}`` of states from ``s_0 = 0`` (first state 0 when
+    ``first_zero``). mode ``affine``: arrays ``p{i}``, ``q{i}`` with
+    ``P_t = a_t P_{t-1}``, ``Q_t = a_t Q_{t-1} + b_t`` from (1, 0).
+    """
+    def merge(acc, x):
+        parts, lasts = [], []
+        for i in range(k):
+            a, b = x[f"__a{i}"], x[f"__b{i}"]
+            if mode == "state":
+                new = a * acc[f"l{i}"] + b
+                if first_zero:
+                    new = F.when(acc["n"] == 0, F.lit(0.0)).otherwise(new)
+                parts.append(F.concat(acc[f"s{i}"], F.array(new)).alias(f"s{i}"))
+                lasts.append(new.alias(f"l{i}"))
+            else:
+                p, q = a * acc[f"lp{i}"], a * acc[f"lq{i}"] + b
+                parts += [F.concat(acc[f"p{i}"], F.array(p)).alias(f"p{i}"),
+                          F.concat(acc[f"q{i}"], F.array(q)).alias(f"q{i}")]
+                lasts += [p.alias(f"lp{i}"), q.alias(f"lq{i}")]
+        return F.struct(*parts, *lasts, (acc["n"] + 1).alias("n"))
+
+    empty = F.array().cast("array<double>")
+    if mode == "state":
+        zero = F.struct(*[empty.alias(f"s{i}") for i in range(k)],
+                        *[F.lit(0.0).alias(f"l{i}") for i in range(k)], F.lit(0).alias("n"))
+    else:
+        zero = F.struct(*[e for i in range(k) for e in (empty.alias(f"p{i}"), empty.alias(f"q{i}"))],
+                        *[e for i in range(k) for e in (F.lit(1.0).alias(f"lp{i}"), F.lit(0.0).alias(f"lq{i}"))],
+                        F.lit(0).alias("n"))
+    return F.aggregate(rows, zero, merge)
+
+
+def _blocked_recurrence(df: DataFrame, keys: list[str], order: list[str],
+                        recurrences: dict[str, tuple[Column, Column]], block_rows: int, first_zero: bool,
+                        segments: int, depth: int) -> DataFrame:
+    blk = f"__blk{depth}"   # one name per recursion level: the level above orders by its own
+    names = list(recurrences)
+    k = len(names)
+    inputs = {}
+    for i, n in enumerate(names):
+        a, b = recurrences[n]
+        inputs[f"__a{i}"], inputs[f"__b{i}"] = a.cast("double"), b.cast("double")
+    t = df.withColumns(inputs)
+    t = segmented_scan(t, keys, [F.col(o) for o in order], segments)          # __rn, hot keys split
+    if first_zero:  # the key's first state is 0: its step becomes s = 0 * s_in + 0
+        t = t.withColumns({c: F.when(F.col("__rn") == 1, F.lit(0.0)).otherwise(F.col(c)) for c in inputs})
+    t = t.withColumn(blk, F.floor((F.col("__rn") - 1) / block_rows).cast("long"))
+    payload = [c for c in df.columns if c not in keys and c not in order]
+    row = F.struct(F.col("__rn"), *[F.col(o) for o in order], *[F.col(c) for c in payload],
+                   *[F.col(c) for c in inputs])
+    g = t.groupBy(*keys, blk).agg(F.sort_array(F.collect_list(row)).alias("__rows"))
+    g = g.withColumn("__pq", _fold(F.col("__rows"), k, "affine"))
+    # block ends: s_end(blk) = P_end * s_end(blk - 1) + Q_end, from 0 before the first block
+    ends_in = g.select(*keys, blk, *[e for i in range(k) for e in (
+        F.element_at(F.col(f"__pq.p{i}"), -1).alias(f"__pe{i}"), F.element_at(F.col(f"__pq.q{i}"), -1).alias(f"__qe{i}"))])
+    ends = linear_recurrence(ends_in, keys, [blk],
+                             {f"__e{i}": (F.col(f"__pe{i}"), F.col(f"__qe{i}")) for i in range(k)},
+                             block_rows=block_rows, first_zero=False, segments=segments, _depth=depth + 1)
+    s_in = ends.select(*keys, (F.col(blk) + 1).alias(blk), *[F.col(f"__e{i}") for i in range(k)])
+    cols = [F.col("__rows").alias("r")] + [F.col(f"__pq.{x}{i}").alias(f"{x}{i}") for i in range(k) for x in "pq"]
+    rows = g.select(*keys, blk, F.explode(F.arrays_zip(*cols)).alias("__z"))
+    rows = rows.join(s_in, [*keys, blk], "left")
+    out = [F.col(f"__z.r.{c}").alias(c) for c in order + payload]
+    for i, n in enumerate(names):
+        # block 0 starts from 0; a later block takes the previous block's end,
+        # which is null once a null flow has occurred (nulls propagate, as in the fold)
+        s_prev = F.when(F.col(blk) == 0, F.lit(0.0)).otherwise(F.col(f"__e{i}"))
+        out.append((F.col(f"__z.p{i}") * s_prev + F.col(f"__z.q{i}")).alias(n))
+    return rows.select(*keys, *out)

@@ -73,3 +73,31 @@ def test_job_hot_mode_equals_plain(spark):
         same(a, b, ["gvkey", "fyear", "kcap_v2", "ocap_v2"])
     finally:
         segmented.HOT_ROWS = old
+
+
+@pytest.mark.parametrize("block", [5, 40])
+def test_blocked_recurrence_matches_loop(spark, block, monkeypatch):
+    from panelspark.operators import segmented
+    monkeypatch.setattr(segmented, "HOT_ROWS", 50)
+    rnd = random.Random(5)
+    rows = []
+    for k, n in [(0, 700), (1, 3), (2, 60)]:
+        for t in range(n):
+            rows.append((k, t, rnd.choice([0.3, 0.42, 0.8, 1.0]), None if rnd.random() < 0.002 else rnd.uniform(0, 9)))
+    df = spark.createDataFrame(rows, "k long, t int, a double, b double")
+    rec = {"s": (F.col("a"), F.col("b")), "u": (F.lit(0.8), F.col("a") * 2)}
+    got = {(r.k, r.t): (r.s, r.u) for r in P.linear_recurrence(df, "k", ["t"], rec, block_rows=block, segments=4).collect()}
+    base = {(r.k, r.t): (r.s, r.u) for r in P.linear_recurrence(df, "k", ["t"], rec).collect()}
+    assert set(got) == set(base)
+    for kk in (0, 1, 2):
+        s = u = 0.0
+        for (k, t, a, b) in [r for r in rows if r[0] == kk]:
+            if t == 0:
+                s = u = 0.0
+            else:
+                s = None if (s is None or b is None) else a * s + b
+                u = 0.8 * u + 2 * a
+            for res in (got, base):
+                gs, gu = res[(k, t)]
+                assert (gs is None and s is None) or abs(gs - s) < 1e-9 * max(1.0, abs(s))
+                assert abs(gu - u) < 1e-9 * max(1.0, abs(u))
