@@ -170,7 +170,7 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     Steps 1-9 run on the raw accounts, where one firm could hold many rows;
     ``segments='auto'`` measures the largest firm once and, above
     ``segmented.HOT_ROWS`` rows, switches those steps to the two-level scans
-    (``segments`` = 64) so no task holds a whole firm. From step 10 on the panel is
+    (about one segment per million rows, 64 to 4096) so no task holds a whole firm. From step 10 on the panel is
     unique on (firm, year) by construction, so per-firm groups are bounded by the
     calendar span.
     """
@@ -181,7 +181,9 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     require_columns(company, [k, "sic", "ipodate", "cusip", "seq"])
     require_columns(founding, ["cusip", "founding"])
     if segments == "auto":
-        segments = 64 if hot_key_rows(funda, [k]) > segmented.HOT_ROWS else None
+        top = hot_key_rows(funda, [k])
+        # about one segment per million rows of the largest firm (64 .. 4096)
+        segments = min(4096, max(64, -(-top // 1_000_000))) if top > segmented.HOT_ROWS else None
     seg = segments or None
     # 1. company attributes, SIC fallback, exclusions, first accounts year, missing-assets flag
     comp = company.select(k, "sic", "ipodate", "cusip", "seq")
