@@ -164,7 +164,8 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
 
     ``funda``: key, year, datadate, assets, xsga, xrd, rdip, cogs (+ optional sich,
     and indfmt/datafmt, which are filtered to industrial standardized rows).
-    ``company``: key, sic, ipodate, cusip, seq. ``founding``: cusip, founding.
+    ``company``: key, sic, ipodate (+ cusip, seq when the accounts lack them).
+    ``founding``: cusip, founding.
     Returns (key, year, kcap_v2, ocap_v2) for rows that came from data.
 
     Steps 1-9 run on the raw accounts, where one firm could hold many rows;
@@ -178,7 +179,9 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
         raise ValueError("age_mode must be 'as_coded' or 'recomputed'")
     k, y = key, year
     require_columns(funda, [k, y, "datadate", "assets", "xsga", "xrd", "rdip", "cogs"])
-    require_columns(company, [k, "sic", "ipodate", "cusip", "seq"])
+    # cusip and seq come from the accounts when they carry them, else from the company table
+    from_company = [c for c in ("cusip", "seq") if c not in funda.columns]
+    require_columns(company, [k, "sic", "ipodate", *from_company])
     require_columns(founding, ["cusip", "founding"])
     if segments == "auto":
         top = hot_key_rows(funda, [k])
@@ -186,7 +189,7 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
         segments = min(4096, max(64, -(-top // 1_000_000))) if top > segmented.HOT_ROWS else None
     seg = segments or None
     # 1. company attributes, SIC fallback, exclusions, first accounts year, missing-assets flag
-    comp = company.select(k, "sic", "ipodate", "cusip", "seq")
+    comp = company.select(k, "sic", "ipodate", *from_company)
     f = funda.join(comp, k, "left")
     sich = F.coalesce(F.col("sich"), F.col("sic")) if "sich" in funda.columns else F.col("sic")
     f = f.withColumn("sich", sich.cast("int")).drop("sic")
