@@ -2,10 +2,12 @@
 
 A window ``partitionBy(key).orderBy(order)`` puts every row of a key in one
 task. When one key may hold a large share of the table, each hot key is cut
-into ordered segments: split points of the first order column are taken per
-key with ``percentile_approx`` (a partial aggregate), and a row's segment is
-the number of split points at or below its value -- a pure function of the
-row, so every re-execution agrees. Segments are scanned locally with
+into ordered segments: the key's exact min and max of the first order column
+(partial aggregates, independent of merge order) are cut into equal value
+ranges, and a row's segment is the range its value falls in -- a pure function
+of the row and two exact aggregates, so every re-execution and every branch of
+the plan agrees (approximate quantiles would not: their summaries depend on
+merge order). Segments are scanned locally with
 ``partitionBy(key, segment)``. What a segment needs from the segments before or
 after it -- its row offset, the last donor before it, the first donor after
 it, the running sum so far -- comes from a summary with one row per (hot key,
@@ -36,6 +38,17 @@ def hot_key_rows(df: DataFrame, keys: Sequence[str]) -> int:
     return int(r or 0)
 
 
+def _numeric(df: DataFrame, c: Column) -> Column:
+    """The order value as a double (dates as days, timestamps as seconds)."""
+    t = df.select(c).schema.fields[0].dataType
+    from pyspark.sql import types as T
+    if isinstance(t, T.DateType):
+        return F.date_diff(c, F.lit("1970-01-01").cast("date")).cast("double")
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double") / 1e6
+    return c.cast("double")
+
+
 def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], segments: int,
                    prev: Mapping[str, Column] | None = None, nxt: Mapping[str, Column] | None = None,
                    sums: Mapping[str, Column] | None = None, rn: str = "__rn",
@@ -54,16 +67,17 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     prev, nxt, sums = dict(prev or {}), dict(nxt or {}), dict(sums or {})
     keys = list(keys)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    first = order_cols[0]
-    qs = [i / segments for i in range(1, segments)]
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
-                                  F.percentile_approx(first, qs, 10000).alias("__splits"))
+    v = _numeric(df, order_cols[0])
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(v).alias("__lo"), F.max(v).alias("__hi"))
     if hot_rows is not None:
         stats = stats.where(F.col("__n") > hot_rows)
     # hot keys only; AQE splits the skewed side of this join
-    s = df.join(stats.select(*keys, "__splits"), keys, "left")
-    s = (s.withColumn(SEG, F.coalesce(F.size(F.filter("__splits", lambda q: q <= first)), F.lit(0)))
-          .withColumn("__hot", F.col("__splits").isNotNull()).drop("__splits"))
+    s = df.join(stats.select(*keys, "__lo", "__hi"), keys, "left")
+    span = F.col("__hi") - F.col("__lo")
+    seg = F.floor((v - F.col("__lo")) * F.lit(float(segments)) / span)
+    seg = F.when(span > 0, F.least(F.greatest(seg, F.lit(0)), F.lit(segments - 1)))
+    s = (s.withColumn(SEG, F.coalesce(seg.cast("int"), F.lit(0)))
+          .withColumn("__hot", F.col("__lo").isNotNull() | F.col("__hi").isNotNull()).drop("__lo", "__hi"))
     wl = Window.partitionBy(*keys, SEG).orderBy(*order_cols)
     s = s.withColumn("__lrn", F.row_number().over(wl))
     upto = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)

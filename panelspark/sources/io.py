@@ -113,21 +113,21 @@ def with_row_number(df: DataFrame, order: Sequence[str], out: str = "row_no",
                     partitions: int | None = None) -> DataFrame:
     """Global 0-based row number in ``order`` without a single-partition window.
 
-    Rows are cut into ordered buckets at split points of the first order column
-    (``percentile_approx``, a partial aggregate; a bucket is the number of split
-    points at or below the value, a pure function of the row, so every
-    re-execution agrees). Rows are numbered inside each bucket; each bucket's
-    offset is a running sum over one count per bucket -- a table of at most
-    ``partitions`` rows, broadcast back. ``order`` must be unique.
+    Rows are cut into ordered buckets at split points of the first order column:
+    ``partitions - 1`` approximate quantiles, computed once and embedded in the
+    plan as a literal (a bounded array), so every branch and every retry sees
+    the same buckets; a bucket is the number of split points at or below the
+    value. Rows are numbered inside each bucket; each bucket's offset is a
+    running sum over one count per bucket -- a table of at most ``partitions``
+    rows, broadcast back. ``order`` must be unique.
     """
     order = list(order)
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     first = F.col(order[0])
     qs = [i / n for i in range(1, n)]
-    splits = df.agg(F.percentile_approx(first, qs, 10000).alias("__q"))
-    # the split points are a one-row global aggregate: a scalar subquery, no join
-    b = df.withColumn("__q", splits.scalar())
-    b = b.withColumn("__b", F.size(F.filter("__q", lambda q: q <= first))).drop("__q")
+    q = df.agg(F.percentile_approx(first, qs, 10000)).first()[0] or []
+    splits = F.array(*[F.lit(x) for x in sorted(set(q))]) if q else F.array().cast(f"array<{df.schema[order[0]].dataType.simpleString()}>")
+    b = df.withColumn("__b", F.size(F.filter(splits, lambda x: x <= first)))
     b = b.withColumn("__pos", F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1)
     counts = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
