@@ -732,15 +732,14 @@ def q_anti_unprocessed(spark, d):
 
 # =========================================================================== job C oracle
 
-def _pick(col: str) -> str:
-    return f"case when prn is null then nv when nrn is null then pv when rn - prn <= nrn - rn then pv else nv end"
+NEAREST_PICK_SQL = "case when prn is null then nv when nrn is null then pv when rn - prn <= nrn - rn then pv else nv end"
 
 
 def _nearest_cte(src: str, col: str, part: str, order: str, flag: str) -> str:
     wp = f"partition by {part} order by rn rows between unbounded preceding and current row"
     wn = f"partition by {part} order by rn rows between 1 following and unbounded following"
     return f"""
-select * exclude (rn, prn, pv, nrn, nv) replace (case when {col} is null and ({flag}) then {_pick(col)} else {col} end as {col})
+select * exclude (rn, prn, pv, nrn, nv) replace (case when {col} is null and ({flag}) then {NEAREST_PICK_SQL} else {col} end as {col})
 from (select *,
         max(case when {col} is not null then rn end) over ({wp}) as prn,
         last_value({col} ignore nulls) over ({wp}) as pv,
