@@ -183,11 +183,6 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     from_company = [c for c in ("cusip", "seq") if c not in funda.columns]
     require_columns(company, [k, "sic", "ipodate", *from_company])
     require_columns(founding, ["cusip", "founding"])
-    if segments == "auto":
-        top = hot_key_rows(funda, [k])
-        # about one segment per million rows of the largest firm (64 .. 4096)
-        segments = min(4096, max(64, -(-top // 1_000_000))) if top > segmented.HOT_ROWS else None
-    seg = segments or None
     # 1. company attributes, SIC fallback, exclusions, first accounts year, missing-assets flag
     comp = company.select(k, "sic", "ipodate", *from_company)
     f = funda.join(comp, k, "left")
@@ -198,6 +193,17 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     for c, v in ACCOUNTS_FORMAT.items():
         if c in funda.columns:          # source filter: pushed to the scan
             f = f.where(F.col(c) == v)
+    cached = None
+    if segments == "auto":
+        # measure the largest firm on the prepared input, kept cached so the
+        # accounts are not read twice (released once step 6 is checkpointed)
+        if checkpoint:
+            from pyspark import StorageLevel
+            cached = f = f.persist(StorageLevel.MEMORY_AND_DISK)
+        top = hot_key_rows(f, [k])
+        # about one segment per million rows of the largest firm (64 .. 4096)
+        segments = min(4096, max(64, -(-top // 1_000_000))) if top > segmented.HOT_ROWS else None
+    seg = segments or None
     if seg:
         f = f.join(f.groupBy(k).agg(F.min(y).cast("int").alias("firstcomp")), k, "left")
     else:
@@ -217,6 +223,8 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     if checkpoint:
         # fan-out: four growth aggregates and the rest of the job read this
         f = materialize(f.repartition(k))
+        if cached is not None:
+            cached.unpersist()
     # 7. growth rates (global, small) -- before step 8's fills
     g_rd = growth_by_age(f, "xrd", k).select(F.col("age").alias("ageipo"), F.col("grate").alias("grate_xrd"))
     g_sga = growth_by_age(f, "xsga", k).select(F.col("age").alias("ageipo"), F.col("grate").alias("grate_xsga"))
