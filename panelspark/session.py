@@ -42,18 +42,24 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     The cluster names it in ``spark.checkpoint.dir``; we only set our own when it
     is unset (local tests).
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote (Connect) session has no SparkContext
+        sc = None
+    d = (sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)) if sc else None
     if not d:
         try:
             d = spark.conf.get("spark.checkpoint.dir")
         except Exception:  # noqa: BLE001 - unset key
             d = None
     if not d:
+        # only where the cluster names none (local tests)
         d = fallback or os.path.join("/tmp", f"panelspark-ckpt-{uuid.uuid4().hex[:8]}")
-    if not sc.getCheckpointDir():
+        if sc is None:
+            spark.conf.set("spark.checkpoint.dir", d)
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    return (sc.getCheckpointDir() if sc is not None else None) or d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

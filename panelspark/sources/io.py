@@ -122,7 +122,7 @@ def with_row_number(df: DataFrame, order: Sequence[str], out: str = "row_no",
     rows, broadcast back. ``order`` must be unique.
     """
     order = list(order)
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or _parallelism(df.sparkSession)
     first = F.col(order[0])
     qs = [i / n for i in range(1, n)]
     q = df.agg(F.percentile_approx(first, qs, 10000)).first()[0] or []
@@ -137,6 +137,13 @@ def with_row_number(df: DataFrame, order: Sequence[str], out: str = "row_no",
              .drop("__b", "__pos", "__off"))
 
 
+def _parallelism(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - remote session
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def row_chunks(df: DataFrame, order: Sequence[str], rows: int = ROWS_PER_PART, out: str = "chunk",
                partitions: int | None = None) -> DataFrame:
     """Stable part number: consecutive blocks of ``rows`` rows in ``order`` (K4)."""
