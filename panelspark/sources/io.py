@@ -125,9 +125,11 @@ def with_row_number(df: DataFrame, order: Sequence[str], out: str = "row_no",
     n = partitions or _parallelism(df.sparkSession)
     first = F.col(order[0])
     qs = [i / n for i in range(1, n)]
-    q = df.agg(F.percentile_approx(first, qs, 10000)).first()[0] or []
-    splits = F.array(*[F.lit(x) for x in sorted(set(q))]) if q else F.array().cast(f"array<{df.schema[order[0]].dataType.simpleString()}>")
-    b = df.withColumn("__b", F.size(F.filter(splits, lambda x: x <= first)))
+    q = sorted(set(df.agg(F.percentile_approx(first, qs, 10000)).first()[0] or []))
+    # bucket = number of split points at or below the value (a sum of comparisons;
+    # no higher-order function over a literal array, which Catalyst mis-binds
+    # once the result is grouped on)
+    b = df.withColumn("__b", _count_le(q, first))
     b = b.withColumn("__pos", F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1)
     counts = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -137,6 +139,16 @@ def with_row_number(df: DataFrame, order: Sequence[str], out: str = "row_no",
              .drop("__b", "__pos", "__off"))
 
 
+def _count_le(points, c):
+    """Number of ``points`` (sorted) at or below ``c``, as a balanced CASE (depth log2 n)."""
+    def rec(lo, hi):          # answer lies in [lo, hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2   # is points[mid-1] <= c ?
+        return F.when(c >= F.lit(points[mid - 1]), rec(mid, hi)).otherwise(rec(lo, mid - 1))
+    return rec(0, len(points)).cast("int")
+
+
 def _parallelism(spark: SparkSession) -> int:
     try:
         return spark.sparkContext.defaultParallelism
