@@ -46,3 +46,17 @@ def test_query_matches_oracle(spark, duck, name):
     assert s_cols == d_cols
     assert len(s_rows) == len(d_rows)
     assert s_rows == d_rows
+
+
+def test_job_partition_count_invariance(spark):
+    """The capital-stock job gives the same stocks under 1 and 16 shuffle partitions."""
+    import __spark_entry__ as E
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    res = []
+    try:
+        for n in ("1", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            res.append(sorted(tuple(r) for r in E.queries()["intangible_stocks"](spark, SF001).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert res[0] == res[1] and len(res[0]) > 0
