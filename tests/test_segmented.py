@@ -101,3 +101,29 @@ def test_blocked_recurrence_matches_loop(spark, block, monkeypatch):
                 gs, gu = res[(k, t)]
                 assert (gs is None and s is None) or abs(gs - s) < 1e-9 * max(1.0, abs(s))
                 assert abs(gu - u) < 1e-9 * max(1.0, abs(u))
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 1), st.one_of(st.none(), st.integers(0, 40)),
+                               st.one_of(st.none(), st.floats(-5, 5, allow_nan=False))),
+                     min_size=1, max_size=60),
+       segments=st.integers(2, 6))
+def test_segmented_property(spark, data, segments):
+    """Composite keys, null order values, random segment counts: same as one window."""
+    from panelspark.operators import segmented
+    old = segmented.HOT_ROWS
+    segmented.HOT_ROWS = None   # split every key
+    try:
+        rows = [(a, b, y, x, i) for i, (a, b, y, x) in enumerate(data)]
+        df = spark.createDataFrame(rows, "a int, b int, y int, x double, i long")
+        keys, order = ["a", "b"], ["y", "i"]          # i breaks ties
+        same(P.nearest_fill(df, keys, order, "x"), P.nearest_fill(df, keys, order, "x", segments=segments),
+             ["i", "x"])
+        same(P.row_index(df, keys, order, "c"), P.row_index(df, keys, order, "c", segments=segments), ["i", "c"])
+        same(P.bfill(df, keys, order, "x", suffix="_b"), P.bfill(df, keys, order, "x", suffix="_b", segments=segments),
+             ["i", "x_b"])
+    finally:
+        segmented.HOT_ROWS = old
