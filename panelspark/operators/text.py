@@ -64,6 +64,14 @@ def concat_sections(df: DataFrame, first: str = "item1", second: str = "item1a",
     return df.withColumn(out, txt)
 
 
+def clean_sections(df: DataFrame, key_in: str = "link", key_out: str = "fname",
+                   min_chars: int = MIN_SECTION_CHARS) -> DataFrame:
+    """Flags and conditional concatenation of extracted sections (F16, F17), with the
+    extraction key renamed to the filing key -- the whole cleaning step in one call."""
+    out = concat_sections(text_flags(df, min_chars=min_chars))
+    return out.withColumnRenamed(key_in, key_out) if key_in in df.columns else out
+
+
 # --------------------------------------------------------------------------- V1, K5
 
 def extract_sections(df: DataFrame, key: str, text: str, patterns: Mapping[str, str],

@@ -107,3 +107,10 @@ def test_cosine_to_pooled_one_partner(spark):
                                "id long, k long, v array<double>")
     got = {r.id: r.cosine for r in vectors.cosine_to_pooled(df, "k", "v").collect()}
     assert abs(got[1] - math.sqrt(0.5)) < 1e-12 and abs(got[3] - 1.0) < 1e-12
+
+
+def test_clean_sections(spark):
+    df = spark.createDataFrame([("l1", "x" * 10000, "y", "z" * 10000)], "link string, item1 string, item1a string, item7 string")
+    r = text.clean_sections(df).first()
+    assert r.fname == "l1" and (r.item1_na, r.item1a_na, r.item7_na) == (0, 1, 0)
+    assert r.text == "x" * 10000 + "z" * 10000
