@@ -248,3 +248,20 @@ def test_job_filters_formats_and_excludes(spark):
     fnd = spark.createDataFrame([], "cusip string, founding int")
     out = I.intangible_stocks(funda, comp, fnd, exclude=[2], checkpoint=False, segments=None).collect()
     assert [(r.gvkey, r.fyear) for r in out] == [(1, 2000)]
+
+
+def test_job_modes(spark):
+    """age_mode / zero_mode options run; keep_zero never turns a zero flow into 1."""
+    from panelspark.plans import testviews as V
+    from tests.conftest import SF001
+    args = (V.panel(spark, SF001), V.company(spark, SF001), V.founding(spark, SF001))
+    kw = dict(exclude=V.EXCLUDED_FIRMS, pivot_year=V.PIVOT_YEAR, keep_intermediate=True, segments=None)
+    base = {(r.gvkey, r.fyear): r for r in I.intangible_stocks(*args, **kw).collect()}
+    kz = {(r.gvkey, r.fyear): r for r in I.intangible_stocks(*args, zero_mode="keep_zero", **kw).collect()}
+    rc = {(r.gvkey, r.fyear): r for r in I.intangible_stocks(*args, age_mode="recomputed", **kw).collect()}
+    assert set(base) == set(kz) == set(rc)
+    # as coded, a zero level comes back as exp(0) = 1; keep_zero keeps 0
+    zero_rows = [k for k, r in kz.items() if r.xrd == 0.0]
+    assert zero_rows and all(base[k].xrd == 1.0 for k in zero_rows)
+    # recomputed ages only touch backcast levels: data rows with observed R&D keep their flow
+    assert all(rc[k].xrd == base[k].xrd for k in base if base[k].xrd not in (None, 1.0))
