@@ -32,3 +32,41 @@ def test_part_files_cli(spark, tmp_dir):
     cli.main(["part-files", "--input", f"{tmp_dir}/docs", "--order", "doc_id", "--rows", "50", "--out", f"{tmp_dir}/parts"])
     back = spark.read.parquet(f"{tmp_dir}/parts")
     assert back.count() == 200 and back.select("chunk").distinct().count() == 4
+
+
+def _rows(df, cols):
+    return sorted(tuple(None if r[c] is None else (round(r[c], 6) if isinstance(r[c], float) else r[c])
+                        for c in cols) for r in df.collect())
+
+
+def test_returns_and_filing_panel_cli(spark, tmp_dir):
+    from panelspark.operators import jobs
+    acc = V.accounts(spark, SF001).withColumnRenamed("assets", "at").withColumn("revt", F.col("sale"))
+    acc.write.parquet(f"{tmp_dir}/acc")
+    V.ccm(spark, SF001).write.parquet(f"{tmp_dir}/ccm")
+    V.monthly(spark, SF001).write.parquet(f"{tmp_dir}/monthly")
+    V.founding(spark, SF001).write.parquet(f"{tmp_dir}/founding")
+    V.filings(spark, SF001).withColumn("fname", F.col("fname").cast("string")).write.parquet(f"{tmp_dir}/filings")
+    V.links_raw(spark, SF001).write.parquet(f"{tmp_dir}/links")
+    cli.main(["returns-panel", "--accounts", f"{tmp_dir}/acc", "--ccm", f"{tmp_dir}/ccm", "--monthly",
+              f"{tmp_dir}/monthly", "--founding", f"{tmp_dir}/founding", "--out", f"{tmp_dir}/rp"])
+    exp = jobs.panel_with_returns(V.accounts(spark, SF001), V.ccm(spark, SF001), V.monthly(spark, SF001),
+                                  V.founding(spark, SF001))
+    cols = ["gvkey", "fyear", "ret", "firstyear", "age"]
+    assert _rows(spark.read.parquet(f"{tmp_dir}/rp"), cols) == _rows(exp, cols)
+    cli.main(["filing-panel", "--filings", f"{tmp_dir}/filings", "--links", f"{tmp_dir}/links", "--accounts",
+              f"{tmp_dir}/acc", "--out", f"{tmp_dir}/fp"])
+    exp = jobs.filing_firm_panel(V.filings(spark, SF001), V.links_raw(spark, SF001), V.accounts(spark, SF001))
+    cols = ["cik", "gvkey", "fyear", "naics3"]
+    got = spark.read.parquet(f"{tmp_dir}/fp")
+    assert _rows(got, cols) == _rows(exp, cols) and got.count() > 0
+
+
+def test_embed_cli(spark, tmp_dir):
+    ft = V.filing_text(spark, SF001).withColumn("fname", F.col("fname").cast("string"))
+    ft.write.parquet(f"{tmp_dir}/sections")
+    cli.main(["embed", "--sections", f"{tmp_dir}/sections", "--out", f"{tmp_dir}/emb", "--compression", "zstd"])
+    out = spark.read.parquet(f"{tmp_dir}/emb")
+    assert out.count() == ft.count()
+    assert {"fname", "text", "item1_na", "embfull", "emb1"} <= set(out.columns)
+    assert out.where(F.col("embfull").isNull()).count() == 0
