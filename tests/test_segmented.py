@@ -75,7 +75,7 @@ def test_job_hot_mode_equals_plain(spark):
         segmented.HOT_ROWS = old
 
 
-@pytest.mark.parametrize("block", [5, 40])
+@pytest.mark.parametrize("block", [12, 40])   # 700 rows: three and two levels
 def test_blocked_recurrence_matches_loop(spark, block, monkeypatch):
     from panelspark.operators import segmented
     monkeypatch.setattr(segmented, "HOT_ROWS", 50)
