@@ -44,8 +44,12 @@ def _numeric(df: DataFrame, c: Column) -> Column:
     from pyspark.sql import types as T
     if isinstance(t, T.DateType):
         return F.date_diff(c, F.lit("1970-01-01").cast("date")).cast("double")
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double") / 1e6
+    if isinstance(t, T.TimestampType):
+        return F.unix_micros(c).cast("double") / 1e6
+    if isinstance(t, T.TimestampNTZType):
+        # wall-clock fields, no time zone: monotone even across DST changes
+        days = F.date_diff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
+        return days * 86400.0 + F.hour(c) * 3600.0 + F.minute(c) * 60.0 + F.second(c).cast("double")
     return c.cast("double")
 
 
