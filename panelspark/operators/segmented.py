@@ -38,10 +38,13 @@ def hot_key_rows(df: DataFrame, keys: Sequence[str]) -> int:
     return int(r or 0)
 
 
-def _numeric(df: DataFrame, c: Column) -> Column:
-    """The order value as a double (dates as days, timestamps as seconds)."""
+def _numeric(df: DataFrame, c: Column) -> Column | None:
+    """The order value as a double (dates as days, timestamps as seconds); None
+    for types without a numeric form."""
     t = df.select(c).schema.fields[0].dataType
     from pyspark.sql import types as T
+    if not isinstance(t, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return None
     if isinstance(t, T.DateType):
         return F.date_diff(c, F.lit("1970-01-01").cast("date")).cast("double")
     if isinstance(t, T.TimestampType):
@@ -71,17 +74,29 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     prev, nxt, sums = dict(prev or {}), dict(nxt or {}), dict(sums or {})
     keys = list(keys)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    v = _numeric(df, order_cols[0])
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+    # value ranges of the first order column; a key whose first column is all
+    # one value is cut on the second order column instead (still in order)
+    vs = [v for v in (_numeric(df, c) for c in order_cols[:2]) if v is not None][:2]
+    if not vs or _numeric(df, order_cols[0]) is None:
+        raise ValueError("segmented scans need a numeric, date or timestamp first order column")
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for j, v in enumerate(vs):
+        aggs += [F.min(v).alias(f"__lo{j}"), F.max(v).alias(f"__hi{j}")]
+    stats = df.groupBy(*keys).agg(*aggs)
     if hot_rows is not None:
         stats = stats.where(F.col("__n") > hot_rows)
     # hot keys only; AQE splits the skewed side of this join
-    s = df.join(stats.select(*keys, "__lo", "__hi"), keys, "left")
-    span = F.col("__hi") - F.col("__lo")
-    seg = F.floor((v - F.col("__lo")) * F.lit(float(segments)) / span)
-    seg = F.when(span > 0, F.least(F.greatest(seg, F.lit(0)), F.lit(segments - 1)))
+    s = df.join(stats.drop("__n").withColumn("__hot", F.lit(True)), keys, "left")
+    # a null first value sorts first: always segment 0
+    seg = F.when(vs[0].isNull(), F.lit(0))
+    for j, v in enumerate(vs):
+        span = F.col(f"__hi{j}") - F.col(f"__lo{j}")
+        cut = F.least(F.greatest(F.floor((v - F.col(f"__lo{j}")) * F.lit(float(segments)) / span), F.lit(0)),
+                      F.lit(segments - 1))
+        seg = seg.when(span > 0, cut)
     s = (s.withColumn(SEG, F.coalesce(seg.cast("int"), F.lit(0)))
-          .withColumn("__hot", F.col("__lo").isNotNull() | F.col("__hi").isNotNull()).drop("__lo", "__hi"))
+          .withColumn("__hot", F.coalesce(F.col("__hot"), F.lit(False)))
+          .drop(*[f"__{b}{j}" for j in range(len(vs)) for b in ("lo", "hi")]))
     wl = Window.partitionBy(*keys, SEG).orderBy(*order_cols)
     s = s.withColumn("__lrn", F.row_number().over(wl))
     upto = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -147,3 +147,13 @@ def test_segmented_timestamp_ntz_order(spark, monkeypatch):
         same(P.row_index(df, "k", ["t"], "c"), P.row_index(df, "k", ["t"], "c", segments=5), ["t", "c"])
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_segmented_splits_on_second_column_when_first_is_tied(spark, monkeypatch):
+    from panelspark.operators import segmented
+    monkeypatch.setattr(segmented, "HOT_ROWS", None)
+    rows = [(1, 2000, i, None if i % 4 else float(i)) for i in range(90)]   # one year, many rows
+    df = spark.createDataFrame(rows, "k long, y int, i long, x double")
+    same(P.nearest_fill(df, "k", ["y", "i"], "x"), P.nearest_fill(df, "k", ["y", "i"], "x", segments=6), ["i", "x"])
+    t = segmented.segmented_scan(df, ["k"], ["y", "i"], 6)
+    assert t.select("__rn").distinct().count() == 90
