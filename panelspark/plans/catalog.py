@@ -886,6 +886,23 @@ select gvkey, fyear, round(k, {ROUND_STOCKS}) as kcap_v2, round(o, {ROUND_STOCKS
 
 SQL["intangible_stocks"] = JOB_C_SQL
 
+# age_mode='recomputed' (quirk Q5): after the first densify every row's age is
+# its year minus the firm's IPO year, so gap and IPO-year rows get their own rate
+JOB_C_RECOMPUTED_SQL = JOB_C_SQL.replace(
+    "s10 as (" + _densify_cte("s10d") + "),",
+    "s10r as (" + _densify_cte("s10d") + "),\n"
+    "s10 as (select * replace (cast(fyear - max(year(ipodate)) over (partition by gvkey) as integer) as ageipo)"
+    " from s10r),")
+assert JOB_C_RECOMPUTED_SQL != JOB_C_SQL
+
+
+@query("intangible_stocks_recomputed_age", JOB_C_RECOMPUTED_SQL)
+def q_intangible_stocks_recomputed_age(spark, d):
+    s = I.intangible_stocks(V.panel(spark, d), V.company(spark, d), V.founding(spark, d),
+                            exclude=EXCLUDED_FIRMS, pivot_year=PIVOT_YEAR, age_mode="recomputed")
+    return s.select("gvkey", "fyear", r("kcap_v2", ROUND_STOCKS).alias("kcap_v2"),
+                    r("ocap_v2", ROUND_STOCKS).alias("ocap_v2"))
+
 
 # =========================================================================== streaming
 
