@@ -1001,3 +1001,22 @@ def q_chunks_stream(spark, d):
                     f"{base}/out", f"{base}/_checkpoint", max_files_per_trigger=2)
     c = spark.read.parquet(f"{base}/out").drop("batch")
     return c.select("doc_id", "chunk_no", "n_chars", F.md5("chunk").alias("chunk_md5"))
+
+
+# zero_mode='keep_zero' (quirk Q6): a zero flow stays 0 instead of coming back as exp(0) = 1
+JOB_C_KEEP_ZERO_SQL = JOB_C_SQL.replace(
+    "case when not (xsga < 0) or xsga is null then exp(logxsga) else xsga end as xsga,",
+    "case when xsga = 0 then 0.0::double when not (xsga < 0) or xsga is null then exp(logxsga) else xsga end as xsga,",
+).replace(
+    "case when not (xrd < 0) or xrd is null then exp(logxrd) else xrd end as xrd)",
+    "case when xrd = 0 then 0.0::double when not (xrd < 0) or xrd is null then exp(logxrd) else xrd end as xrd)",
+)
+assert JOB_C_KEEP_ZERO_SQL.count("0.0::double when not") == 2
+
+
+@query("intangible_stocks_keep_zero", JOB_C_KEEP_ZERO_SQL)
+def q_intangible_stocks_keep_zero(spark, d):
+    s = I.intangible_stocks(V.panel(spark, d), V.company(spark, d), V.founding(spark, d),
+                            exclude=EXCLUDED_FIRMS, pivot_year=PIVOT_YEAR, zero_mode="keep_zero")
+    return s.select("gvkey", "fyear", r("kcap_v2", ROUND_STOCKS).alias("kcap_v2"),
+                    r("ocap_v2", ROUND_STOCKS).alias("ocap_v2"))
