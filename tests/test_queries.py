@@ -32,11 +32,11 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_listed():
     import __spark_entry__ as E
-    missing = sorted(set(E.queries()) - set(E.oracle_sql()))
+    missing = sorted(set(E.catalog.QUERIES) - set(E.oracle_sql()))
     assert missing == ["embed_docs"]   # brute-force checked in test_text_vectors
 
 
-@pytest.mark.parametrize("name", sorted(__import__("__spark_entry__").oracle_sql()))
+@pytest.mark.parametrize("name", sorted(__import__("__spark_entry__").catalog.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     import __spark_entry__ as E
     df = E.queries()[name](spark, SF001)
