@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,3 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op6_quality_rules")
 def op6(spark, sf_dir):
     return quality_rules.quality_signals(table(spark, sf_dir, "documents"))
+
+
+@query("op2_best_fit_packing")
+def op2(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
