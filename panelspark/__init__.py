@@ -1,3 +1,10 @@
 """panelspark: entity-year panels, link tables and filing text as Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel whole, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
