@@ -34,16 +34,22 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the base and of its inverse, grown on demand."""
+    """Powers of the base and of its inverse, grown on demand and never sent to workers."""
 
-    up = down = np.ones(1, dtype=np.uint64)
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
+    def __reduce__(self):
+        return _Powers, ()
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
             size = max(n, BLOCK * 2)
-            cls.up, cls.down = _powers(_BASE, size), _powers(_INVERSE, size)
-        return cls.up, cls.down
+            self.up, self.down = _powers(_BASE, size), _powers(_INVERSE, size)
+        return self.up, self.down
+
+
+_POWERS = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,7 +94,7 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         a = int(start[i])
         j = max(i + 1, int(np.searchsorted(end, a + BLOCK, side="right")))
         b = int(end[j - 1])
-        up, down = _Powers.to(b - a + 1)
+        up, down = _POWERS.to(b - a + 1)
         sums = np.zeros(b - a + 1, dtype=np.uint64)
         np.cumsum(_BYTE[data[a:b]] * up[:b - a], out=sums[1:])
         s, e = start[i:j] - a, end[i:j] - a
