@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stage import written
-from .words import Words, gram_starts, grams, mix, steps
+from .words import LOWER, Words, gram_starts, grams, mix, steps
 
 SHINGLE = 5
 #: Least similarity, per cent.
@@ -54,7 +54,7 @@ def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes ascending within each text, number of each text) of the distinct k-word shingles."""
-    w = Words(texts, lower=True)
+    w = Words(texts, LOWER)
     g, ok = grams(w.hash, k), gram_starts(w.ptr, k, len(w.hash))
     g, doc = g[ok], w.doc[:len(ok)][ok]
     short = np.flatnonzero((w.count > 0) & (w.count < k))

@@ -20,8 +20,11 @@ BLOCK = 1 << 18
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Byte maps for ``Words``: A-Z to lower case; and all ASCII but letters and digits to spaces besides.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+PLAIN = LOWER.copy()
+PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,10 +113,10 @@ class Words:
     ``doc``: text of each word; ``hash``: 64 bits a word.
     """
 
-    def __init__(self, col: pa.Array, lower: bool = False, hashed: bool = True):
+    def __init__(self, col: pa.Array, fold: np.ndarray | None = None, hashed: bool = True):
         self.data, self.bounds = text_bytes(col)
-        if lower:
-            self.data = _LOWER[self.data]
+        if fold is not None:
+            self.data = fold[self.data]
         n = len(self.data)
         inside = ~_IS_SPACE[self.data]
         first = inside.copy()
