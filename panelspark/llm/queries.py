@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dedup, packing, quality_rules, substring_dedup
+from . import decontamination, language_id, near_dedup, packing, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,3 +54,11 @@ def op7(spark, sf_dir):
 def op9(spark, sf_dir):
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
     return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(docs["doc_id"].cast("string")) % 5 == 0, F.lit(False))
+    model = language_id.train(docs.filter(~held_out))
+    return language_id.predict(docs, model, "doc_id", "text", held_out.alias("held_out"))
