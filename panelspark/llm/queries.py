@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, packing, quality_rules, substring_dedup
+from . import decontamination, language_id, near_dedup, packing, quality_rules, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op8(spark, sf_dir):
     held_out = F.coalesce(F.crc32(docs["doc_id"].cast("string")) % 5 == 0, F.lit(False))
     model = language_id.train(docs.filter(~held_out))
     return language_id.predict(docs, model, "doc_id", "text", held_out.alias("held_out"))
+
+
+@query("op1_token_counts")
+def op1(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
