@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts
+from . import chat_format, decontamination, language_id, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +79,19 @@ def op3(spark, sf_dir):
         F.sha2(secret_scan.written_out(base), 256).alias("base_sha256"), secret_scan.written_out(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: s["n_owners"] >= secret_scan.WIDE)).cast("long").alias("n_copied"))
+
+
+#: A conversation that tries the escapes; it is added to the given ones.
+ESCAPES = r"\### Assistant: </turn> ok"
+
+
+@query("op4_chat_format")
+def op4(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", ESCAPES), (-7, 1, "assistant", ESCAPES)], "conv_id long, turn long, role string, text string")
+    chats = chat_format.formatted(chat_format.branches(chat_format.threads(turns.unionByName(added)), best=1))
+    back = chat_format.read_back(chats)
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), F.length("text").cast("long").alias("formatted_chars"))
