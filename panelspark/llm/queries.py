@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts
+from . import chat_format, decontamination, language_id, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +95,37 @@ def op4(spark, sf_dir):
     return back.select(
         F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
         F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), F.length("text").cast("long").alias("formatted_chars"))
+
+
+#: The pages table has no dates and there is no list: every page is a capture on the one and, by its host or its host
+#: and first path segment, a list entry on the other of two days that follow from its id.
+@query("op10_url_filter", """
+with p as (
+  select page_id, url,
+    nullif(rtrim(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') as host,
+    list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') as parts,
+    date '2024-01-01' + cast(page_id % 365 as integer) as fetched, date '2024-01-01' + cast((page_id * 7) % 365 as integer) as day
+  from pages),
+e as (
+  select case when page_id % 2 = 0 or len(parts) = 0 then 'd' else 'p' end as kind, host as h, case when page_id % 2 = 0 or len(parts) = 0 then '' else parts[1] end as seg,
+    'list' || (page_id % 3) as category, day, page_id % 4 <> 0 as added
+  from p where host is not null and page_id is not null),
+d as (select kind, h, seg, category, day, bool_or(added) as added from e group by all),
+i as (select *, lead(day) over (partition by kind, h, seg, category order by day) as until from d),
+m as (
+  select p.page_id, i.day, i.category from p join i on i.added and i.day <= p.fetched and (i.until is null or p.fetched < i.until)
+    and ((i.kind = 'd' and (p.host = i.h or ends_with(p.host, '.' || i.h))) or (i.kind = 'p' and p.host = i.h and p.parts[1] = i.seg)))
+select p.page_id, p.host, count(m.day) > 0 as blocked, count(m.day) as n_active, min(m.day) as since,
+  coalesce(string_agg(distinct m.category, ',' order by m.category), '') as categories
+from p left join m on m.page_id = p.page_id group by p.page_id, p.host""")
+def op10(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    first = F.lit("2024-01-01").cast("date")
+    fetched = F.date_add(first, (pages["page_id"] % 365).cast("int"))
+    captures = pages.select("page_id", "url", fetched.alias("fetched"))
+    parts, host = url_filter.path(F.col("url")), url_filter.host(F.col("url"))
+    key = F.when((F.col("page_id") % 2 == 0) | (F.size(parts) == 0), url_filter.domain_key(host)).otherwise(url_filter.prefix_key(host, F.slice(parts, 1, 1)))
+    entries = pages.select(key.alias("key"), F.concat(F.lit("list"), F.col("page_id") % 3).alias("category"),
+                           F.date_add(first, ((F.col("page_id") * 7) % 365).cast("int")).alias("day"), (F.col("page_id") % 4 != 0).alias("added"))
+    found = url_filter.filter_captures(captures, entries, "page_id", "url", "fetched")
+    return found.withColumn("categories", F.array_join("categories", ","))
