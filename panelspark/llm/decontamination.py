@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stage import text_batches
 from .words import PLAIN, Words, gram_starts, grams, steps
 
 SHINGLE, SIMILARITY = 5, 80
@@ -167,6 +168,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item that match: both ids, first_word, n_words, shared, of (size of the union)."""
     spark = docs.sparkSession
+    text_batches(spark)
     narrow = docs.select(docs[id_col].alias("id"), F.lower(docs[text_col]).alias("text"))
     kinds = dict(narrow.dtypes)["id"], dict(benchmark.dtypes)[item_col]
     schema = f"id {kinds[0]}, item {kinds[1]}, first_word int, n_words int, shared int, of int"
@@ -192,6 +194,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that match no item, with all their columns."""
     spark = docs.sparkSession
+    text_batches(spark)
     for _, block in _blocks(benchmark, item_col, item_text):
         shared = spark.sparkContext.broadcast(block)
 

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stage import text_batches
 from .words import LOWER, steps, text_bytes
 
 #: Lower case, and everything in ASCII that is no letter as a space.
@@ -143,6 +144,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["lang", "bucket", "n"])
 
+    text_batches(labelled.sparkSession)
     rows = labelled.select(labelled[text_col].alias("text"), labelled[label_col].alias("lang")).filter("lang is not null and text is not null")
     summed = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = summed.limit(MAX_LANGUAGES * len(GRAMS) * BUCKETS + 1).toPandas()  # no more than this passes; more labels are refused
@@ -157,6 +159,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """One row per input row: id, ``more``, lang_pred, score, ambiguous. Only the text is looked at."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .stage import written
+from .stage import text_batches, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -88,6 +88,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """One row per piece: id, piece, start, length, ids_crc32 (and ``ids`` if asked), with the task
     ``part`` that made it and its ``rank`` among that task's pieces of its length."""
     spark = docs.sparkSession
+    text_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't follow the data
     narrow = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .stage import text_batches
 from .words import Words, covered, gram_starts, grams, mix, per_text, repeated, span_hash, steps
 
 #: n-gram length -> most per cent of the characters in words that repeated n-grams of it may hold.
@@ -94,6 +95,7 @@ def quality_signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 got = measure(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(got[c]) for c in names)], names=["id", *names])
 
+    text_batches(docs.sparkSession)
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return narrow.mapInArrow(run, f"id {dict(narrow.dtypes)['id']}, {SIGNALS}").withColumnRenamed("id", id_col)
 
@@ -106,4 +108,5 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for part in steps(batch, text_col):
                 yield part.filter(pa.array(measure(part.column(part.schema.get_field_index(text_col)))["kept"]))
 
+    text_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
