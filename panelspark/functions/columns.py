@@ -39,6 +39,11 @@ def parse_yyyymmdd(c: str | Column) -> Column:
     return F.try_to_date(F.trim(col_(c).cast("string")), "yyyyMMdd")
 
 
+def has_date_code(c: str | Column) -> Column:
+    """Whether a yyyymmdd code is written with eight digits (P12); codes cut short or with stray characters aren't."""
+    return F.coalesce(F.rlike(F.trim(col_(c).cast("string")), F.lit(r"^[0-9]{8}$")), F.lit(False))
+
+
 # Link-table date codes and the dates they stand for.
 LINK_NULL_CODE = "0"
 LINK_SINCE_EVER_CODE = "B"
@@ -139,24 +144,6 @@ SIC_RATES = {  # group: (delta for R&D, gamma for SG&A)
 SIC_GROUP_ORDER = ["g1", "g2", "g3", "g4"]
 
 
-def sic_group(sic: str | Column) -> Column:
-    """SIC code -> industry group name, first matching group wins (CASE of BETWEENs)."""
-    s = col_(sic)
-    expr = None
-    for g in SIC_GROUP_ORDER:
-        cond = _sic_condition(s, g)
-        expr = F.when(cond, F.lit(g)) if expr is None else expr.when(cond, F.lit(g))
-    return expr.otherwise(F.lit("other"))
-
-
-def _sic_condition(s: Column, group: str) -> Column:
-    cond = None
-    for lo, hi in SIC_GROUPS[group]:
-        c = (s == lo) if lo == hi else s.between(lo, hi)
-        cond = c if cond is None else (cond | c)
-    return cond
-
-
 def sic_rate_sql(sic: str, which: str) -> str:
     """The SIC -> rate CASE as SQL text: each range tested once, first group wins."""
     idx = {"delta": 0, "gamma": 1}[which]

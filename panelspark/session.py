@@ -41,8 +41,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only set our own when it
-    is unset (local tests).
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    ``local[...]`` session gets a folder of its own and any other raises.
     """
     try:
         sc = spark.sparkContext
@@ -55,8 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         except Exception:  # noqa: BLE001 - unset key
             d = None
     if not d:
-        # only where the cluster names none (local tests)
-        d = fallback or os.path.join("/tmp", f"panelspark-ckpt-{uuid.uuid4().hex[:8]}")
+        if not fallback and not (sc and sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        d = fallback or os.path.join("/tmp", f"panelspark-ckpt-{uuid.uuid4().hex[:8]}")  # one machine: tests
         if sc is None:
             spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and not sc.getCheckpointDir():
@@ -65,9 +66,22 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location (never a machine-local tmp)."""
+    """A fresh folder under the shared checkpoint location; ``clear_scratch`` deletes it."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this process's scratch folders, once no result that reads them is needed any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df):

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import nan_to_null, parse_yyyymmdd
+from ..session import materialize
+
 # Fixed value: rows per part file chosen for the source's job queue.
 ROWS_PER_PART = 1516
 
@@ -20,18 +23,67 @@ ROWS_PER_PART = 1516
 
 def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None,
                fmt: str = "parquet", **options) -> DataFrame:
-    """Read a table. CSV: header row, explicit schema; bad UTF-8 bytes are replaced
-    and malformed rows kept (S2) unless ``mode`` says otherwise."""
+    """Read a table; NaN becomes null. CSV goes by its header (``read_csv``)."""
+    if fmt == "csv":
+        return read_csv(spark, path, schema, **options)
     r = spark.read.format(fmt)
     if schema is not None:
         r = r.schema(schema)
-    if fmt == "csv":
-        opts = {"header": "true", "encoding": "UTF-8", "mode": "PERMISSIVE"}
-        opts.update(options)
-        options = opts
     for k, v in options.items():
         r = r.option(k, v)
-    return r.load(path if isinstance(path, str) else list(path))
+    return without_nan(r.load(path if isinstance(path, str) else list(path)))
+
+
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN -> null in every float column: the source's missing number."""
+    kinds = {c: t for c, t in df.dtypes if t in ("double", "float")}
+    return df.withColumns({c: nan_to_null(df[c]) for c in kinds}) if kinds else df
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None,
+             corrupt: str | None = None, **options) -> DataFrame:
+    """CSV with a header row.
+
+    Columns are found by their header names, in any order and letter case; a
+    missing one raises ``ValueError`` and ones outside the schema are left out.
+    Dates may be yyyymmdd codes or yyyy-mm-dd; cells that the type can't hold
+    become null; undecodable bytes become U+FFFD. ``corrupt`` names a column
+    that tells what was wrong with a row: the whole record if its number of
+    fields differs from the header's, else the names of its unreadable cells,
+    joined by commas, and null for a sound row.
+    """
+    paths = path if isinstance(path, str) else list(path)
+    opts = {"header": "true", "encoding": "UTF-8", "mode": "PERMISSIVE", **options}
+    header = spark.read.options(**opts).option("inferSchema", "false").csv(paths).columns
+    raw = "_corrupt_record"
+    text = T.StructType([T.StructField(c, T.StringType()) for c in [*header, raw]])
+    # enforceSchema=false: every file's header must be the first one's
+    df = spark.read.schema(text).options(**opts).option("enforceSchema", "false").option("columnNameOfCorruptRecord", raw).csv(paths)
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema or T.StructType([T.StructField(c, T.StringType()) for c in header])).fields
+    place = {c.strip().lower(): c for c in header}
+    missing = [f.name for f in fields if f.name.lower() not in place]
+    if missing:
+        raise ValueError(f"the header of {path} lacks {', '.join(missing)}")
+    cells = {f.name: F.col(f"`{place[f.name.lower()]}`") for f in fields}
+    typed = {f.name: _typed(cells[f.name], f.dataType) for f in fields}
+    out = [typed[f.name].alias(f.name) for f in fields]
+    if corrupt:
+        bad = [F.when((F.trim(cells[c]) != "") & typed[c].isNull(), F.lit(c)) for c in typed]
+        out.append(F.coalesce(F.col(raw), F.nullif(F.concat_ws(",", *bad), F.lit(""))).alias(corrupt))
+    return df.select(*out)
+
+
+def _typed(cell, kind: T.DataType):
+    if isinstance(kind, T.StringType):
+        return cell
+    trimmed = F.trim(cell)
+    if isinstance(kind, T.DateType):
+        return F.when(F.length(trimmed) == 8, parse_yyyymmdd(trimmed)).otherwise(F.try_to_date(trimmed, "yyyy-MM-dd"))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return nan_to_null(trimmed.try_cast(kind))
+    if isinstance(kind, T.IntegralType):  # 7.0 is 7, as where a column with missing values was written from floats
+        return trimmed.try_cast("decimal(38,6)").try_cast(kind)
+    return trimmed.try_cast(kind)
 
 
 def read_founding(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -39,6 +91,7 @@ def read_founding(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame
 
     Spark has no spreadsheet source; the sheet is landed as CSV (or Parquet)
     and read with an explicit schema, then columns are selected and renamed.
+    Drop incomplete rows (``clean_founding``) before leaving columns out.
     """
     schema = T.StructType([
         T.StructField("CUSIP", T.StringType()),
@@ -61,7 +114,7 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Raise ``ValueError`` when a required column is missing (P15); driver-side, schema only."""
     missing = [n for n in names if n not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns in the input DataFrame: {missing}")
+        raise ValueError(f"these columns are needed and not there: {', '.join(missing)}")
     return df
 
 
@@ -98,68 +151,44 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 def write_split(df: DataFrame, ok: str, ok_path: str, err_path: str, fmt: str = "parquet",
                 mode: str = "overwrite") -> None:
-    """Dead-letter sink (K5): rows with ``ok`` true to one dataset, the rest to another."""
-    df = df.cache()
-    try:
-        write_table(df.where(F.col(ok)).drop(ok), ok_path, fmt, mode)
-        write_table(df.where(~F.col(ok)).drop(ok), err_path, fmt, mode)
-    finally:
-        df.unpersist()
+    """Dead-letter sink (K5): rows with ``ok`` true to one dataset, the rest (``ok`` false or null) to another.
+
+    The plan runs once for each; pass a written table if it is dear.
+    """
+    good = F.coalesce(F.col(ok), F.lit(False))
+    write_table(df.where(good).drop(ok), ok_path, fmt, mode)
+    write_table(df.where(~good).drop(ok), err_path, fmt, mode)
 
 
 # --------------------------------------------------------------------------- K4
 
-def with_row_number(df: DataFrame, order: Sequence[str], out: str = "row_no",
-                    partitions: int | None = None) -> DataFrame:
+def with_row_number(df: DataFrame, order: Sequence[str], out: str = "row_no") -> DataFrame:
     """Global 0-based row number in ``order`` without a single-partition window.
 
-    Rows are cut into ordered buckets at split points of the first order column:
-    ``partitions - 1`` approximate quantiles, computed once and embedded in the
-    plan as a literal (a bounded array), so every branch and every retry sees
-    the same buckets; a bucket is the number of split points at or below the
-    value. Rows are numbered inside each bucket; each bucket's offset is a
-    running sum over one count per bucket -- a table of at most ``partitions``
-    rows, broadcast back. ``order`` must be unique.
+    The order columns alone - of any sortable types - are range partitioned on the whole
+    order and sorted; each row's place within its partition is written down, and a
+    running sum over one count per partition gives the offsets. The numbers then
+    join the wide rows. ``order`` must be unique; nulls come first.
     """
     order = list(order)
-    n = partitions or _parallelism(df.sparkSession)
-    first = F.col(order[0])
-    qs = [i / n for i in range(1, n)]
-    q = sorted(set(df.agg(F.percentile_approx(first, qs, 10000)).first()[0] or []))
-    # bucket = number of split points at or below the value (a sum of comparisons;
-    # no higher-order function over a literal array, which Catalyst mis-binds
-    # once the result is grouped on)
-    b = df.withColumn("__b", _count_le(q, first))
-    b = b.withColumn("__pos", F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1)
-    counts = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    return (b.join(F.broadcast(offsets), "__b")
-             .withColumn(out, (F.col("__off") + F.col("__pos")).cast("long"))
-             .drop("__b", "__pos", "__off"))
-
-
-def _count_le(points, c):
-    """Number of ``points`` (sorted) at or below ``c``, as a balanced CASE (depth log2 n)."""
-    def rec(lo, hi):          # answer lies in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2   # is points[mid-1] <= c ?
-        return F.when(c >= F.lit(points[mid - 1]), rec(mid, hi)).otherwise(rec(lo, mid - 1))
-    return rec(0, len(points)).cast("int")
-
-
-def _parallelism(spark: SparkSession) -> int:
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - remote session
-        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def row_chunks(df: DataFrame, order: Sequence[str], rows: int = ROWS_PER_PART, out: str = "chunk",
-               partitions: int | None = None) -> DataFrame:
+    keys = df.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    # the id counts up from the partition's number << 33
+    placed = materialize(keys.withColumn("__id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    numbered = placed.join(offsets, "__part").withColumn(out, (F.col("__off") + F.col("__at")).cast("long")).select(*order, out)
+    if set(df.columns) == set(order):
+        return numbered.select(*df.columns, out)
+    n = numbered.select(*(F.col(c).alias(f"__{c}") for c in order), out)
+    same = [df[c].eqNullSafe(n[f"__{c}"]) for c in order]
+    return df.join(n, same).select(*(df[c] for c in df.columns), out)
+
+
+def row_chunks(df: DataFrame, order: Sequence[str], rows: int = ROWS_PER_PART, out: str = "chunk") -> DataFrame:
     """Stable part number: consecutive blocks of ``rows`` rows in ``order`` (K4)."""
-    numbered = with_row_number(df, order, "__row", partitions)
+    numbered = with_row_number(df, order, "__row")
     return numbered.withColumn(out, F.floor(F.col("__row") / rows).cast("long")).drop("__row")
 
 
@@ -167,5 +196,5 @@ def write_row_chunks(df: DataFrame, path: str, order: Sequence[str], rows: int =
                      fmt: str = "parquet") -> None:
     """Write one directory per part number (``chunk=N``), rows kept in order (K4)."""
     parts = row_chunks(df, order, rows)
-    (parts.repartition("chunk").sortWithinPartitions(*order)
+    (parts.repartition("chunk").sortWithinPartitions("chunk", *order)  # the writer's own order, so it sorts no more
           .write.mode("overwrite").format(fmt).partitionBy("chunk").save(path))

@@ -38,3 +38,12 @@ FILER_LINKS = _s(("cik", L), ("gvkey", L), ("source", S), ("link_desc", S), ("se
                  ("link_company_name", S), ("link_start_date", S), ("link_end_date", S), ("N10K", I))
 # stored filing sections
 SECTIONS = _s(("fname", S), ("item1", S), ("item1a", S), ("item7", S))
+# linked filings and the filings' plain text
+LINKED_FILINGS = _s(("cik", L), ("gvkey", L), ("fyear", I), ("fname", S))
+FILING_BODIES = _s(("fname", S), ("body", S))
+# link history, accounts with their format flags, security months and history
+LINK_HISTORY = _s(("gvkey", L), ("linktype", S), ("linkprim", S), ("lpermno", L), ("lpermco", L), ("linkdt", DT), ("linkenddt", DT))
+ACCOUNT_KEYS = _s(("gvkey", L), ("fyear", I), ("datadate", DT), ("indfmt", S), ("datafmt", S), ("popsrc", S), ("consol", S))
+MONTHLY_RAW = _s(("permco", L), ("permno", L), ("date", DT), ("ret", D), ("shrout", D), ("altprc", D))
+SECURITY_HISTORY = _s(("permno", L), ("secinfostartdt", DT), ("secinfoenddt", DT), ("sharetype", S), ("securitytype", S), ("securitysubtype", S),
+                      ("usincflg", S), ("issuertype", S), ("primaryexch", S), ("conditionaltype", S), ("tradingstatusflg", S), ("siccd", I))
