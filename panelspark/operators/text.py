@@ -54,14 +54,10 @@ def concat_sections(df: DataFrame, first: str = "item1", second: str = "item1a",
     If item 1 is long: drop 7 when only 7 is short, drop 1A when only 1A is
     short, keep item 1 alone when both are short. Otherwise keep all three.
     """
-    a, b, c = F.col(first), F.col(second), F.col(third)
     na = {x: F.col(x + suffix) for x in (first, second, third)}
     long1 = na[first] == 0
-    txt = (F.when(long1 & (na[second] == 0) & (na[third] == 1), F.concat(a, b))
-            .when(long1 & (na[second] == 1) & (na[third] == 0), F.concat(a, c))
-            .when(long1 & (na[second] == 1) & (na[third] == 1), a)
-            .otherwise(F.concat(a, b, c)))
-    return df.withColumn(out, txt)
+    part = lambda x: F.when(long1 & (na[x] == 1), F.lit("")).otherwise(F.col(x))
+    return df.withColumn(out, F.concat(F.col(first), part(second), part(third)))
 
 
 def clean_sections(df: DataFrame, key_in: str = "link", key_out: str = "fname",
@@ -79,21 +75,39 @@ def extract_sections(df: DataFrame, key: str, text: str, patterns: Mapping[str,
     """Extract one regex capture group per section; split into (ok, errors) (V1, K5).
 
     A row whose text does not match ``require`` or misses any section goes to
-    the error set whole -- one row per document, never a half-filled row. The
-    split is two filters of one plan (``cache`` the input to scan it once).
+    the error set whole -- one row per document, never a half-filled row. Each
+    pattern runs once a row: its first match, or null, is kept in an array.
     """
     t = F.col(text)
-    ok_cond: Column = F.lit(True)
-    if require is not None:
-        ok_cond = ok_cond & t.rlike(require)
-    for pat in patterns.values():
-        ok_cond = ok_cond & t.rlike(pat)
-    marked = df.withColumn("__ok", F.coalesce(ok_cond, F.lit(False)))
-    ok = marked.where("__ok").select(
-        *[c for c in df.columns if c != text],
-        *[F.regexp_extract(t, pat, 1).alias(name) for name, pat in patterns.items()])
-    errors = marked.where(~F.col("__ok")).select(*[c for c in df.columns if c != text])
-    return ok, errors
+    others = [c for c in df.columns if c != text]
+    found = F.array(*(F.get(F.regexp_extract_all(t, F.lit(pat), F.lit(1)), F.lit(0)) for pat in patterns.values()))
+    marked = df.select(*others, found.alias("__found"), *([F.coalesce(t.rlike(require), F.lit(False)).alias("__fits")] if require else []))
+    whole = ~F.exists("__found", lambda s: s.isNull())
+    if require:
+        whole = whole & F.col("__fits")
+    sections = [F.col("__found")[i].alias(name) for i, name in enumerate(patterns)]
+    return marked.where(whole).select(*others, *sections), marked.where(~whole).select(*others)
+
+
+#: Headings of items 1, 1A and 7 of an annual report in plain text; each section runs to the next item's heading.
+ITEM_PATTERNS = {
+    "item1": r"(?is)(?:^|\n)\s*item\s+1\s*[.:\-]?\s+business\b(.*?)(?=\n\s*item\s+(?:1a|1b|2)\b|\Z)",
+    "item1a": r"(?is)(?:^|\n)\s*item\s+1a\s*[.:\-]?\s+risk\s+factors\b(.*?)(?=\n\s*item\s+(?:1b|2)\b|\Z)",
+    "item7": r"(?is)(?:^|\n)\s*item\s+7\s*[.:\-]?\s+management(.*?)(?=\n\s*item\s+(?:7a|8)\b|\Z)",
+}
+
+
+def filing_texts(links: DataFrame, documents: DataFrame, key: str = "fname", text: str = "body",
+                 patterns: Mapping[str, str] | None = None, min_chars: int = MIN_SECTION_CHARS) -> tuple[DataFrame, DataFrame]:
+    """The filing-text job (V1, F16, F17, J4): each distinct linked filing's sections are extracted
+    once, flagged and joined to one text, and merged back to every firm the filing is linked to.
+
+    Returns (one row per link row whose filing has all sections, filings that lack one or
+    have no document).
+    """
+    wanted = links.select(key).where(F.col(key).isNotNull()).distinct()
+    ok, errors = extract_sections(wanted.join(documents.select(key, text), key, "left"), key, text, patterns or ITEM_PATTERNS)
+    return links.join(clean_sections(ok, key, key, min_chars), key), errors
 
 
 # --------------------------------------------------------------------------- V2, F18-F21, P13

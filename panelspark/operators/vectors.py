@@ -1,10 +1,10 @@
 """Chunk encoding and vector pooling.
 
-The encoder is the only Python step: ``mapInPandas`` streams Arrow batches of
-chunks through a user-supplied encoder that is built once per Python worker.
-Pooling stays JVM-side: ``Summarizer.mean`` with a weight column is a partial
-aggregate over ML vectors, so a document with many chunks is combined map-side
-and no per-dimension explode is needed.
+The encoder is the only Python step: ``mapInArrow`` streams batches through a
+user-supplied encoder that is built once per task. ``embed_docs`` encodes and
+pools in that pass. Stored chunk vectors are pooled JVM-side:
+``Summarizer.mean`` with a weight column is a partial aggregate over ML
+vectors, so a document with many chunks is combined map-side.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import cosine, l2_normalize
-from .text import CHUNK_CAP, chunk_docs
+from .text import CHUNK_CAP, chunk_array
 
 
 class HashingEncoder:
@@ -61,28 +61,14 @@ class HashingEncoder:
         return out
 
 
-_ENCODERS: dict = {}
-
-
-def _get_encoder(factory: Callable[[], object]):
-    # built once per Python worker process (keyed by the factory's name, which
-    # survives pickling), reused for every batch and task
-    key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
-    enc = _ENCODERS.get(key)
-    if enc is None:
-        enc = factory()
-        _ENCODERS[key] = enc
-    return enc
-
-
 def embed_chunks(df: DataFrame, text: str = "chunk", out: str = "vec",
                  factory: Callable[[], object] | None = None, keep_text: bool = True) -> DataFrame:
-    """Encode each row's ``text`` to a unit vector (array<float>) (V3).
+    """Encode each row's ``text`` to a vector (array<float>) (V3).
 
     ``mapInArrow``: record batches go to the Python worker and come back as
     Arrow arrays (the vectors are built as one flat float buffer plus offsets),
-    with no pandas round trip per row. ``keep_text=False`` drops the text from
-    the output so it is not shipped back.
+    with no pandas round trip per row. ``factory`` builds one encoder per task.
+    ``keep_text=False`` drops the text from the output so it is not shipped back.
     """
     import pyarrow as pa
 
@@ -92,7 +78,7 @@ def embed_chunks(df: DataFrame, text: str = "chunk", out: str = "vec",
     names = [f.name for f in fields]
 
     def run(batches):
-        enc = _get_encoder(factory)
+        enc = factory()
         for rb in batches:
             n = rb.num_rows
             if n == 0:
@@ -108,72 +94,31 @@ def embed_chunks(df: DataFrame, text: str = "chunk", out: str = "vec",
     return df.mapInArrow(run, schema)
 
 
-def embed_pooled(chunks: DataFrame, keys: Sequence[str], text: str = "chunk", weight: str = "n_chars",
-                 out: str = "vec", factory: Callable[[], object] | None = None) -> DataFrame:
-    """Encode chunks and pool them per key in one Arrow pass (V3 + V4).
+#: Most chunks that go through the encoder at once.
+ENCODE_ROWS = 1024
 
-    ``chunks`` must come straight from ``chunk_docs`` (``posexplode``), so the
-    chunks of one key are consecutive inside one task; the pass keeps a running
-    weighted sum per key, carried across Arrow batch boundaries, and emits one
-    L2-normalised vector per key (null for a zero vector). Chunk vectors never
-    become rows and pooling needs no shuffle. Memory is one vector per open key.
-    """
-    import pyarrow as pa
 
-    factory = factory or HashingEncoder
-    keys = list(keys)
-    key_fields = [chunks.schema[k] for k in keys]
-    schema = T.StructType(key_fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-
-    def run(batches):
-        enc = _get_encoder(factory)
-        done_keys, done_vecs = [], []
-        cur, acc = None, None
-
-        def flush():
-            if cur is not None:
-                nrm = float(np.sqrt((acc * acc).sum()))
-                done_keys.append(cur)
-                done_vecs.append((acc / nrm).tolist() if nrm > 0 else None)
-
-        def emit():
-            cols = [pa.array([k[i] for k in done_keys], type=pa.from_numpy_dtype(np.int64)
-                             if isinstance(key_fields[i].dataType, T.LongType) else None)
-                    for i in range(len(keys))]
-            rb = pa.RecordBatch.from_arrays(cols + [pa.array(done_vecs, type=pa.list_(pa.float64()))],
-                                            names=keys + [out])
-            done_keys.clear()
-            done_vecs.clear()
-            return rb
+def _pool_rows(chunks, encoder) -> list:
+    """One unit vector per row of a list-of-chunks column: chunk vectors weighted by their
+    lengths; null without chunks or for a zero vector."""
+    import pyarrow.compute as pc
 
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            kcols = [rb.column(rb.schema.get_field_index(k)).to_pylist() for k in keys]
-            kk = list(zip(*kcols))
-            vecs = enc.encode(rb.column(rb.schema.get_field_index(text)).to_pylist())
-            w = np.asarray(rb.column(rb.schema.get_field_index(weight)).to_numpy(zero_copy_only=False),
-                           dtype=np.float64)
-            # float32 like the stored vectors, then pooled in double
-            wv = vecs.astype(np.float32).astype(np.float64) * w[:, None]
-            start = 0
-            for i in range(1, len(kk) + 1):
-                if i == len(kk) or kk[i] != kk[start]:
-                    part = wv[start:i].sum(axis=0)
-                    psum = w[start:i].sum()
-                    if kk[start] == cur:
-                        acc, wsum = acc + part, wsum + psum
-                    else:
-                        flush()
-                        cur, acc, wsum = kk[start], part, psum
-                    start = i
-            if done_keys:
-                yield emit()
-        flush()
-        if done_keys:
-            yield emit()
-
-    return chunks.select(*keys, text, weight).mapInArrow(run, schema)
+    flat = chunks.flatten()
+    size = np.nan_to_num(pc.list_value_length(chunks).to_numpy(zero_copy_only=False)).astype(np.int64)
+    owner = np.repeat(np.arange(len(chunks)), size)
+    sums = None
+    for at in range(0, len(flat), ENCODE_ROWS):
+        texts = flat.slice(at, ENCODE_ROWS).to_pylist()
+        # float32 like stored vectors, then pooled in double
+        vecs = np.asarray(encoder.encode(texts), dtype=np.float32).astype(np.float64)
+        vecs *= np.fromiter(map(len, texts), dtype=np.float64, count=len(texts))[:, None]
+        if sums is None:
+            sums = np.zeros((len(chunks), vecs.shape[1]))
+        np.add.at(sums, owner[at:at + ENCODE_ROWS], vecs)
+    if sums is None:
+        return [None] * len(chunks)
+    norms = np.sqrt((sums * sums).sum(axis=1))
+    return [(v / n).tolist() if n > 0 else None for v, n in zip(sums, norms)]
 
 
 def pool_vectors(df: DataFrame, key: str | Sequence[str], vector: str, weight: str | None = None,
@@ -207,24 +152,29 @@ def cosine_to_pooled(df: DataFrame, key: str, vector: str, weight: str | None =
     return df.join(pooled, key, "inner").withColumn(out, cosine(vector, "__pooled")).drop("__pooled")
 
 
-def embed_docs(df: DataFrame, key: str, fields: dict[str, str], factory: Callable[[], object] | None = None,
+def embed_docs(df: DataFrame, key: str | Sequence[str], fields: dict[str, str], factory: Callable[[], object] | None = None,
                sep: str = "\n", cap: int = CHUNK_CAP) -> DataFrame:
-    """Embed several text columns per document in one pass (V3, V5).
+    """Embed several text columns per document in one pass (V3, V4, V5).
 
     ``fields`` maps a text column to its output column (e.g. text -> embfull,
-    item1 -> emb1). The columns are melted to (key, field, text), chunked in the
-    JVM, encoded and pooled per (key, field) weighted by chunk length in one
-    Arrow pass (``embed_pooled``), and pivoted back with a fixed value list (no
-    extra pass to discover the pivot values).
+    item1 -> emb1). Each row's texts are chunked in the JVM into arrays; one Arrow
+    pass encodes the chunks, pools them weighted by chunk length and returns one
+    row per input row: the keys and a vector per field, null where a text is null or has no
+    chunk. No pivot and no join; the one shuffle spreads the rows evenly,
+    because encoding costs far more per byte than moving the text.
     """
-    # Encoding costs far more CPU per byte than a shuffle, so spread documents
-    # evenly by key first (AQE still sizes the partitions): upstream joins or
-    # large files can leave the text in a handful of partitions.
-    df = df.repartition(F.col(key))
-    melted = df.select(key, F.explode(F.array(*[
-        F.struct(F.lit(out).alias("field"), F.col(src).alias("text")) for src, out in fields.items()
-    ])).alias("__f")).select(key, "__f.field", "__f.text")
-    chunks = chunk_docs(melted, [key, "field"], "text", sep, cap)
-    pooled = embed_pooled(chunks, [key, "field"], "chunk", "n_chars", "vec", factory)
-    wide = pooled.groupBy(key).pivot("field", list(fields.values())).agg(F.first("vec"))
-    return df.select(key).join(wide, key, "left")
+    import pyarrow as pa
+
+    factory = factory or HashingEncoder
+    keys = [key] if isinstance(key, str) else list(key)
+    cut = [chunk_array(src, sep, cap).alias(out) for src, out in fields.items()]
+    rows = df.repartition(*keys).select(*keys, *cut)
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(out, T.ArrayType(T.DoubleType())) for out in fields.values()])
+
+    def run(batches):
+        enc = factory()
+        for rb in batches:
+            vecs = [pa.array(_pool_rows(c, enc), pa.list_(pa.float64())) for c in rb.columns[len(keys):]]
+            yield pa.RecordBatch.from_arrays([*rb.columns[:len(keys)], *vecs], names=rb.schema.names)
+
+    return rows.mapInArrow(run, schema)
