@@ -4,10 +4,13 @@
     python -m panelspark.cli returns-panel --accounts A --ccm L --monthly M --founding R --out O
     python -m panelspark.cli filing-panel --filings F --links L --accounts A --out O
     python -m panelspark.cli embed --sections S --out O
+    python -m panelspark.cli filing-text --links L --documents D --errors E --out O
+    python -m panelspark.cli security-links --history H --accounts A --out O
+    python -m panelspark.cli common-shares --monthly M --history H --out O
     python -m panelspark.cli part-files --input I --order fname --out O
 
-Inputs are Parquet unless they end in ``.csv`` (then read with the explicit
-schemas of ``sources.schemas``); ``--fmt csv|parquet`` picks the output format.
+Inputs are Parquet unless they end in ``.csv`` (then read by their headers with
+the explicit schemas of ``sources.schemas``); ``--fmt csv|parquet`` picks the output format.
 The session comes from the cluster (``spark-submit``); nothing is collected to
 the driver.
 """
@@ -18,7 +21,7 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from .operators import intangibles, jobs, text, vectors
+from .operators import intangibles, jobs, links, text, vectors
 from .session import get_session
 from .sources import io, schemas
 
@@ -36,7 +39,7 @@ def _write(df, args):
 def capital_stocks(spark, a):
     funda = _read(spark, a.funda, schemas.FUNDA).withColumnRenamed("at", "assets")
     company = _read(spark, a.company, schemas.COMPANY).drop("cusip")
-    founding = _read(spark, a.founding, schemas.FOUNDING).select("cusip", "founding")
+    founding = _read(spark, a.founding, schemas.FOUNDING)  # incomplete rows are dropped over all columns
     out = intangibles.intangible_stocks(funda, company, founding, exclude=a.exclude, pivot_year=a.pivot_year)
     _write(out, a)
 
@@ -58,10 +61,27 @@ def filing_panel(spark, a):
 def embed(spark, a):
     s = text.concat_sections(text.text_flags(_read(spark, a.sections, schemas.SECTIONS)))
     s = s.where((F.length("text") > 0) & (F.length("item1") > 0))
-    out = vectors.embed_docs(s.select("fname", "text", "item1"), "fname", {"text": "embfull", "item1": "emb1"})
+    # a filing linked to several firms is embedded once
+    each = s.select("fname", "text", "item1").dropDuplicates(["fname"])
+    out = vectors.embed_docs(each, "fname", {"text": "embfull", "item1": "emb1"})
     _write(s.join(out, "fname", "left"), a)
 
 
+def filing_text(spark, a):
+    docs = _read(spark, a.documents, schemas.FILING_BODIES)
+    out, errors = text.filing_texts(_read(spark, a.links, schemas.LINKED_FILINGS), docs)
+    _write(out, a)
+    io.write_table(errors, a.errors, fmt=a.fmt, compression=a.compression)
+
+
+def security_links(spark, a):
+    _write(links.security_links(_read(spark, a.history, schemas.LINK_HISTORY), _read(spark, a.accounts, schemas.ACCOUNT_KEYS)), a)
+
+
+def common_shares(spark, a):
+    _write(links.monthly_common_shares(_read(spark, a.monthly, schemas.MONTHLY_RAW), _read(spark, a.history, schemas.SECURITY_HISTORY)), a)
+
+
 def part_files(spark, a):
     io.write_row_chunks(_read(spark, a.input, None), a.out, a.order.split(","), a.rows)
 
@@ -86,6 +106,9 @@ def main(argv=None):
     cmd("returns-panel", returns_panel, "accounts", "ccm", "monthly", "founding")
     cmd("filing-panel", filing_panel, "filings", "links", "accounts")
     cmd("embed", embed, "sections")
+    cmd("filing-text", filing_text, "links", "documents", "errors")
+    cmd("security-links", security_links, "history", "accounts")
+    cmd("common-shares", common_shares, "monthly", "history")
     c = cmd("part-files", part_files, "input", "order")
     c.add_argument("--rows", type=int, default=io.ROWS_PER_PART)
     args = p.parse_args(argv)

@@ -4,7 +4,7 @@ inventory and the full capital-stock job (A3, A4, A6, A7, F11-F15, J7-J10, W8, P
 The source ran per-firm Python loops in batches of 200 firms; here the whole
 job is one DataFrame plan. Panel windows share one hash partitioning on the
 firm key; the two growth-rate tables are small global aggregates (one row per
-age, bounded by the calendar span) that are broadcast back.
+age) that are joined back.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ from .panel import (
     pivot_zero_fill,
     row_index,
 )
-from . import segmented
-from .segmented import hot_key_rows
 
 # Founding-list codes that mean "unknown", the code that means
 # 2013, the years subtracted from the IPO year to estimate founding, the
@@ -47,6 +45,8 @@ FOUNDING_CODE_2013 = (201, 2013)
 FOUNDING_LAG_YEARS = 8
 OCAP_RETENTION = 0.8
 RD_PIVOT_YEAR = 1977
+# Ranges of its dates that a firm with more than segmented.HOT_ROWS raw rows is cut into.
+SEGMENTS = 64
 # The accounts kept -- industrial format, standardized data.
 ACCOUNTS_FORMAT = {"indfmt": "INDL", "datafmt": "STD"}
 
@@ -159,7 +159,7 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
                       age_mode: str = "as_coded", zero_mode: str = "as_coded",
                       lag: int = FOUNDING_LAG_YEARS, key: str = "gvkey", year: str = "fyear",
                       keep_intermediate: bool = False, checkpoint: bool = True,
-                      segments: int | str | None = "auto") -> DataFrame:
+                      segments: int | None = SEGMENTS) -> DataFrame:
     """Knowledge and organisational capital stocks per firm-year.
 
     ``funda``: key, year, datadate, assets, xsga, xrd, rdip, cogs (+ optional sich,
@@ -168,12 +168,13 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     ``founding``: cusip, founding.
     Returns (key, year, kcap_v2, ocap_v2) for rows that came from data.
 
-    Steps 1-9 run on the raw accounts, where one firm could hold many rows;
-    ``segments='auto'`` measures the largest firm once and, above
-    ``segmented.HOT_ROWS`` rows, switches those steps to the two-level scans
-    (about one segment per million rows, 64 to 4096) so no task holds a whole firm. From step 10 on the panel is
-    unique on (firm, year) by construction, so per-firm groups are bounded by the
-    calendar span.
+    Steps 1-9 run on the raw accounts, where one firm could hold many rows: two-level
+    scans cut a firm of more than ``segmented.HOT_ROWS`` rows into ``segments`` ranges of
+    its dates, in the same plan at every size (None: plain windows, the same
+    results). Every order ends in all other columns, so equal dates give the same
+    result in any arrival order. Rows without a firm are dropped. From step 10 on the
+    panel is unique on (firm, year) by construction, so per-firm groups are bounded by
+    the calendar span.
     """
     if age_mode not in ("as_coded", "recomputed"):
         raise ValueError("age_mode must be 'as_coded' or 'recomputed'")
@@ -193,16 +194,7 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     for c, v in ACCOUNTS_FORMAT.items():
         if c in funda.columns:          # source filter: pushed to the scan
             f = f.where(F.col(c) == v)
-    cached = None
-    if segments == "auto":
-        # measure the largest firm on the prepared input, kept cached so the
-        # accounts are not read twice (released once step 6 is checkpointed)
-        if checkpoint:
-            from pyspark import StorageLevel
-            cached = f = f.persist(StorageLevel.MEMORY_AND_DISK)
-        top = hot_key_rows(f, [k])
-        # about one segment per million rows of the largest firm (64 .. 4096)
-        segments = min(4096, max(64, -(-top // 1_000_000))) if top > segmented.HOT_ROWS else None
+    f = f.where(F.col(k).isNotNull())
     seg = segments or None
     if seg:
         f = f.join(f.groupBy(k).agg(F.min(y).cast("int").alias("firstcomp")), k, "left")
@@ -222,9 +214,7 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     f = f.withColumn("ageipo", (F.col(y) - F.year("ipodate")).cast("int"))
     if checkpoint:
         # fan-out: four growth aggregates and the rest of the job read this
-        f = materialize(f.repartition(k))
-        if cached is not None:
-            cached.unpersist()
+        f = materialize(f)
     # 7. growth rates (global, small) -- before step 8's fills
     g_rd = growth_by_age(f, "xrd", k).select(F.col("age").alias("ageipo"), F.col("grate").alias("grate_xrd"))
     g_sga = growth_by_age(f, "xsga", k).select(F.col("age").alias("ageipo"), F.col("grate").alias("grate_xsga"))
@@ -252,7 +242,7 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     # 11. age-rate backcast of the logs
     if age_mode == "recomputed":
         f = f.withColumn("ageipo", (F.col(y) - F.max(F.year("ipodate")).over(w)).cast("int"))
-    f = (f.join(F.broadcast(g_rd), "ageipo", "left").join(F.broadcast(g_sga), "ageipo", "left")
+    f = (f.join(g_rd, "ageipo", "left").join(g_sga, "ageipo", "left")
           .withColumn("logxsga", guarded_log("xsga")).withColumn("logxrd", guarded_log("xrd")))
     f = backcast_rates(f, k, [y], "xrd", "logxrd", "grate_xrd")
     f = backcast_rates(f, k, [y], "xsga", "logxsga", "grate_xsga")

@@ -18,6 +18,8 @@ from .intangibles import clean_founding
 from .links import annual_filings, clean_links, filing_panel, link_filings
 from .returns import clean_returns, compound_return, firm_age, first_seen
 
+# Columns of the link file that the filing panel keeps beside the keys and dates.
+LINK_NAMES = ("source", "link_desc", "sec_company_name", "link_company_name")
 # Fixed value: the founding list's code for "no security id".
 NO_PERM_CODE = "."
 
@@ -40,14 +42,15 @@ def panel_with_returns(accounts: DataFrame, ccm: DataFrame, monthly: DataFrame,
     annual = compound_return(m, ["permno", "fyear", "crsp_first_date"], "ret")
     # Join on the shared columns
     t = t.join(annual, ["permno", "fyear"], "left")
-    # First accounts date per firm, well-formed dates only
+    # A1: first accounts date per firm
     t = first_seen(t, "gvkey", "datadate", "comp_first_date")
     # founding list: sentinels, complete rows, a security id
-    fr = clean_founding(founding.select("cusip", "founding", "crsp_perm"))
+    # incomplete rows go before any column does
+    fr = clean_founding(founding)
     fr = (fr.where(F.col("crsp_perm") != NO_PERM_CODE)
             .select("cusip", F.col("crsp_perm").try_cast("double").cast("long").alias("permco"), "founding")
             .where(F.col("permco").isNotNull()))
-    fr = fr.groupBy("permco", "cusip").agg(F.min("founding").alias("founding"))
+    # a (permco, cusip) listed several times keeps its several rows, as in the source
     t = t.join(fr, ["permco", "cusip"], "left")
     # Hierarchical first year and clipped age
     t = firm_age(t, year="year", founding="founding")
@@ -66,7 +69,8 @@ def filing_firm_panel(filings: DataFrame, links_raw: DataFrame, accounts: DataFr
     industry prefixes -> revenue strictly above the floor.
     """
     companies = annual_filings(filings)
-    lk = clean_links(links_raw).select("cik", "gvkey", "link_start", "link_end")
+    lk = clean_links(links_raw)
+    lk = lk.select("cik", "gvkey", "link_start", "link_end", *(c for c in LINK_NAMES if c in lk.columns))
     linked = link_filings(companies, lk)
     comp = (accounts.where(F.col(assets).isNotNull())
                     .withColumns({"naics3": code_prefix(naics, 3), "naics2": code_prefix(naics, 2)}))

@@ -118,3 +118,56 @@ def filing_panel(linked: DataFrame, panel: DataFrame, keys: Sequence[str] = ("gv
                  revenue: str = "sale", min_revenue: float = 5.0) -> DataFrame:
     """Inner join filings to the firm-year panel and keep revenue strictly above the floor."""
     return linked.join(panel, list(keys), "inner").where(F.col(revenue) > min_revenue)
+
+
+# Link history types and primary flags of the best quality, and the accounts kept.
+LINK_TYPES = ["LU", "LC"]
+PRIMARY_FLAGS = ["P", "C"]
+ACCOUNT_FLAGS = {"indfmt": "INDL", "datafmt": "STD", "popsrc": "D", "consol": "C"}
+
+
+def security_links(history: DataFrame, accounts: DataFrame, years: tuple[int, int] = (1950, 2020)) -> DataFrame:
+    """The link-filter job (P5, P10, P11, J6, D3): the security of each firm-year.
+
+    ``history``: gvkey, linktype, linkprim, lpermno, lpermco, linkdt (null: since ever), linkenddt
+    (null: still), maybe more. ``accounts``: gvkey, fyear, datadate and the four format flags.
+    Links of good type with a primary flag that touch the window of years, joined to the accounts
+    whose whole fiscal year they cover; one row per (permco, gvkey, datadate), the first by the other
+    columns in their order.
+    """
+    first, last = years
+    kept = history.where(F.col("linktype").isin(LINK_TYPES) & F.col("linkprim").isin(PRIMARY_FLAGS)
+                         & (F.col("linkdt").isNull() | (F.year("linkdt") <= last + 1))
+                         & (F.col("linkenddt").isNull() | (F.year("linkenddt") >= first - 1)))
+    wanted = accounts
+    for c, v in ACCOUNT_FLAGS.items():
+        wanted = wanted.where(F.col(c) == v)
+    met = containing_links(wanted, kept.withColumn("end_open", F.col("linkenddt").isNull()), start="linkdt", end="linkenddt", year_range=years)
+    met = met.drop("end_open").withColumnsRenamed({"lpermno": "permno", "lpermco": "permco"})
+    return drop_duplicates_deterministic(met, ["permco", "gvkey", "datadate"])
+
+
+# Common shares of US corporations in active regular trading on the three large exchanges.
+SHARE_FILTERS = {"sharetype": ["NS"], "securitytype": ["EQTY"], "securitysubtype": ["COM"], "usincflg": ["Y"],
+                 "issuertype": ["ACOR", "CORP"], "primaryexch": ["N", "A", "Q"], "conditionaltype": ["RW", "NW"], "tradingstatusflg": ["A"]}
+
+
+def monthly_common_shares(monthly: DataFrame, history: DataFrame, start: str = "secinfostartdt", end: str = "secinfoenddt") -> DataFrame:
+    """The security-history job (J5, P5): months of each security while its history row (same permno, month's
+    date within its dates, both included) says it is a common share; with that row's primaryexch and siccd."""
+    kept = history
+    for c, values in SHARE_FILTERS.items():
+        kept = kept.where(F.col(c).isin(values))
+    return interval_join(monthly, kept.select("permno", start, end, "primaryexch", "siccd"), "permno", "date", start, end).drop(start, end)
+
+
+# Domestic consolidated accounts in dollars.
+DOMESTIC_FLAGS = {**ACCOUNT_FLAGS, "curcd": "USD", "fic": "USA"}
+
+
+def domestic_accounts(accounts: DataFrame, company: DataFrame, key: str = "gvkey") -> DataFrame:
+    """The accounts extract (P5, J4): domestic consolidated accounts of firms in the company table, with its columns."""
+    kept = accounts.where(F.col(key).isNotNull())
+    for c, v in DOMESTIC_FLAGS.items():
+        kept = kept.where(F.col(c) == v)
+    return kept.drop(*DOMESTIC_FLAGS).join(company, key).withColumn("year", F.year("datadate"))

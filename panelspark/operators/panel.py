@@ -40,8 +40,16 @@ def _names(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def _total(df: DataFrame, key, order) -> list[Column]:
+    """The order with every other sortable column after it, so that only equal rows tie."""
+    given = _cols(order)
+    used = set(_names(key)) | {o for o in ([order] if isinstance(order, str) else order) if isinstance(o, str)}
+    return given + [F.col(f"`{c}`") for c, t in df.dtypes if c not in used and "map<" not in t and "variant" not in t]
+
+
 def row_index(df: DataFrame, key, order, out: str = "count", segments: int | None = None) -> DataFrame:
-    """Running row number from 0 within each key."""
+    """Running row number from 0 within each key (W1); the other columns break ties."""
+    order = _total(df, key, order)
     if segments:
         t = segmented_scan(df, _names(key), _cols(order), segments)
         return t.withColumn(out, (F.col("__rn") - 1).cast("long")).drop("__rn")
@@ -54,7 +62,8 @@ def nearest_fill(df: DataFrame, key, order, col: str, when: Column | None = None
                  era: Column | None = None, out: str | None = None, segments: int | None = None) -> DataFrame:
     """Fill flagged null values from the nearest non-null value of the same key.
 
-    Distance is counted in rows in ``order``; a tie goes to the previous value;
+    Distance is counted in rows in ``order`` (the other columns break its ties); an
+    equal distance goes to the previous value;
     filled values are never reused as donors. ``when`` flags the rows to fill
     (default: every null). ``era`` (a boolean column) restricts both the rows
     and the donors to that era and numbers rows inside it, as when the source
@@ -62,6 +71,7 @@ def nearest_fill(df: DataFrame, key, order, col: str, when: Column | None = None
     """
     out = out or col
     x = F.col(col)
+    order = _total(df, key, order)
     if segments:
         keys = _names(key)
         base = df
@@ -97,6 +107,7 @@ def bfill(df: DataFrame, key, order, cols: Sequence[str] | str, suffix: str = ""
           segments: int | None = None) -> DataFrame:
     """Backward fill per key: next non-null value at or after the row."""
     cols = [cols] if isinstance(cols, str) else list(cols)
+    order = _total(df, key, order)
     if segments:
         nx = {f"__bf{i}": F.col(c) for i, c in enumerate(cols)}
         t = segmented_scan(df, _names(key), _cols(order), segments, nxt=nx)
@@ -250,9 +261,8 @@ def linear_recurrence(df: DataFrame, key, order: Sequence[str], recurrences: dic
     order = list(order)
     names = list(recurrences)
     if block_rows:
-        from .segmented import hot_key_rows
-
-        if hot_key_rows(df, keys) > block_rows:
+        # one level of blocks, whatever the sizes; their ends recur in blocks again until one block holds a key
+        if _depth == 0 or df.groupBy(*keys).count().filter(F.col("count") > block_rows).limit(1).count():
             return _blocked_recurrence(df, keys, order, recurrences, block_rows, first_zero, segments, _depth)
     payload = [c for c in df.columns if c not in keys and c not in order]
     inputs = []
