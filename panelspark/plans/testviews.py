@@ -65,9 +65,7 @@ def founding(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = (F.when(m == 0, -99).when(m == 1, -9).when(m == 2, 201).when(m == 3, 0)
              .otherwise(F.lit(1980) + k % 25)).cast("int")
     perm = F.when(k % 4 == 0, F.lit(".")).otherwise((k % 50).cast("string"))
-    # the list covers customers with a non-negative balance (a data-driven subset)
-    return c.where(F.col("c_acctbal") >= 0).select(F.col("c_name").alias("cusip"), code.alias("founding"),
-                                                   perm.alias("crsp_perm"))
+    return c.select(F.col("c_name").alias("cusip"), code.alias("founding"), perm.alias("crsp_perm"))
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +98,12 @@ def links_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
               .otherwise(F.concat(F.lit(" "), ymd(F.min("o_orderdate")))))
     end = (F.when(k % 7 == 1, F.lit("E")).when(k % 17 == 0, F.lit("0"))
             .otherwise(F.concat(ymd(F.max("o_orderdate")), F.lit(" "))))
-    return o.groupBy(k).agg(start.alias("link_start_date"), end.alias("link_end_date")) \
-        .select(k.alias("cik"), k.alias("gvkey"), "link_start_date", "link_end_date")
+    own = o.groupBy(k).agg(start.alias("link_start_date"), end.alias("link_end_date"), F.max("o_custkey").alias("cik"))
+    own = own.select("cik", F.col("cik").alias("gvkey"), "link_start_date", "link_end_date")
+    # every third filer has a second, wider link to its firm, every fifth one to the next firm
+    again = own.where(F.col("cik") % 3 == 0).select("cik", "gvkey", F.lit("B").alias("link_start_date"), F.lit("20500101").alias("link_end_date"))
+    other = own.where(F.col("cik") % 5 == 0).select("cik", (F.col("gvkey") + 1).alias("gvkey"), F.lit("19960101").alias("link_start_date"), F.lit("E").alias("link_end_date"))
+    return own.unionByName(again).unionByName(other)
 
 
 def filing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +111,8 @@ def filing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = d.select(F.col("doc_id").alias("fname"), F.col("text").alias("item1"))
     b = d.select((F.col("doc_id") - 1).alias("fname"), F.col("text").alias("item1a"))
     c = d.select((F.col("doc_id") - 2).alias("fname"), F.col("text").alias("item7"))
-    return a.join(b, "fname").join(c, "fname")
+    # the last two documents have no next ones: empty sections
+    return a.join(b, "fname", "left").join(c, "fname", "left").na.fill("", ["item1a", "item7"])
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +130,7 @@ def ccm(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = containing_links(panel(spark, sf_dir).select("gvkey", "fyear", "datadate"), lk)
     c = c.select("gvkey", "datadate", "fyear", F.col("cik").alias("permno"), (F.col("cik") % 50).alias("permco"),
                  F.col("link_start").alias("linkdt"), F.col("link_end").alias("linkenddt"))
-    return keep_first(c, ["gvkey", "datadate"], ["permno", "linkdt", "linkenddt"])
+    return keep_first(c, ["permco", "gvkey", "datadate"], ["permno", "linkdt", "linkenddt"])
 
 
 SPARK_VIEWS = {
@@ -158,7 +161,7 @@ from customer""",
 select c_name as cusip, cast(case c_custkey % 10 when 0 then -99 when 1 then -9 when 2 then 201
   when 3 then 0 else 1980 + c_custkey % 25 end as integer) as founding,
   case when c_custkey % 4 = 0 then '.' else cast(c_custkey % 50 as varchar) end as crsp_perm
-from customer where c_acctbal >= 0""",
+from customer""",
     "monthly": """
 select l_suppkey as permno, l_suppkey % 50 as permco, cast(year(l_shipdate) as integer) as yr,
   cast(month(l_shipdate) as integer) as mo,
@@ -177,8 +180,10 @@ select o_custkey as cik, o_custkey as gvkey,
     else concat(' ', strftime(min(o_orderdate), '%Y%m%d')) end as link_start_date,
   case when o_custkey % 7 = 1 then 'E' when o_custkey % 17 = 0 then '0'
     else concat(strftime(max(o_orderdate), '%Y%m%d'), ' ') end as link_end_date
-from orders group by o_custkey""",
+from orders group by o_custkey
+union all select distinct o_custkey, o_custkey, 'B', '20500101' from orders where o_custkey % 3 = 0
+union all select distinct o_custkey, o_custkey + 1, '19960101', 'E' from orders where o_custkey % 5 = 0""",
     "filing_text": """
-select a.doc_id as fname, a.text as item1, b.text as item1a, c.text as item7
-from documents a join documents b on b.doc_id = a.doc_id + 1 join documents c on c.doc_id = a.doc_id + 2""",
+select a.doc_id as fname, a.text as item1, coalesce(b.text, '') as item1a, coalesce(c.text, '') as item7
+from documents a left join documents b on b.doc_id = a.doc_id + 1 left join documents c on c.doc_id = a.doc_id + 2""",
 }

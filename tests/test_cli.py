@@ -35,8 +35,8 @@ def test_part_files_cli(spark, tmp_dir):
 
 
 def _rows(df, cols):
-    return sorted(tuple(None if r[c] is None else (round(r[c], 6) if isinstance(r[c], float) else r[c])
-                        for c in cols) for r in df.collect())
+    return sorted((tuple(None if r[c] is None else (round(r[c], 6) if isinstance(r[c], float) else r[c])
+                         for c in cols) for r in df.collect()), key=repr)
 
 
 def test_returns_and_filing_panel_cli(spark, tmp_dir):

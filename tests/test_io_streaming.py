@@ -35,7 +35,7 @@ def test_parquet_zstd_and_parts(spark, tmp_dir):
 
 def test_row_chunks_stable(spark, tmp_dir):
     df = spark.range(5000).withColumnRenamed("id", "k").repartition(7)
-    got = {r.k: r.chunk for r in io.row_chunks(df, ["k"], 1516, partitions=5).collect()}
+    got = {r.k: r.chunk for r in io.row_chunks(df, ["k"], 1516).collect()}
     assert all(got[k] == k // 1516 for k in range(5000))
     io.write_row_chunks(df, f"{tmp_dir}/chunks", ["k"], 1516)
     assert sorted(d for d in os.listdir(f"{tmp_dir}/chunks") if d.startswith("chunk=")) == \
