@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import code_prefix
 from .intangibles import clean_founding
 from .links import annual_filings, clean_links, filing_panel, link_filings
-from .returns import clean_returns, compound_return, firm_age, first_seen
+from .returns import annual_returns, clean_returns, firm_age, first_seen
 
 # Columns of the link file that the filing panel keeps beside the keys and dates.
 LINK_NAMES = ("source", "link_desc", "sec_company_name", "link_company_name")
@@ -37,9 +37,7 @@ def panel_with_returns(accounts: DataFrame, ccm: DataFrame, monthly: DataFrame,
     # Accounts + security link on the composite key
     t = accounts.join(ccm, ["gvkey", "datadate", "fyear"], "left")
     # First month per issuer; F1: return codes -> null; A2: annual return
-    m = first_seen(clean_returns(monthly), "permco", "date", "crsp_first_date")
-    m = m.withColumn("fyear", F.year("date").cast("int"))
-    annual = compound_return(m, ["permno", "fyear", "crsp_first_date"], "ret")
+    annual = annual_returns(clean_returns(monthly).withColumn("fyear", F.year("date").cast("int")), "fyear")
     # Join on the shared columns
     t = t.join(annual, ["permno", "fyear"], "left")
     # A1: first accounts date per firm

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip_low, null_if_in
@@ -31,6 +31,22 @@ def compound_return(df: DataFrame, keys: Sequence[str], ret: str = "ret", out: s
             .select(*keys, F.when(F.col("__n") == F.col("__nv"), F.col("__p") - 1.0).alias(out)))
 
 
+def annual_returns(monthly: DataFrame, year: str, security: str = "permno", issuer: str = "permco", date: str = "date",
+                   ret: str = "ret", first: str = "crsp_first_date") -> DataFrame:
+    """(security, year, first, ret): the null-strict annual return and the issuer's first month.
+
+    One pass over the months, to a row per (security, issuer, year); the issuer's first month and the
+    compounding over issuers that share it come from that small table.
+    """
+    r = F.col(ret)
+    parts = monthly.groupBy(security, issuer, year).agg(
+        F.count(F.lit(1)).alias("__n"), F.count(r).alias("__nv"), F.product(F.lit(1.0) + r).alias("__p"), F.min(date).alias("__from"))
+    # an issuer's rows here are its securities times their years
+    parts = parts.withColumn(first, F.when(F.col(issuer).isNotNull(), F.min("__from").over(Window.partitionBy(issuer))))
+    whole = parts.groupBy(security, year, first).agg(F.sum("__n").alias("__n"), F.sum("__nv").alias("__nv"), F.product("__p").alias("__p"))
+    return whole.select(security, year, first, F.when(F.col("__n") == F.col("__nv"), F.col("__p") - 1.0).alias(ret))
+
+
 def first_seen(df: DataFrame, key: str | Sequence[str], value: str, out: str) -> DataFrame:
     """Attach the group minimum of ``value`` to every row.
 

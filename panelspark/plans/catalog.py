@@ -230,9 +230,7 @@ def q_panel_link(spark, d):
 
 
 def _annual_return(spark, d):
-    m = returns.clean_returns(V.monthly(spark, d))
-    m = returns.first_seen(m, "permco", "date", "crsp_first_date")
-    return returns.compound_return(m, ["permno", "yr", "crsp_first_date"], "ret")
+    return returns.annual_returns(returns.clean_returns(V.monthly(spark, d)), "yr")
 
 
 @query("annual_return", f"""
