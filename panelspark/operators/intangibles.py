@@ -45,8 +45,8 @@ FOUNDING_CODE_2013 = (201, 2013)
 FOUNDING_LAG_YEARS = 8
 OCAP_RETENTION = 0.8
 RD_PIVOT_YEAR = 1977
-# Ranges of its dates that a firm with more than segmented.HOT_ROWS raw rows is cut into.
-SEGMENTS = 64
+# Range partitions of the raw accounts' scans (True: as many as shuffles have).
+SEGMENTS = True
 # The accounts kept -- industrial format, standardized data.
 ACCOUNTS_FORMAT = {"indfmt": "INDL", "datafmt": "STD"}
 
@@ -159,7 +159,7 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
                       age_mode: str = "as_coded", zero_mode: str = "as_coded",
                       lag: int = FOUNDING_LAG_YEARS, key: str = "gvkey", year: str = "fyear",
                       keep_intermediate: bool = False, checkpoint: bool = True,
-                      segments: int | None = SEGMENTS) -> DataFrame:
+                      segments: int | bool | None = SEGMENTS) -> DataFrame:
     """Knowledge and organisational capital stocks per firm-year.
 
     ``funda``: key, year, datadate, assets, xsga, xrd, rdip, cogs (+ optional sich,
@@ -169,10 +169,10 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     Returns (key, year, kcap_v2, ocap_v2) for rows that came from data.
 
     Steps 1-9 run on the raw accounts, where one firm could hold many rows: two-level
-    scans cut a firm of more than ``segmented.HOT_ROWS`` rows into ``segments`` ranges of
-    its dates, in the same plan at every size (None: plain windows, the same
-    results). Every order ends in all other columns, so equal dates give the same
-    result in any arrival order. Rows without a firm are dropped. From step 10 on the
+    scans over range partitions of (firm, whole order) let no task hold a whole
+    large firm, in the same plan at every size (``segments=None``: plain windows, the
+    same results). Every order ends in all other columns, so equal dates give the
+    same result in any arrival order. Rows without a firm are dropped. From step 10 on the
     panel is unique on (firm, year) by construction, so per-firm groups are bounded by
     the calendar span.
     """

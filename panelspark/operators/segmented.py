@@ -1,17 +1,15 @@
 """Two-level ordered scans for keys too large for one task.
 
 A window ``partitionBy(key).orderBy(order)`` puts every row of a key in one
-task. When one key may hold a large share of the table, each hot key is cut
-into ordered segments: the key's exact min and max of the first order column
-(partial aggregates, independent of merge order) are cut into equal value
-ranges, and a row's segment is the range its value falls in -- a pure function
-of the row and two exact aggregates, so every re-execution and every branch of
-the plan agrees (approximate quantiles would not: their summaries depend on
-merge order). Segments are scanned locally with
-``partitionBy(key, segment)``. What a segment needs from the segments before or
-after it -- its row offset, the last donor before it, the first donor after
-it, the running sum so far -- comes from a summary with one row per (hot key,
-segment), joined back. Keys below ``hot_rows`` keep a single segment.
+task. Here the rows are range-partitioned on (key, whole order) instead, so a key
+that holds a large share of the table spans several partitions, even if its
+rows tie on the first order columns, and small keys share one. The partition
+number is the row's segment. It is written down with the rows once, so every
+branch and every retry of the plan sees the same segments. Segments are
+scanned locally with ``partitionBy(key, segment)``. What a segment needs from the
+segments before or after it -- its row offset, the last donor before it, the
+first donor after it, the running sum so far -- comes from a summary with one
+row per (key, segment), joined back.
 
 ``segmented_scan`` returns, per row: the global 1-based row number within the
 key, the last non-null "previous donor" at or before the row, the first
@@ -26,77 +24,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SEG = "__seg"
-# Keys with more rows than this are split; smaller keys stay one window group
-# (a group this size is a comfortable single-task sort).
-HOT_ROWS = 100_000
-
-
-def hot_key_rows(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key (one partial aggregate; used to pick the layout)."""
-    r = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(r or 0)
-
-
-def _numeric(df: DataFrame, c: Column) -> Column | None:
-    """The order value as a double (dates as days, timestamps as seconds); None
-    for types without a numeric form."""
-    t = df.select(c).schema.fields[0].dataType
-    from pyspark.sql import types as T
-    if not isinstance(t, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return None
-    if isinstance(t, T.DateType):
-        return F.date_diff(c, F.lit("1970-01-01").cast("date")).cast("double")
-    if isinstance(t, T.TimestampType):
-        return F.unix_micros(c).cast("double") / 1e6
-    if isinstance(t, T.TimestampNTZType):
-        # wall-clock fields, no time zone: monotone even across DST changes
-        days = F.date_diff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
-        return days * 86400.0 + F.hour(c) * 3600.0 + F.minute(c) * 60.0 + F.second(c).cast("double")
-    return c.cast("double")
-
-
-def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], segments: int,
+
+
+def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], segments: int | None = None,
                    prev: Mapping[str, Column] | None = None, nxt: Mapping[str, Column] | None = None,
-                   sums: Mapping[str, Column] | None = None, rn: str = "__rn",
-                   hot_rows: int | None = -1) -> DataFrame:
-    """Ordered scan per key over segments of hot keys.
+                   sums: Mapping[str, Column] | None = None, rn: str = "__rn") -> DataFrame:
+    """Ordered scan per key over ``segments`` range partitions (None or True: as many as shuffles have).
 
     ``prev`` / ``nxt`` map an output name to a value column (null = not a donor);
     the output is a struct ``(rn, v)`` with the donor's global row number, or null.
     ``sums`` map an output name to a numeric column; the output is the inclusive
-    running sum (nulls count as 0). Keys with more than ``hot_rows`` rows
-    (default ``HOT_ROWS``; every key when None) are cut into about ``segments``
-    segments.
+    running sum (nulls count as 0).
     """
-    if hot_rows == -1:
-        hot_rows = HOT_ROWS
     prev, nxt, sums = dict(prev or {}), dict(nxt or {}), dict(sums or {})
     keys = list(keys)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    # value ranges of the first order column; a key whose first column is all
-    # one value is cut on the second order column instead (still in order)
-    vs = [v for v in (_numeric(df, c) for c in order_cols[:2]) if v is not None][:2]
-    if not vs or _numeric(df, order_cols[0]) is None:
-        raise ValueError("segmented scans need a numeric, date or timestamp first order column")
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for j, v in enumerate(vs):
-        aggs += [F.min(v).alias(f"__lo{j}"), F.max(v).alias(f"__hi{j}")]
-    stats = df.groupBy(*keys).agg(*aggs)
-    if hot_rows is not None:
-        stats = stats.where(F.col("__n") > hot_rows)
-    # hot keys only; AQE splits the skewed side of this join
-    s = df.join(stats.drop("__n").withColumn("__hot", F.lit(True)), keys, "left")
-    # a null first value sorts first: always segment 0
-    seg = F.when(vs[0].isNull(), F.lit(0))
-    for j, v in enumerate(vs):
-        span = F.col(f"__hi{j}") - F.col(f"__lo{j}")
-        cut = F.least(F.greatest(F.floor((v - F.col(f"__lo{j}")) * F.lit(float(segments)) / span), F.lit(0)),
-                      F.lit(segments - 1))
-        seg = seg.when(span > 0, cut)
-    s = (s.withColumn(SEG, F.coalesce(seg.cast("int"), F.lit(0)))
-          .withColumn("__hot", F.coalesce(F.col("__hot"), F.lit(False)))
-          .drop(*[f"__{b}{j}" for j in range(len(vs)) for b in ("lo", "hi")]))
+    parts = [] if segments in (None, True) else [segments]
+    s = materialize(df.repartitionByRange(*parts, *keys, *order_cols).withColumn(SEG, F.spark_partition_id()))
     wl = Window.partitionBy(*keys, SEG).orderBy(*order_cols)
     s = s.withColumn("__lrn", F.row_number().over(wl))
     upto = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -115,7 +62,7 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
         local[f"__ls_{name}"] = F.sum(F.col(f"__sv_{name}")).over(upto)
     s = s.withColumns(local) if local else s
 
-    # ---- summary: one row per (hot key, segment)
+    # ---- summary: one row per (key, segment)
     aggs = [F.count(F.lit(1)).alias("__cnt")]
     for name in prev:
         aggs.append(F.max(F.when(F.col(f"__pv_{name}").isNotNull(), F.struct(
@@ -125,7 +72,7 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
             F.col("__lrn").alias("rn"), F.col(f"__nv_{name}").alias("v")))).alias(f"__sf_{name}"))
     for name in sums:
         aggs.append(F.sum(F.col(f"__sv_{name}")).alias(f"__ss_{name}"))
-    summary = s.where("__hot").groupBy(*keys, SEG).agg(*aggs)
+    summary = s.groupBy(*keys, SEG).agg(*aggs)
     ws = Window.partitionBy(*keys).orderBy(SEG)
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
     later = ws.rowsBetween(1, Window.unboundedFollowing)
@@ -144,8 +91,12 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
         carry[f"__cs_{name}"] = F.coalesce(F.sum(f"__ss_{name}").over(before), F.lit(0.0))
     summary = summary.select(*keys, SEG, *[v.alias(k) for k, v in carry.items()])
 
-    # ---- put the carries back (hot keys x segments rows; AQE picks the join)
-    out = s.join(summary, [*keys, SEG], "left")
+    # ---- put the carries back (null-safe: a null key is a key)
+    summary = summary.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)} | {SEG: "__kseg"})
+    same = F.col(SEG) == F.col("__kseg")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    out = s.join(summary, same, "left").drop("__kseg", *(f"__k{i}" for i in range(len(keys))))
     off = F.coalesce(F.col("__off"), F.lit(0))
     final = {rn: (F.col("__lrn") + off).cast("long")}
 

@@ -85,17 +85,9 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 def materialize(df):
-    """Cut lineage at a fan-out point: a reliable checkpoint written under the
-    cluster's ``spark.checkpoint.dir`` (never ``localCheckpoint``: a lost
-    executor would lose the only copy). Later stages read the written files, so
-    the upstream plan runs once and a retry does not replay it."""
-    from pyspark import StorageLevel
-
-    ensure_checkpoint_dir(df.sparkSession)
-    # persist first: the eager checkpoint runs one job to count and another to
-    # write the files; without the cache the whole upstream plan would run twice
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
+    """Cut lineage at a fan-out point: the rows are written once, in one job, as Parquet
+    under the cluster's ``spark.checkpoint.dir`` and read back. Later stages read the files,
+    so the upstream plan runs once and a lost executor costs no more than reading again."""
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import panel as P
-from panelspark.operators.segmented import hot_key_rows
 
 
 def skewed(spark, seed=11):
@@ -37,12 +36,9 @@ def same(a, b, cols):
                 assert u == v, (x, y)
 
 
-@pytest.mark.parametrize("segments,hot", [(3, None), (7, 100)])
-def test_segmented_equals_window(spark, segments, hot, monkeypatch):
-    from panelspark.operators import segmented
-    monkeypatch.setattr(segmented, "HOT_ROWS", hot)   # None: split every key; 100: only key 0
+@pytest.mark.parametrize("segments", [3, 7, True])
+def test_segmented_equals_window(spark, segments):
     df = skewed(spark)
-    assert hot_key_rows(df, ["k"]) == 600
     cols = ["k", "y", "x"]
     same(P.nearest_fill(df, "k", ["y"], "x", when=F.col("f")),
          P.nearest_fill(df, "k", ["y"], "x", when=F.col("f"), segments=segments), cols)
@@ -63,25 +59,18 @@ def test_segmented_equals_window(spark, segments, hot, monkeypatch):
 
 def test_job_hot_mode_equals_plain(spark):
     """The capital-stock job gives the same stocks with its hot-key layout."""
-    from panelspark.operators import intangibles as I, segmented
+    from panelspark.operators import intangibles as I
     from panelspark.plans import testviews as V
     from .conftest import SF001
     args = (V.panel(spark, SF001), V.company(spark, SF001), V.founding(spark, SF001))
     kw = dict(exclude=V.EXCLUDED_FIRMS, pivot_year=V.PIVOT_YEAR)
     a = I.intangible_stocks(*args, segments=None, **kw)
-    old = segmented.HOT_ROWS
-    segmented.HOT_ROWS = 3
-    try:
-        b = I.intangible_stocks(*args, segments=4, **kw)
-        same(a, b, ["gvkey", "fyear", "kcap_v2", "ocap_v2"])
-    finally:
-        segmented.HOT_ROWS = old
+    b = I.intangible_stocks(*args, segments=4, **kw)
+    same(a, b, ["gvkey", "fyear", "kcap_v2", "ocap_v2"])
 
 
 @pytest.mark.parametrize("block", [12, 40])   # 700 rows: three and two levels
-def test_blocked_recurrence_matches_loop(spark, block, monkeypatch):
-    from panelspark.operators import segmented
-    monkeypatch.setattr(segmented, "HOT_ROWS", 50)
+def test_blocked_recurrence_matches_loop(spark, block):
     rnd = random.Random(5)
     rows = []
     for k, n in [(0, 700), (1, 3), (2, 60)]:
@@ -116,27 +105,19 @@ from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E
        segments=st.integers(2, 6))
 def test_segmented_property(spark, data, segments):
     """Composite keys, null order values, random segment counts: same as one window."""
-    from panelspark.operators import segmented
-    old = segmented.HOT_ROWS
-    segmented.HOT_ROWS = None   # split every key
-    try:
-        rows = [(a, b, y, x, i) for i, (a, b, y, x) in enumerate(data)]
-        df = spark.createDataFrame(rows, "a int, b int, y int, x double, i long")
-        keys, order = ["a", "b"], ["y", "i"]          # i breaks ties
-        same(P.nearest_fill(df, keys, order, "x"), P.nearest_fill(df, keys, order, "x", segments=segments),
-             ["i", "x"])
-        same(P.row_index(df, keys, order, "c"), P.row_index(df, keys, order, "c", segments=segments), ["i", "c"])
-        same(P.bfill(df, keys, order, "x", suffix="_b"), P.bfill(df, keys, order, "x", suffix="_b", segments=segments),
-             ["i", "x_b"])
-    finally:
-        segmented.HOT_ROWS = old
+    rows = [(a, b, y, x, i) for i, (a, b, y, x) in enumerate(data)]
+    df = spark.createDataFrame(rows, "a int, b int, y int, x double, i long")
+    keys, order = ["a", "b"], ["y", "i"]          # i breaks ties
+    same(P.nearest_fill(df, keys, order, "x"), P.nearest_fill(df, keys, order, "x", segments=segments),
+         ["i", "x"])
+    same(P.row_index(df, keys, order, "c"), P.row_index(df, keys, order, "c", segments=segments), ["i", "c"])
+    same(P.bfill(df, keys, order, "x", suffix="_b"), P.bfill(df, keys, order, "x", suffix="_b", segments=segments),
+         ["i", "x_b"])
 
 
-def test_segmented_timestamp_ntz_order(spark, monkeypatch):
+def test_segmented_timestamp_ntz_order(spark):
     """Wall-clock timestamps across a DST change keep their order in segments."""
     import datetime as dt
-    from panelspark.operators import segmented
-    monkeypatch.setattr(segmented, "HOT_ROWS", None)
     old = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
@@ -149,11 +130,15 @@ def test_segmented_timestamp_ntz_order(spark, monkeypatch):
         spark.conf.set("spark.sql.session.timeZone", old)
 
 
-def test_segmented_splits_on_second_column_when_first_is_tied(spark, monkeypatch):
+def test_segmented_splits_on_second_column_when_first_is_tied(spark):
     from panelspark.operators import segmented
-    monkeypatch.setattr(segmented, "HOT_ROWS", None)
+
+    from panelspark.operators.segmented import SEG
     rows = [(1, 2000, i, None if i % 4 else float(i)) for i in range(90)]   # one year, many rows
     df = spark.createDataFrame(rows, "k long, y int, i long, x double")
     same(P.nearest_fill(df, "k", ["y", "i"], "x"), P.nearest_fill(df, "k", ["y", "i"], "x", segments=6), ["i", "x"])
     t = segmented.segmented_scan(df, ["k"], ["y", "i"], 6)
     assert t.select("__rn").distinct().count() == 90
+    # no segment holds the whole key
+    ranged = df.repartitionByRange(6, "k", "y", "i").withColumn(SEG, F.spark_partition_id())
+    assert ranged.groupBy(SEG).count().agg(F.max("count")).first()[0] < 45
