@@ -54,13 +54,10 @@ def incremental_sections(spark: SparkSession, in_path: str, schema: T.StructType
     """Section extraction over newly arrived files only (V1 + X1), with a dead-letter sink (K5)."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            ok, err = extract_sections(batch, key, text, patterns, require)
-            ok.write.mode("overwrite").format(fmt).save(f"{out_path}/batch={batch_id}")
-            err.write.mode("overwrite").format(fmt).save(f"{err_path}/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        # both sides read the batch's files; nothing is kept on executors
+        ok, err = extract_sections(batch, key, text, patterns, require)
+        ok.write.mode("overwrite").format(fmt).save(f"{out_path}/batch={batch_id}")
+        err.write.mode("overwrite").format(fmt).save(f"{err_path}/batch={batch_id}")
 
     run_available(spark, in_path, schema, checkpoint, on_batch, fmt, max_files_per_trigger)
 
