@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stage import written
+
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
 
 
@@ -64,7 +66,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str, url_co
     rows = captures.select(F.monotonically_increasing_id().alias("row"), captures[id_col].alias("id"), captures[day_col].alias("on"),
                            host(captures[url_col]).alias("host"), lookup_keys(captures[url_col]).alias("keys"))
     wanted = rows.select("row", "id", "on", "host", F.explode_outer("keys").alias("key"))
-    lists = intervals(entries).groupBy("key").agg(F.collect_list(F.struct("first", "until", "category")).alias("entries"))
+    # written, so that the join's shuffles are its own and a hot key's captures can be split
+    lists = written(intervals(entries).groupBy("key").agg(F.collect_list(F.struct("first", "until", "category")).alias("entries")), "lists")
     held = F.filter("entries", lambda e: (e["first"] <= F.col("on")) & (e["until"].isNull() | (F.col("on") < e["until"])))
     met = wanted.join(lists, "key", "left").withColumn("held", held).withColumn("n", F.coalesce(F.size("held"), F.lit(0)))
     n = F.greatest(F.col("n"), F.lit(0))  # the size of null may be -1
