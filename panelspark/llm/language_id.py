@@ -40,7 +40,8 @@ MAX_LANGUAGES = 256
 LEAST_BITS, DRAWS, SEED = 12, 400, 11
 SHARPNESS, AMBIGUOUS, FEW = 4.0, 0.6, 20
 UNKNOWN = "und"
-_CHUNK = 1 << 16
+#: n-grams of a text from which on they are counted by bucket before the odds are added up.
+MANY = 3000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -93,22 +94,19 @@ class Model:
         for bit in self.code.T:
             one, zero = share[bit > 0], share[bit < 0]
             odds.append(np.log(one.mean(axis=0)) - np.log(zero.mean(axis=0)) if len(one) and len(zero) else np.zeros(len(GRAMS) * BUCKETS))
-        self.odds = np.ascontiguousarray(np.array(odds).T, dtype=np.float32)
+        self.odds = np.ascontiguousarray(np.array(odds).T)
 
     def margins(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Mean log odds of each text's n-grams, with FEW neutral ones, texts x bits."""
         total = np.zeros((len(bounds) - 1, self.code.shape[1]))
         for i, n in enumerate(GRAMS):
-            b = buckets(data, n).astype(np.int64) + i * BUCKETS
+            found, odds = buckets(data, n), self.odds[i * BUCKETS:(i + 1) * BUCKETS]
             last = np.maximum(bounds[1:] - n + 1, bounds[:-1])  # n-grams across two texts don't count
-            for at in range(0, len(b), _CHUNK):
-                to = min(len(b), at + _CHUNK)
-                t0, t1 = int(np.searchsorted(last, at, side="right")), int(np.searchsorted(bounds[:-1], to, side="left"))
-                if t0 < t1:
-                    sums = np.zeros((to - at + 1, total.shape[1]))
-                    np.cumsum(self.odds[b[at:to]], axis=0, dtype=np.float64, out=sums[1:])
-                    low, high = np.clip(bounds[:-1][t0:t1], at, to) - at, np.clip(last[t0:t1], at, to) - at
-                    total[t0:t1] += sums[high] - sums[low]
+            for k, (a, b) in enumerate(zip(bounds.tolist(), last.tolist())):
+                if b - a > MANY:
+                    total[k] += np.bincount(found[a:b], minlength=BUCKETS) @ odds
+                elif b > a:
+                    total[k] += odds[found[a:b]].sum(axis=0)
         size = sum(np.maximum(np.diff(bounds) - n + 1, 0) for n in GRAMS)
         return total / (size + FEW)[:, None]
 
