@@ -18,6 +18,20 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Like ``written``, in as many hash buckets of the keys as shuffles have partitions: a later join on the
+    keys reads the buckets where they lie and shuffles its other side only."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"{name}_{path.rsplit('-', 1)[1]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, *keys).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved now; the catalog's entry for the files isn't needed any more
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Have Arrow batches hold at most so many rows: whole texts are long, and a worker holds a batch at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -17,7 +17,8 @@ comparison of all windows finds. Maximal repeats are the unions of overlapping r
 
 Volume: about two anchors in ``length - seed + 2`` words go through one shuffle; each task first
 keeps one row of each of its own equal stretches, so a passage that a third of all documents share
-costs one row a task; the texts are shuffled once to meet their repeats.
+costs one row a task; the texts are shuffled once to meet their repeats and written in buckets of their
+ids, so what is found in their windows meets them without another shuffle.
 
 Defined cases: null or empty text has no words; texts shorter than a window keep all words;
 repeated rows (same id and text) are one document and get the same result; rows that share an id
@@ -36,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stage import written
+from .stage import bucketed, text_batches
 from .words import _BASE, _POWERS, Words, gram_starts, grams, mix, steps
 
 #: Words of a window, and of the grams that anchors are chosen from.
@@ -189,14 +190,19 @@ def _extend(length: int, digest: bool):
 
 
 def _finish(length: int, digest: bool):
+    """Rows that are done as they are, and the others with the windows that were found to be repeats."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
-                w = Words(part.column(1), hashed=False)
-                row, items = _lists(part.column(2))
+                done = part.column(part.schema.get_field_index("done"))
+                yield part.filter(done).select(["id", "n_words", "n_removed", "spans", "kept"])
+                part = part.filter(pc.invert(done))
+                w = Words(part.column(part.schema.get_field_index("text")), hashed=False)
+                row, items = _lists(part.column(part.schema.get_field_index("runs")))
                 place, count, repeat = (items.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 repeat = repeat.astype(bool)
-                more_row, places = _lists(part.column(3))
+                more_row, places = _lists(part.column(part.schema.get_field_index("more")))
                 places = places.to_numpy(zero_copy_only=False)
                 gone = _removed(w, np.concatenate([row[repeat], more_row]), np.concatenate([place[repeat], places]).astype(np.int64) & _PLACE,
                                 np.concatenate([count[repeat], np.ones(len(places), np.int32)]).astype(np.int64), length)
@@ -213,6 +219,7 @@ def _finish(length: int, digest: bool):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_removed, spans (maximal repeats, in words), kept (the kept words
     joined by spaces, or their SHA-256 if ``digest``)."""
+    text_batches(docs.sparkSession)
     text = F.coalesce(docs[text_col], F.lit(""))
     narrow = docs.select(docs[id_col].alias("id"), F.shiftrightunsigned(F.xxhash64(text), 40).cast("int").alias("version"), text.alias("text"))
     kind = dict(narrow.dtypes)["id"]
@@ -227,12 +234,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, dige
 
     met = narrow.join(by_text, ["id", "version"], "left").select("id", "version", "text", "runs")
     item = "array<struct<place:long,n:int,repeat:boolean>>"
-    work = written(met.mapInArrow(_extend(length, digest), f"id {kind}, version int, {_DONE}, done boolean, text string, runs {item}, compare array<struct<w1:long,w2:long,place:long>>"), "extended")
+    work = bucketed(met.mapInArrow(_extend(length, digest), f"id {kind}, version int, {_DONE}, done boolean, text string, runs {item}, compare array<struct<w1:long,w2:long,place:long>>"), "extended", "id", "version")
 
     windows = work.filter("not done").select("id", F.explode("compare").alias("c")).select("id", "c.*")
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "place")).alias("first"), F.max(F.struct("id", "place")).alias("last")).filter("first < last").drop("last")
+    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = windows.join(first, ["w1", "w2"]).filter(F.struct("id", "place") > F.col("first"))
     more = again.groupBy("id", F.shiftright("place", 32).cast("int").alias("version")).agg(F.collect_list("place").alias("more"))
-    rest = work.filter("not done").select("id", "version", "text", "runs").join(more, ["id", "version"], "left").select("id", "text", "runs", "more")
-    out = work.filter("done").select("id", "n_words", "n_removed", "spans", "kept").unionByName(rest.mapInArrow(_finish(length, digest), f"id {kind}, {_DONE}"))
-    return out.withColumnRenamed("id", id_col)
+    rows = work.drop("compare").join(more, ["id", "version"], "left").select("id", "n_words", "n_removed", "spans", "kept", "done", "text", "runs", "more")
+    return rows.mapInArrow(_finish(length, digest), f"id {kind}, {_DONE}").withColumnRenamed("id", id_col)
