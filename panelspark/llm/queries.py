@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, url_filter
+from . import (chat_format, decontamination, exact_dedup, language_id, near_dedup, packing, quality_rules, secret_scan, spelling, substring_dedup, token_counts, url_filter,
+               whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,6 +119,36 @@ k as (select doc_id, count(*) as n_words, sum(out) as n_removed, string_agg(word
 select doc_id, coalesce(n_words, 0) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from documents left join k using (doc_id)"""
 
+#: crc32 from its polynomial, byte by byte; near words by the letters left out; chains by recursion.
+SPELLING_SQL = r"""
+with recursive bits(byte, crc, k) as (
+  select cast(range as bigint), cast(range as bigint), 0 from range(256) union all
+  select byte, case when crc & 1 = 1 then xor(crc >> 1, 3988292384) else crc >> 1 end, k + 1 from bits where k < 8),
+crc as (select list(crc order by byte) as t from bits where k = 8),
+runs as (
+  select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+kinds as (select doc_id, run, count(*) as n, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) as bytes from runs group by all),
+hashed as (
+  select run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(bytes) // 2), lambda i: cast(('0x' || substr(bytes, 2 * i + 1, 2)) as bigint))),
+    lambda c, b: xor(crc.t[(xor(c, b) & 255) + 1], c >> 8))) as h from kinds, crc),
+words as (
+  select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, cast(sum(n) as bigint) as n from hashed group by 1),
+vocab as (select word, n from words where length(word) >= 5 and n >= 3),
+cut as (
+  select word, n, unnest(range(length(word))) as k from vocab),
+gaps as (select word, n, k, substr(word, 1, k) || substr(word, k + 2) as rest from cut),
+pairs as (
+  select a.word, b.word as near, b.n as near_n from gaps a join gaps b on a.rest = b.rest and a.k = b.k and a.word <> b.word
+  union select a.word, b.word, b.n from gaps a join vocab b on a.rest = b.word
+  union select b.word, a.word, a.n from gaps a join vocab b on a.rest = b.word),
+best as (select word, count(*) as n_near, max(near_n) as most from pairs group by word),
+form as (
+  select v.word, v.n, coalesce(n_near, 0) as n_near, case when most >= 2 * v.n then (select min(near) from pairs p where p.word = v.word and p.near_n = most) end as form,
+    case when most >= 2 * v.n then most end as form_n from vocab v left join best using (word)),
+chain(word, root, form) as (
+  select word, word, form from form union all select c.word, f.word, f.form from chain c join form f on f.word = c.form)
+select f.word, f.form, c.root, f.n, f.n_near, f.form_n from form f join chain c on c.word = f.word and c.form is null"""
+
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
@@ -231,3 +262,21 @@ def op10(spark, sf_dir):
                            F.date_add(first, ((F.col("page_id") * 7) % 365).cast("int")).alias("day"), (F.col("page_id") % 4 != 0).alias("added"))
     found = url_filter.filter_captures(captures, entries, "page_id", "url", "fetched")
     return found.withColumn("categories", F.array_join("categories", ","))
+
+
+@query("op11_embedding_whitening")
+def op11(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_spelling_variants", SPELLING_SQL)
+def op12(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_exact_dedup", """
+with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents)
+select doc_id, max(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
+  doc_id = max(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256 from d""")
+def op13(spark, sf_dir):
+    return exact_dedup.copies(table(spark, sf_dir, "documents"), keep="largest")
