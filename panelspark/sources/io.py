@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,12 @@ from ..session import materialize
 # Fixed value: rows per part file chosen for the source's job queue.
 ROWS_PER_PART = 1516
 
+# Cells as pandas and spreadsheets write them: quoted where needed, a quote inside is doubled, a backslash is a
+# backslash, spaces around a value are the value's own.
+CSV_CELLS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+# The texts that pandas reads as missing by default; an empty cell is one of them, quoted or not.
+MISSING_TEXTS = ("", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
 
 # --------------------------------------------------------------------------- S1-S3, S7
 
@@ -41,8 +47,8 @@ def without_nan(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None,
-             corrupt: str | None = None, **options) -> DataFrame:
-    """CSV with a header row.
+             corrupt: str | None = None, multi_line: bool = True, missing_texts: Sequence[str] = ("",), **options) -> DataFrame:
+    """CSV with a header row (S1, S2, F3), its cells quoted as pandas does it.
 
     Columns are found by their header names, in any order and letter case; a
     missing one raises ``ValueError`` and ones outside the schema are left out.
@@ -51,9 +57,14 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
     that tells what was wrong with a row: the whole record if its number of
     fields differs from the header's, else the names of its unreadable cells,
     joined by commas, and null for a sound row.
+
+    Quoted cells may hold commas, doubled quotes and line breaks; a file is then read by one task, since only a
+    scan from its start tells the breaks between rows. ``multi_line=False`` splits large files that
+    have no line break in a cell. Cells that are one of ``missing_texts`` (as a whole) are null; by default an empty cell, quoted or
+    not. ``MISSING_TEXTS`` is what pandas takes for missing.
     """
     paths = path if isinstance(path, str) else list(path)
-    opts = {"header": "true", "encoding": "UTF-8", "mode": "PERMISSIVE", **options}
+    opts = {"header": "true", "encoding": "UTF-8", "mode": "PERMISSIVE", "multiLine": str(multi_line).lower(), **CSV_CELLS, **options}
     header = spark.read.options(**opts).option("inferSchema", "false").csv(paths).columns
     raw = "_corrupt_record"
     text = T.StructType([T.StructField(c, T.StringType()) for c in [*header, raw]])
@@ -64,7 +75,8 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
     missing = [f.name for f in fields if f.name.lower() not in place]
     if missing:
         raise ValueError(f"the header of {path} lacks {', '.join(missing)}")
-    cells = {f.name: F.col(f"`{place[f.name.lower()]}`") for f in fields}
+    cell = lambda c: F.when(~c.isin(list(missing_texts)), c) if missing_texts else c
+    cells = {f.name: cell(F.col(f"`{place[f.name.lower()]}`")) for f in fields}
     typed = {f.name: _typed(cells[f.name], f.dataType) for f in fields}
     out = [typed[f.name].alias(f.name) for f in fields]
     if corrupt:
@@ -136,10 +148,13 @@ def read_parts(spark: SparkSession, path: str, schema: T.StructType | None = Non
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 compression: str | None = None, partition_by: Sequence[str] = (),
                 max_records_per_file: int | None = None) -> None:
-    """CSV (header) or Parquet writer; ``compression='zstd'`` for K3."""
+    """CSV (header, cells quoted as pandas does it) or Parquet writer; ``compression='zstd'`` for K3.
+
+    In CSV null is an empty cell and an empty text a quoted one; pandas reads both as missing.
+    """
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", "true")
+        w = w.options(header="true", **CSV_CELLS)
     if compression:
         w = w.option("compression", compression)
     if max_records_per_file:
@@ -192,6 +207,44 @@ def row_chunks(df: DataFrame, order: Sequence[str], rows: int = ROWS_PER_PART, o
     return numbered.withColumn(out, F.floor(F.col("__row") / rows).cast("long")).drop("__row")
 
 
+def with_total_before(df: DataFrame, order: Sequence[str], cost: Column, out: str = "total") -> DataFrame:
+    """The sum of the costs (whole numbers, null is 0) of all rows before each one in ``order``, without a window over the whole table.
+
+    The order columns and costs alone are range partitioned on the whole order; running sums within each
+    partition and one sum per partition before it give the totals, which then join the wide rows. ``order`` must
+    be unique; nulls come first.
+    """
+    order = list(order)
+    keys = df.select(*order, F.coalesce(cost.cast("long"), F.lit(0)).alias("__cost")).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(keys.withColumn("__id", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__id", 33))
+    own = placed.groupBy("__part").agg(F.sum("__cost").alias("__all"))  # one row a partition
+    offsets = own.select("__part", F.coalesce(F.sum("__all").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    inside = F.coalesce(F.sum("__cost").over(Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = placed.withColumn("__in", inside).join(offsets, "__part").select(*(F.col(c).alias(f"__{c}") for c in order), (F.col("__off") + F.col("__in")).cast("long").alias(out))
+    return df.join(total, [df[c].eqNullSafe(total[f"__{c}"]) for c in order]).select(*(df[c] for c in df.columns), out)
+
+
+def cost_chunks(df: DataFrame, order: Sequence[str], cost: Column, bound: int | None = None, parts: int | None = None, out: str = "chunk") -> DataFrame:
+    """Part numbers of contiguous blocks in ``order`` whose costs are balanced (K4).
+
+    A row goes to the part in which the costs before it end: parts have at most ``bound`` plus the cost of their last row, so none is larger than the bound by
+    more than one row. ``parts`` gives the bound that makes so many parts. Numbers rise with the order; a row that costs several bounds
+    leaves the numbers after it out.
+    """
+    if (bound is None) == (parts is None):
+        raise ValueError("give either the bound or the number of parts")
+    if parts is not None:
+        whole = df.agg(F.sum(cost.cast("long")).alias("n")).first()["n"] or 0
+        bound = -(-whole // parts)
+    return with_total_before(df, order, cost, "__before").withColumn(out, F.floor(F.col("__before") / max(1, bound)).cast("long")).drop("__before")
+
+
+def write_cost_chunks(df: DataFrame, path: str, order: Sequence[str], cost: Column, bound: int | None = None, parts: int | None = None, fmt: str = "parquet") -> None:
+    """Write one directory per part (``chunk=N``) of balanced cost, rows kept in order (K4)."""
+    (cost_chunks(df, order, cost, bound, parts).repartition("chunk").sortWithinPartitions("chunk", *order)
+        .write.mode("overwrite").format(fmt).partitionBy("chunk").save(path))
+
+
 def write_row_chunks(df: DataFrame, path: str, order: Sequence[str], rows: int = ROWS_PER_PART,
                      fmt: str = "parquet") -> None:
     """Write one directory per part number (``chunk=N``), rows kept in order (K4)."""
