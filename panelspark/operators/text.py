@@ -9,12 +9,16 @@ row per chunk via ``posexplode``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import short_flag
 
+if TYPE_CHECKING:
+    from .sentences import SentenceEnds
+
 # The source's chunk cap is twice max(encoder sequence length 512, 1024);
 # a section shorter than 10,000 characters is flagged missing.
 CHUNK_CAP = 2 * max(512, 1024)
@@ -112,9 +116,10 @@ def filing_texts(links: DataFrame, documents: DataFrame, key: str = "fname", tex
 
 # --------------------------------------------------------------------------- V2, F18-F21, P13
 
-def chunk_array(text: str | Column, sep: str = "\n", cap: int = CHUNK_CAP) -> Column:
+def chunk_array(text: str | Column, sep: str = "\n", cap: int = CHUNK_CAP, ends: SentenceEnds | None = None) -> Column:
     """Paragraphs (split on ``sep``) with whitespace runs collapsed; paragraphs
-    longer than ``cap`` characters split at sentence ends; blank chunks dropped."""
+    longer than ``cap`` characters split at sentence ends; blank chunks dropped.
+    ``ends``: sentence ends as learned from the corpus, else every ``.``, ``!`` or ``?`` before white space is one."""
     t = F.col(text) if isinstance(text, str) else text
     if sep == "\n":
         # one pass over the whole text: whitespace runs never span a newline,
@@ -123,18 +128,22 @@ def chunk_array(text: str | Column, sep: str = "\n", cap: int = CHUNK_CAP) -> Co
     else:
         paras = F.transform(F.split(t, _regex_literal(sep), -1),
                             lambda p: F.regexp_replace(p, WS + "{2,}", " "))
-    pieces = F.flatten(F.transform(
-        paras, lambda p: F.when(F.length(p) > cap, F.split(p, SENTENCE_BREAK, -1)).otherwise(F.array(p))))
+    sentences = lambda p: F.split(p, SENTENCE_BREAK, -1)
+    if ends is not None:
+        from .sentences import sentence_array
+        sentences = lambda p: sentence_array(p, ends)
+    pieces = F.flatten(F.transform(paras, lambda p: F.when(F.length(p) > cap, sentences(p)).otherwise(F.array(p))))
     # blank = only whitespace: trimming the literal whitespace set leaves nothing
     return F.filter(pieces, lambda c: F.length(F.btrim(c, F.lit(WS_CHARS))) > 0)
 
 
 def chunk_docs(df: DataFrame, key: str | Sequence[str], text: str, sep: str = "\n",
-               cap: int = CHUNK_CAP, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per chunk: (key..., chunk_no, chunk, n_chars) (V2). Empty texts are skipped."""
+               cap: int = CHUNK_CAP, keep: Sequence[str] = (), ends: SentenceEnds | None = None) -> DataFrame:
+    """One row per chunk: (key..., chunk_no, chunk, n_chars) (V2). Empty texts are skipped.
+    ``ends``: learned sentence ends (``learn_sentence_ends``)."""
     keys = [key] if isinstance(key, str) else list(key)
     src = df.where(F.length(F.col(text)) > 0)
-    out = src.select(*keys, *keep, F.posexplode(chunk_array(text, sep, cap)).alias("chunk_no", "chunk"))
+    out = src.select(*keys, *keep, F.posexplode(chunk_array(text, sep, cap, ends)).alias("chunk_no", "chunk"))
     return out.withColumn("chunk_no", F.col("chunk_no").cast("long")) \
               .withColumn("n_chars", F.length("chunk").cast("long"))
 
