@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -171,3 +171,79 @@ def domestic_accounts(accounts: DataFrame, company: DataFrame, key: str = "gvkey
     for c, v in DOMESTIC_FLAGS.items():
         kept = kept.where(F.col(c) == v)
     return kept.drop(*DOMESTIC_FLAGS).join(company, key).withColumn("year", F.year("datadate"))
+
+
+# --------------------------------------------------------------------------- dyadic joins
+
+#: Dyadic ranges hold 1, 2, 4, ... 2 ** (LEVELS - 1) days; longer intervals take several of the longest.
+LEVELS = 18
+
+
+def dyadic_cover(first: Column, last: Column, levels: int = LEVELS) -> Column:
+    """Array of (level, block): the fewest dyadic ranges [block << level, (block + 1) << level) that make up the integers
+    from ``first`` to ``last``, at most two a level and, of the longest, as many as there are. Null or empty intervals have none."""
+    none = F.array().cast("array<struct<level:int,block:bigint>>")
+    ranges = []
+    for k in range(levels):
+        size = 1 << k
+        low, high = F.ceil(first / size).cast("long"), F.floor((last + 1) / size).cast("long")  # blocks of this level: low to high - 1
+        if k == levels - 1:
+            own = F.transform(F.sequence(low, F.greatest(high - 1, low)), _at_level(k))
+        else:  # the ones at the ends that no longer range holds
+            left, right = low.bitwiseAND(F.lit(1)) == 1, high.bitwiseAND(F.lit(1)) == 1
+            own = F.concat(F.when(left, F.array(_at_level(k)(low))).otherwise(none), F.when(right & ((high - 1 > low) | ~left), F.array(_at_level(k)(high - 1))).otherwise(none))
+        ranges.append(F.when(low < high, own).otherwise(none))
+    return F.when(first.isNotNull() & last.isNotNull(), F.concat(*ranges))
+
+
+def _at_level(level: int):
+    return lambda block: F.struct(F.lit(level).alias("level"), block.alias("block"))
+
+
+def dyadic_ancestors(at: Column, levels: int = LEVELS) -> Column:
+    """Array of (level, block): the dyadic ranges that hold ``at``, one a level."""
+    return F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(at.cast("long"), k).alias("block")) for k in range(levels)))
+
+
+def dyadic_join(df: DataFrame, links: DataFrame, key: str | Sequence[str], at: Column, first: Column, last: Column,
+                levels: int = LEVELS) -> DataFrame:
+    """Rows of ``df`` with every link of the same key whose integers from ``first`` to ``last`` hold ``at``.
+
+    A link becomes the dyadic ranges that make up its interval, whatever its length a few rows; each distinct
+    (key, ``at``) looks up the ranges that hold it, one a level. One equi join finds all pairs, each once, and no range test is left.
+    What it finds meets the wide rows by (key, ``at``), so the rows of one firm spread over the tasks by their dates.
+    Null keys, null places and intervals with a null end match nothing.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    own = [c for c in links.columns if c not in keys and c not in df.columns]
+    at_name, row = "__at", "__link"
+    wide = df.withColumn(at_name, at.cast("long"))
+    points = wide.select(*keys, at_name).where(F.col(at_name).isNotNull()).distinct()
+    points = points.select(*keys, at_name, F.inline(dyadic_ancestors(F.col(at_name), levels)))
+    cover = links.select(*keys, F.struct(*(F.col(f"`{c}`") for c in own), F.lit(1).alias("__one")).alias(row), F.inline(dyadic_cover(first.cast("long"), last.cast("long"), levels)))
+    hits = points.join(cover, [*keys, "level", "block"]).select(*keys, at_name, row)
+    out = wide.join(hits, [*keys, at_name])
+    return out.select(*df.columns, *(F.col(row).getField(c).alias(c) for c in own))
+
+
+def _day(c: Column) -> Column:
+    return F.unix_date(c)
+
+
+def dyadic_interval_join(df: DataFrame, links: DataFrame, key: str | Sequence[str], at: str, start: str = "link_start", end: str = "link_end",
+                         levels: int = LEVELS) -> DataFrame:
+    """``interval_join`` as one equi join: open ends (1700, 2260) cost a few rows, and a firm with a large share of the rows spreads."""
+    return dyadic_join(df, links, key, _day(F.col(at)), _day(F.col(start)), _day(F.col(end)), levels)
+
+
+def dyadic_containing_links(panel: DataFrame, links: DataFrame, key: str = "gvkey", year: str = "fyear", start: str = "link_start", end: str = "link_end",
+                            end_open: str = "end_open", year_range: tuple[int, int] = (1950, 2020)) -> DataFrame:
+    """``containing_links`` as one equi join on years (J6, P10, P11): a link covers the fiscal years y with start < Dec 31 of y - 1 and
+    Dec 31 of y < end, which is an interval of years."""
+    low, high = year_range
+    s, e = F.col(start), F.col(end)
+    new_years_eve = (F.month(s) == 12) & (F.dayofmonth(s) == 31)
+    first = F.when(s.isNull(), F.lit(low)).otherwise(F.year(s) + 1 + new_years_eve.cast("int"))
+    last = F.when(F.coalesce(F.col(end_open), F.lit(False)), F.lit(high)).otherwise(F.year(e) - 1)
+    # years outside the range meet nothing, so links are cut to it: eight levels hold it
+    return dyadic_join(panel.where(F.col(year).between(low, high)), links, key, F.col(year), F.greatest(first, F.lit(low)), F.when(last.isNotNull(), F.least(last, F.lit(high))), 8)
