@@ -35,6 +35,7 @@ from .panel import (
     nearest_fill,
     pivot_zero_fill,
     row_index,
+    value_at,
 )
 
 # Founding-list codes that mean "unknown", the code that means
@@ -207,7 +208,7 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     f = nearest_fill(f, k, by_date, "xsga", when=F.col("atnan") == 1, segments=seg)
     f = nearest_fill(f, k, by_date, "xrd", when=F.col("atnan") == 1, era=F.col(y) >= pivot_year, segments=seg)
     # 4. pivot-year rule; 5. SG&A net of R&D
-    f = pivot_zero_fill(f, k, y, "xrd", pivot_year, segments=seg)
+    f = pivot_zero_fill(f, k, y, "xrd", pivot_year, segments=seg, order=["datadate"])
     f = f.withColumn("xsga", net_sga("xsga", "xrd", "rdip", "cogs"))
     # 6. data-row counter, age since IPO
     f = row_index(f, k, [F.col(y), F.col("datadate")], "count", segments=seg)
@@ -222,7 +223,7 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     pre_sga = growth_pre(f, "xsga", k).select(F.col("grate_pre").alias("pre_xsga"))
     # 8. before the pivot year, nearest fill of R&D for firms whose pivot-year R&D is > 0
     w = _firm(k)
-    pivot_val = F.min_by(F.col("xrd"), F.when(F.col(y) == pivot_year, F.col("datadate")))
+    pivot_val = value_at(f, k, y, "xrd", pivot_year, ["datadate"])
     if seg:
         f = f.join(f.groupBy(k).agg(pivot_val.alias("__p8")), k, "left")
     else:

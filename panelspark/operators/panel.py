@@ -124,18 +124,18 @@ def bfill(df: DataFrame, key, order, cols: Sequence[str] | str, suffix: str = ""
 def densify_years(df: DataFrame, key, year: str = "fyear", src: str | None = None,
                   segments: int | None = None) -> DataFrame:
     """One row per year from each key's first to last year; a gap year copies the
-    whole previous row, its nulls included (W4).
+    whole previous row, its nulls included (W4). Rows that repeat a year stay, and the
+    last of them - the other columns decide their order - fills the gap after it.
 
     ``explode(sequence(year, next_year - 1))`` -- no calendar table and no join;
     the only shuffle is the window's partitioning by key.
     """
     if segments:
-        t = segmented_scan(df, _names(key), [F.col(year)], segments, nxt={"__ny": F.col(year)})
-        out = t.withColumn("__to", F.coalesce(F.col("__ny.v") - 1, F.col(year))).drop("__rn", "__ny")
+        t = segmented_scan(df, _names(key), _total(df, key, year), segments, nxt={"__ny": F.col(year)})
+        out = t.withColumn("__to", F.greatest(F.col("__ny.v") - 1, F.col(year))).drop("__rn", "__ny")
     else:
-        w = _w(key, year)
-        nxt = F.lead(F.col(year)).over(w)
-        out = df.withColumn("__to", F.coalesce(nxt - 1, F.col(year)))
+        nxt = F.lead(F.col(year)).over(_w(key, _total(df, key, year)))
+        out = df.withColumn("__to", F.greatest(nxt - 1, F.col(year)))
     if src:
         out = out.withColumn(src, F.col(year))
     return (out.withColumn(year, F.explode(F.sequence(F.col(year), F.col("__to"))))
@@ -152,19 +152,25 @@ def add_anchor_rows(df: DataFrame, anchors: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- F12, A9
 
+def value_at(df: DataFrame, key, year: str, col: str, at: int, order: Sequence[str] = ()) -> Column:
+    """Aggregate: the value of the key's first row in year ``at`` (A9), by ``order`` and then the other columns; null without such a row."""
+    first = F.struct(*_total(df, _names(key) + [year], list(order)))
+    return F.min_by(F.col(col), F.when(F.col(year) == at, first))
+
+
 def pivot_zero_fill(df: DataFrame, key, year: str, col: str, pivot_year: int,
-                    out: str | None = None, segments: int | None = None) -> DataFrame:
+                    out: str | None = None, segments: int | None = None, order: Sequence[str] = ()) -> DataFrame:
     """R&D pivot-year rule.
 
     From the pivot year on, null -> 0. Before it, null -> 0 only if the key has
     a row in the pivot year whose value is null or 0. "Row exists" is kept apart
-    from "value is null".
+    from "value is null". Of several rows in the pivot year the first in ``order`` decides, then the
+    other columns from left to right, nulls first; arrival order never does.
     """
     out = out or col
     y, x = F.col(year), F.col(col)
     has_pivot = F.max(F.when(y == pivot_year, F.lit(1)))
-    # the pivot-year row decides (a panel has one)
-    pivot_val = F.min_by(x, F.when(y == pivot_year, F.lit(0)))
+    pivot_val = value_at(df, key, year, col, pivot_year, order)
     if segments:
         # per-key facts as a partial aggregate joined back: no task holds a whole key
         facts = df.groupBy(*_names(key)).agg(has_pivot.alias("__hp"), pivot_val.alias("__pv"))

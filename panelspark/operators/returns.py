@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip_low, null_if_in
@@ -41,8 +41,9 @@ def annual_returns(monthly: DataFrame, year: str, security: str = "permno", issu
     r = F.col(ret)
     parts = monthly.groupBy(security, issuer, year).agg(
         F.count(F.lit(1)).alias("__n"), F.count(r).alias("__nv"), F.product(F.lit(1.0) + r).alias("__p"), F.min(date).alias("__from"))
-    # an issuer's rows here are its securities times their years
-    parts = parts.withColumn(first, F.when(F.col(issuer).isNotNull(), F.min("__from").over(Window.partitionBy(issuer))))
+    # a small aggregate joined back: securities without an issuer meet in no group and have no first month
+    firsts = parts.where(F.col(issuer).isNotNull()).groupBy(issuer).agg(F.min("__from").alias(first))
+    parts = parts.join(firsts, issuer, "left")
     whole = parts.groupBy(security, year, first).agg(F.sum("__n").alias("__n"), F.sum("__nv").alias("__nv"), F.product("__p").alias("__p"))
     return whole.select(security, year, first, F.when(F.col("__n") == F.col("__nv"), F.col("__p") - 1.0).alias(ret))
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import cosine, l2_normalize
+from .sentences import SentenceEnds
 from .text import CHUNK_CAP, chunk_array
 
 
@@ -94,6 +95,61 @@ def embed_chunks(df: DataFrame, text: str = "chunk", out: str = "vec",
     return df.mapInArrow(run, schema)
 
 
+#: Chunks that are sorted by length together, and padded tokens of a batch, for ``embed_by_budget``.
+SORT_ROWS, TOKEN_BUDGET = 4096, 16_384
+
+
+def budget_batches(tokens: np.ndarray, budget: int) -> list[np.ndarray]:
+    """Row numbers of batches of similar length: rows times the longest row's tokens is at most ``budget``, but for single rows over it."""
+    order = np.argsort(tokens, kind="stable")
+    out, at = [], 0
+    while at < len(order):
+        # lengths rise, so a batch is as many rows as its last row's length allows
+        low, high = at + 1, len(order)
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if (mid - at) * int(tokens[order[mid - 1]]) <= budget else (low, mid - 1)
+        out.append(order[at:low])
+        at = low
+    return out
+
+
+def embed_by_budget(df: DataFrame, text: str = "chunk", out: str = "vec", factory: Callable[[], object] | None = None, budget: int = TOKEN_BUDGET,
+                    keep_text: bool = True, profile=None) -> DataFrame:
+    """``embed_chunks`` with batches of a bounded number of padded tokens (V3).
+
+    An encoder pads a batch to its longest text, so texts of mixed lengths waste most of the work and a batch of long ones may not
+    fit its memory. Each task sorts SORT_ROWS texts at a time by length and cuts them into batches of at most ``budget``
+    padded tokens; vectors go back to their rows' places. The encoder may have ``tokens(list[str]) -> list[int]``; else tokens are
+    estimated as a quarter of the characters. ``profile``: a resource profile for the stage that encodes, e.g. one task a GPU.
+    Vectors are those of ``embed_chunks`` wherever the encoder's results don't depend on a batch. Null texts are encoded as empty ones.
+    """
+    import pyarrow as pa
+
+    factory = factory or HashingEncoder
+    fields = [f for f in df.schema.fields if keep_text or f.name != text]
+    schema = T.StructType(fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
+    names = [f.name for f in fields]
+
+    def run(batches):
+        enc = factory()
+        count = getattr(enc, "tokens", None) or (lambda texts: [-(-len(t) // 4) for t in texts])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SORT_ROWS):
+                rb = whole.slice(at, SORT_ROWS)
+                texts = [t or "" for t in rb.column(rb.schema.get_field_index(text)).to_pylist()]
+                vecs = None
+                for rows in budget_batches(np.asarray(count(texts), dtype=np.int64), budget):
+                    got = np.asarray(enc.encode([texts[i] for i in rows]), dtype=np.float32)
+                    vecs = np.empty((len(texts), got.shape[1]), dtype=np.float32) if vecs is None else vecs
+                    vecs[rows] = got
+                offsets = pa.array(np.arange(0, (len(texts) + 1) * vecs.shape[1], vecs.shape[1], dtype=np.int32))
+                cols = [rb.column(rb.schema.get_field_index(c)) for c in names]
+                yield pa.RecordBatch.from_arrays(cols + [pa.ListArray.from_arrays(offsets, pa.array(vecs.reshape(-1)))], names=names + [out])
+
+    return df.mapInArrow(run, schema, profile=profile)
+
+
 #: Most chunks that go through the encoder at once.
 ENCODE_ROWS = 1024
 
@@ -153,7 +209,7 @@ def cosine_to_pooled(df: DataFrame, key: str, vector: str, weight: str | None =
 
 
 def embed_docs(df: DataFrame, key: str | Sequence[str], fields: dict[str, str], factory: Callable[[], object] | None = None,
-               sep: str = "\n", cap: int = CHUNK_CAP) -> DataFrame:
+               sep: str = "\n", cap: int = CHUNK_CAP, ends: SentenceEnds | None = None) -> DataFrame:
     """Embed several text columns per document in one pass (V3, V4, V5).
 
     ``fields`` maps a text column to its output column (e.g. text -> embfull,
@@ -167,7 +223,7 @@ def embed_docs(df: DataFrame, key: str | Sequence[str], fields: dict[str, str],
 
     factory = factory or HashingEncoder
     keys = [key] if isinstance(key, str) else list(key)
-    cut = [chunk_array(src, sep, cap).alias(out) for src, out in fields.items()]
+    cut = [chunk_array(src, sep, cap, ends).alias(out) for src, out in fields.items()]
     rows = df.repartition(*keys).select(*keys, *cut)
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(out, T.ArrayType(T.DoubleType())) for out in fields.values()])
 
