@@ -1044,4 +1044,4 @@ def q_intangible_stocks_keep_zero(spark, d):
                             exclude=EXCLUDED_FIRMS, pivot_year=PIVOT_YEAR, zero_mode="keep_zero")
     return s.select("gvkey", "fyear", single("kcap_v2"), single("ocap_v2"))
 
-from . import catalog_io  # noqa: E402, F401 - registers its queries here
+from . import catalog_io, catalog_scale  # noqa: E402, F401 - they register their queries here
