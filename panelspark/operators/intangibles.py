@@ -10,6 +10,7 @@ age) that are joined back.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,6 +180,26 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     """
     if age_mode not in ("as_coded", "recomputed"):
         raise ValueError("age_mode must be 'as_coded' or 'recomputed'")
+    f = prepared_accounts(funda, company, founding, exclude, pivot_year, key, year, segments)
+    if checkpoint:
+        # fan-out: four growth aggregates and the rest of the job read this
+        f = materialize(f)
+    return stocks_from(f, growth_rates(f, key), founding, pivot_year, age_mode, zero_mode, lag, key, year, keep_intermediate, checkpoint, segments)
+
+
+@dataclass(frozen=True)
+class GrowthRates:
+    """By age (ageipo, grate_xrd / grate_xsga), and the pre-IPO rates (one row: pre_xrd / pre_xsga)."""
+
+    rd: DataFrame
+    sga: DataFrame
+    pre_rd: DataFrame
+    pre_sga: DataFrame
+
+
+def prepared_accounts(funda: DataFrame, company: DataFrame, founding: DataFrame, exclude: Sequence = (), pivot_year: int = RD_PIVOT_YEAR,
+                      key: str = "gvkey", year: str = "fyear", segments: int | bool | None = SEGMENTS) -> DataFrame:
+    """Steps 1-6 of the job: each firm's accounts with its attributes, filled, netted, numbered and aged; no firm looks at another."""
     k, y = key, year
     require_columns(funda, [k, y, "datadate", "assets", "xsga", "xrd", "rdip", "cogs"])
     # cusip and seq come from the accounts when they carry them, else from the company table
@@ -213,14 +234,24 @@ def intangible_stocks(funda: DataFrame, company: DataFrame, founding: DataFrame,
     # 6. data-row counter, age since IPO
     f = row_index(f, k, [F.col(y), F.col("datadate")], "count", segments=seg)
     f = f.withColumn("ageipo", (F.col(y) - F.year("ipodate")).cast("int"))
-    if checkpoint:
-        # fan-out: four growth aggregates and the rest of the job read this
-        f = materialize(f)
-    # 7. growth rates (global, small) -- before step 8's fills
+    return f
+
+
+def growth_rates(f: DataFrame, k: str = "gvkey") -> GrowthRates:
+    """Step 7 of the job: the growth rates of all firms together."""
     g_rd = growth_by_age(f, "xrd", k).select(F.col("age").alias("ageipo"), F.col("grate").alias("grate_xrd"))
     g_sga = growth_by_age(f, "xsga", k).select(F.col("age").alias("ageipo"), F.col("grate").alias("grate_xsga"))
     pre_rd = growth_pre(f, "xrd", k).select(F.col("grate_pre").alias("pre_xrd"))
     pre_sga = growth_pre(f, "xsga", k).select(F.col("grate_pre").alias("pre_xsga"))
+    return GrowthRates(g_rd, g_sga, pre_rd, pre_sga)
+
+
+def stocks_from(f: DataFrame, rates: GrowthRates, founding: DataFrame, pivot_year: int = RD_PIVOT_YEAR, age_mode: str = "as_coded", zero_mode: str = "as_coded",
+                lag: int = FOUNDING_LAG_YEARS, key: str = "gvkey", year: str = "fyear", keep_intermediate: bool = False, checkpoint: bool = True,
+                segments: int | bool | None = SEGMENTS) -> DataFrame:
+    """Steps 8-17 of the job: the stocks of the firms in prepared accounts, given the growth rates."""
+    k, y, seg = key, year, segments or None
+    g_rd, g_sga, pre_rd, pre_sga = rates.rd, rates.sga, rates.pre_rd, rates.pre_sga
     # 8. before the pivot year, nearest fill of R&D for firms whose pivot-year R&D is > 0
     w = _firm(k)
     pivot_val = value_at(f, k, y, "xrd", pivot_year, ["datadate"])
