@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import exact, links, panel as P, returns, sections, sentences, text, vectors
 from ..session import scratch_path
 from ..sources import io
+from ..sources.filing_index import register_filing_index
+from ..streaming.incremental_stocks import StockTables
+from ..streaming.retry import retry_extraction
 from . import testviews as V
-from .catalog import CHUNK_NON_WS, CHUNK_WS, LETTERS, LINK_CLEAN_SQL, SQL, LetterCounts, query
+from .catalog import CHUNK_NON_WS, CHUNK_WS, LINK_CLEAN_SQL, SQL, LetterCounts, query, single
 
 # =========================================================================== quoted CSV
 
@@ -266,3 +269,54 @@ def q_annual_return_no_issuer(spark, d):
     m = V.monthly(spark, d).withColumn("permco", F.when(F.col("permno") % 3 != 0, F.col("permco")))
     out = returns.annual_returns(returns.clean_returns(m), "yr")
     return out.select("permno", "yr", "crsp_first_date", F.round("ret", 6).alias("ret"))
+
+
+# =========================================================================== updates, retries, index files
+
+
+@query("intangible_stocks_incremental", SQL["intangible_stocks"])
+def q_intangible_stocks_incremental(spark, d):
+    """The capital-stock job after three updates, a third of the firms' accounts each; equal to the full job."""
+    tables = StockTables(spark, scratch_path(spark, "stocks"), buckets=8)
+    accounts = V.panel(spark, d)
+    for n in range(3):
+        out = tables.update(n, accounts.where(F.col("gvkey") % 3 == n), V.company(spark, d), V.founding(spark, d), V.EXCLUDED_FIRMS, V.PIVOT_YEAR)
+    return out.select("gvkey", "fyear", single("kcap_v2"), single("ocap_v2"))
+
+
+def fails_at_first(text: str, tries: int) -> str:
+    """An extraction that fails as often as the digit at the text's start says."""
+    if tries <= int(text[0]):
+        raise OSError(f"no answer at try {tries}")
+    return text[2:]
+
+
+@query("retry_dead_letters", """
+select cast(doc_id as varchar) as key, cast(least(doc_id % 5 + 1, 3) as integer) as tries, case when doc_id % 5 < 3 then 'done' else 'given_up' end as status,
+  case when doc_id % 5 >= 3 then 'OSError: no answer at try 3' end as error, case when doc_id % 5 < 3 then md5(coalesce(text, '')) end as found_md5 from documents""")
+def q_retry_dead_letters(spark, d):
+    """Documents whose extraction fails up to four times; three tries each."""
+    root = scratch_path(spark, "retry")
+    body = F.concat(F.col("doc_id") % 5, F.lit(":"), F.coalesce("text", F.lit("")))
+    V.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("fname"), body.alias("body")).write.parquet(f"{root}/in")
+    out = retry_extraction(spark, f"{root}/in", "fname string, body string", "fname", "body", fails_at_first, f"{root}/log", f"{root}/checkpoint", tries=3, delay_ms=10)
+    return out.select("key", "tries", "status", "error", F.md5("found").alias("found_md5"))
+
+
+@query("filing_index_files", """
+select form, 'FIRM ' || cik as company, cik, rdate as date, 'edgar/data/' || cik || '/' || fname || '.txt' as fname, cast(year(rdate) as integer) as year, cast(quarter(rdate) as integer) as quarter
+from filings where form like '10-K%' and form in ('10-K', '10-K405') and rdate >= date '1996-05-01' and rdate < date '1997-12-01'""")
+def q_filing_index_files(spark, d):
+    """The filings as fixed-width index files of each quarter; only the quarters of the dates asked for are opened."""
+    root = scratch_path(spark, "index")
+    f = V.filings(spark, d)
+    y, q = F.year("rdate"), F.concat(F.lit("QTR"), F.quarter("rdate"))
+    path = F.concat(F.lit("edgar/data/"), "cik", F.lit("/"), "fname", F.lit(".txt"))
+    line = F.concat(F.rpad("form", 12, " "), F.rpad(F.concat(F.lit("FIRM "), "cik"), 62, " "), F.rpad(F.col("cik").cast("string"), 12, " "), F.rpad(F.date_format("rdate", "yyyy-MM-dd"), 12, " "), path)
+    rows = f.select(y.alias("y"), q.alias("q"), F.lit(1).alias("at"), line.alias("line"))
+    head = f"{'Form Type':<12}{'Company Name':<62}{'CIK':<12}{'Date Filed':<12}File Name\n" + "-" * 120
+    heads = rows.select("y", "q").distinct().select("y", "q", F.lit(0).alias("at"), F.lit(head).alias("line"))
+    rows.unionByName(heads).repartition("y", "q").sortWithinPartitions("y", "q", "at").select("y", "q", "line").write.partitionBy("y", "q").text(root)
+    register_filing_index(spark)
+    index = spark.read.format("filing_index").option("file", "*").load(root)
+    return links.filing_index(index).where("date >= '1996-05-01' and date < '1997-12-01'")
