@@ -79,9 +79,9 @@ class FilingIndexReader(DataSourceReader):
                 self.prefix = max(self.prefix, f.value, key=len)
                 continue
             elif column == "date" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                self.first = max(self.first, f.value)
+                self.first = max(self.first, f.value + dt.timedelta(isinstance(f, GreaterThan)))
             elif column == "date" and isinstance(f, (LessThan, LessThanOrEqual)):
-                self.last = min(self.last, f.value)
+                self.last = min(self.last, f.value - dt.timedelta(isinstance(f, LessThan)))
             yield f
 
     def partitions(self) -> list[Quarter]:
