@@ -1,6 +1,6 @@
 """The quarterly filing index as a data source.
 
-``spark.read.format("filing_index").load(folder)`` reads fixed-width index files in folders ``<year>/QTR<n>`` (or
+``read_filing_index(spark, folder)`` reads fixed-width index files in folders ``<year>/QTR<n>`` (or
 ``y=<year>/q=QTR<n>``): some header lines, a line of dashes, then a filing a line. The places of the columns are those of the header line, so files of either
 layout (by form or by company) are read. Each quarter's file is a partition; filters on ``date`` and
 ``year`` and ``quarter`` leave out whole quarters, which are never opened, and filters on ``form`` are applied to the line before
@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 SCHEMA = "form string, company string, cik long, date date, fname string, year int, quarter int"
@@ -100,7 +100,9 @@ class FilingIndexReader(DataSourceReader):
         return (first <= self.last and last >= self.first and (self.years is None or q.year in self.years)
                 and (self.quarters is None or q.quarter in self.quarters))
 
-    def read(self, part: Quarter) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Quarter | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no quarter is left
+            return
         schema = pa.schema([("form", pa.string()), ("company", pa.string()), ("cik", pa.int64()), ("date", pa.date32()), ("fname", pa.string()), ("year", pa.int32()), ("quarter", pa.int32())])
         rows: list[tuple] = []
         with open(part.path, encoding="utf-8", errors="replace") as lines:
@@ -144,7 +146,12 @@ def _date(text: str) -> dt.date | None:
         return None
 
 
-def register_filing_index(spark: SparkSession) -> None:
-    """Make the format ``filing_index`` known to the session, with its filters pushed down."""
+def read_filing_index(spark: SparkSession, path: str, file: str = "form.idx") -> DataFrame:
+    """The index as a table whose filters are pushed down.
+
+    Spark keeps what a frame's last pushed filters left, and reads just that again where a later query of the same frame
+    pushes none. So the frame has a filter of its own that holds for every row: each query pushes its filters anew.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FilingIndex)
+    return spark.read.format("filing_index").option("file", file).load(path).where("year > 0")

@@ -59,8 +59,7 @@ def test_quarters_left_out_are_not_opened(spark, tmp_dir):
     with open(f"{tmp_dir}/1996/QTR1/form.idx", "w") as f:
         f.write("no header here\n")
     os.makedirs(f"{tmp_dir}/notes")
-    X.register_filing_index(spark)
-    index = spark.read.format("filing_index").load(tmp_dir)
+    index = X.read_filing_index(spark, tmp_dir)
     got = index.where("date < '1996-01-01'").orderBy("date").collect()
     assert [(r.form, r.company, r.cik, r.date.isoformat(), r.fname, r.year, r.quarter) for r in got] == [
         ("10-K", "ACME INC", 17, "1995-02-03", "edgar/a.txt", 1995, 1), ("8-K", "B", 18, "1995-02-04", "b.txt", 1995, 1), ("10-K405", "C", 19, "1995-03-31", "c.txt", 1995, 1),
