@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import exact, links, panel as P, returns, sections, sentences, text, vectors
 from ..session import scratch_path
 from ..sources import io
-from ..sources.filing_index import register_filing_index
+from ..sources.filing_index import read_filing_index
 from ..streaming.incremental_stocks import StockTables
 from ..streaming.retry import retry_extraction
 from . import testviews as V
@@ -317,6 +317,4 @@ def q_filing_index_files(spark, d):
     head = f"{'Form Type':<12}{'Company Name':<62}{'CIK':<12}{'Date Filed':<12}File Name\n" + "-" * 120
     heads = rows.select("y", "q").distinct().select("y", "q", F.lit(0).alias("at"), F.lit(head).alias("line"))
     rows.unionByName(heads).repartition("y", "q").sortWithinPartitions("y", "q", "at").select("y", "q", "line").write.partitionBy("y", "q").text(root)
-    register_filing_index(spark)
-    index = spark.read.format("filing_index").option("file", "*").load(root)
-    return links.filing_index(index).where("date >= '1996-05-01' and date < '1997-12-01'")
+    return links.filing_index(read_filing_index(spark, root, "*")).where("date >= '1996-05-01' and date < '1997-12-01'")
