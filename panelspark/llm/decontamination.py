@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import text_batches
+from .stage import by_value, text_batches
 from .words import PLAIN, Words, gram_starts, grams, steps
 
 SHINGLE, SIMILARITY = 5, 80
@@ -175,10 +175,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     found = spark.createDataFrame([], schema)
     item_type = None
     for ids, block in _blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast((pa.array(ids), block))
+        shared = by_value(spark, (ids, block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items, block = shared.value
+            ids, block = shared()
+            items = pa.array(ids)
             for batch in batches:
                 for part in steps(batch, "text"):
                     got = block.matches(part.column(1))
@@ -196,14 +197,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spark = docs.sparkSession
     text_batches(spark)
     for _, block in _blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast(block)
+        shared = by_value(spark, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in steps(batch, text_col):
                     text = part.column(part.schema.get_field_index(text_col)).to_pylist()
                     keep = np.ones(part.num_rows, dtype=bool)
-                    keep[[m[0] for m in shared.value.matches(pa.array([t.lower() if t else "" for t in text], pa.string()))]] = False
+                    keep[[m[0] for m in shared().matches(pa.array([t.lower() if t else "" for t in text], pa.string()))]] = False
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,6 @@
 """Language identification by error-correcting output codes over byte n-gram classifiers.
 
-Each language gets a codeword. For each bit, a binary naive Bayes classifier over hashed byte
+Each language gets a codeword; with four languages the codewords are four bits apart, so one wrong bit is corrected. For each bit, a binary naive Bayes classifier over hashed byte
 n-grams tells the languages with a 1 from those with a 0; its margin is the mean log odds of the
 text's n-grams. Decoding adds up the logistic loss of each codeword's bits over the margins and
 takes the codeword with the least loss. ``score`` is the winner's share among the codewords under
@@ -12,12 +12,11 @@ the sums meet by language and bucket. The model is languages x buckets numbers,
 
 Defined cases: null text or a text without a letter is ``und`` with score 0; rows without
 label don't train; without any labelled row all texts are ``und``; one language alone wins with
-score 1; more than MAX_LANGUAGES labels are refused with an error.
+score 1; there may be any number of labels (the model has a row of counts for each).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import text_batches
+from .stage import by_value, text_batches
 from .words import LOWER, steps, text_bytes
 
 #: Lower case, and everything in ASCII that is no letter as a space.
@@ -35,14 +34,19 @@ LETTERS[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
 
 #: Lengths of the byte n-grams, and buckets they are hashed into, for each length.
 GRAMS, BUCKETS = (2, 3, 4), 1 << 13
-MAX_LANGUAGES = 256
-#: Bits of a codeword, at least; doubled code length per doubling of the languages.
-LEAST_BITS, DRAWS, SEED = 12, 400, 11
+#: Languages up to which every split of them is a bit; else bits of a codeword at least (four more for each doubling of the languages), and draws.
+EVERY_SPLIT, LEAST_BITS, DRAWS, SEED = 7, 16, 400, 11
+#: Labels whose counts a task holds at once; it passes them on and begins anew when there are more.
+HELD = 256
 SHARPNESS, AMBIGUOUS, FEW = 4.0, 0.6, 20
 UNKNOWN = "und"
 #: n-grams of a text from which on they are counted by bucket before the odds are added up.
 MANY = 3000
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _has_letter(text: str | None) -> bool:
+    """Whether a character is a letter; numerals, superscripts and fractions are none."""
+    return text is not None and any(map(str.isalpha, text))
 
 
 def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,14 +72,25 @@ def buckets(data: np.ndarray, n: int) -> np.ndarray:
 
 
 def codewords(languages: int) -> np.ndarray:
-    """-1/+1 code matrix: of seeded draws of balanced columns, the one whose nearest two rows are farthest apart."""
+    """-1/+1 code matrix, languages x bits. No two columns split the languages alike, so no two classifiers are the same and a bit's
+    error is its own. Few languages get every split there is; the codewords of n languages are then 2 ** (n - 2) bits apart. More
+    get the one of many seeded draws of distinct balanced splits whose nearest two codewords are farthest apart."""
+    if languages <= 1:
+        return np.ones((languages, 1), dtype=int)
+    if languages <= EVERY_SPLIT:
+        return np.array([[1 if i == 0 or split >> (i - 1) & 1 else -1 for split in range((1 << (languages - 1)) - 1)] for i in range(languages)])
     bits = max(LEAST_BITS, 4 * max(1, languages - 1).bit_length())
     rng, best, far = np.random.Generator(np.random.PCG64(SEED)), None, -1
     half = np.where(np.arange(languages) < (languages + 1) // 2, 1, -1)
-    for _ in range(DRAWS):
-        code = np.stack([rng.permutation(half) for _ in range(bits)], axis=1)
-        apart = (bits - code @ code.T) / 2
-        least = apart[~np.eye(languages, dtype=bool)].min() if languages > 1 else 0
+    for _ in range(max(4, min(DRAWS, 40_000 // languages))):
+        columns: dict[bytes, np.ndarray] = {}
+        while len(columns) < bits:
+            column = rng.permutation(half)
+            column = column * column[0]  # a split and its complement are one
+            columns[column.tobytes()] = column
+        code = np.stack(list(columns.values()), axis=1)
+        apart = (bits - code @ code.T) // 2
+        least = int((apart + bits * np.eye(languages, dtype=int)).min())
         if least > far:
             best, far = code, least
     return best
@@ -87,7 +102,7 @@ class Model:
     def __init__(self, languages: list[str], counts: np.ndarray):
         """counts: languages x (n-gram lengths x buckets)"""
         self.languages = languages
-        self.code = codewords(len(languages)) if languages else np.zeros((0, LEAST_BITS), dtype=int)
+        self.code = codewords(len(languages))
         # each language weighs the same, whatever its share of the rows
         share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True) if languages else np.zeros((0, len(GRAMS) * BUCKETS))
         odds = []
@@ -118,6 +133,13 @@ class Model:
         return best, like[np.arange(len(like)), best] / like.sum(axis=1)
 
 
+def _rows(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, n) of the counts that aren't 0."""
+    for lang, counts in sums.items():
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["lang", "bucket", "n"])
+
+
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> Model:
     """The model of the rows with a label (all of them, whole texts)."""
 
@@ -128,9 +150,10 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
                 for lang in part.column(1).unique().to_pylist():
                     own = part.column(0).filter(pc.equal(part.column(1), lang))
                     data, bounds = letters(own)
+                    if lang not in sums and len(sums) >= HELD:
+                        yield from _rows(sums)
+                        sums.clear()
                     into = sums.setdefault(lang, np.zeros(len(GRAMS) * BUCKETS, dtype=np.int64))
-                    if len(sums) > MAX_LANGUAGES:
-                        raise ValueError(f"more than {MAX_LANGUAGES} languages")
                     for i, n in enumerate(GRAMS):
                         b = buckets(data, n)
                         whole = np.ones(len(b), dtype=bool)
@@ -138,17 +161,13 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
                             cut = bounds[1:-1] - j
                             whole[cut[(cut >= 0) & (cut < len(b))]] = False
                         into[i * BUCKETS:(i + 1) * BUCKETS] += np.bincount(b[whole], minlength=BUCKETS)
-        for lang, counts in sums.items():
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["lang", "bucket", "n"])
+        yield from _rows(sums)
 
     text_batches(labelled.sparkSession)
     rows = labelled.select(labelled[text_col].alias("text"), labelled[label_col].alias("lang")).filter("lang is not null and text is not null")
     summed = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = summed.limit(MAX_LANGUAGES * len(GRAMS) * BUCKETS + 1).toPandas()  # no more than this passes; more labels are refused
+    got = summed.toPandas()  # the model: labels x buckets numbers, however many rows there are
     languages = sorted(got["lang"].unique().tolist())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     counts = np.zeros((len(languages), len(GRAMS) * BUCKETS))
     number = {x: i for i, x in enumerate(languages)}
     counts[got["lang"].map(number).to_numpy(dtype=int), got["bucket"].to_numpy(dtype=int)] = got["n"]
@@ -158,16 +177,16 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """One row per input row: id, ``more``, lang_pred, score, ambiguous. Only the text is looked at."""
     text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = by_value(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         for batch in batches:
             for part in steps(batch, "text"):
                 text = part.column(part.num_columns - 1)
                 if model.languages:
                     best, score = model.decode(model.margins(*letters(text)))
-                    known = np.array([bool(t and _LETTER.search(t)) for t in text.to_pylist()], dtype=bool)
+                    known = np.array([_has_letter(t) for t in text.to_pylist()], dtype=bool)
                 else:
                     best = score = np.zeros(part.num_rows)
                     known = np.zeros(part.num_rows, dtype=bool)

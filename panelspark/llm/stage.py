@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import Any
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
@@ -37,3 +42,17 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
+
+
+def by_value(spark: SparkSession, thing: Any) -> Callable[[], Any]:
+    """A broadcast of ``thing`` with its classes' code, for workers without a copy of the package: a broadcast alone sends
+    classes by name. Workers call the result for the thing, made once a worker process."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    made: list[Any] = []
+
+    def get() -> Any:
+        if not made:
+            made.append(pickle.loads(shared.value))
+        return made[0]
+
+    return get

@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .stage import text_batches
+from .stage import by_value, text_batches
 
 #: Most words whose counts a task remembers; beyond that it forgets them all and goes on.
 REMEMBERED = 500_000
@@ -109,12 +109,12 @@ def token_counts(docs: DataFrame, vocabulary_path: str, inside: str = "", word_s
     with open(vocabulary_path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton((p for p in spec["model"]["vocab"] if p not in special), inside))  # a vocabulary: its size doesn't follow the data
+    shared = by_value(docs.sparkSession, Automaton((p for p in spec["model"]["vocab"] if p not in special), inside))  # a vocabulary: its size doesn't follow the data
     text_batches(docs.sparkSession)
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, letters = shared.value, byte_alphabet()
+        automaton, letters = shared(), byte_alphabet()
         spell = {b: c for b, c in enumerate(letters)}
         known: dict[bytes, int] = {}
 
