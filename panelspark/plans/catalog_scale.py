@@ -194,11 +194,11 @@ EXACT = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
 
 
 @query("exact_sums", f"""
-select l_returnflag, l_linestatus, cast(sum(cast({EXACT} * 1099511627776.0 as hugeint)) as double) / 1099511627776.0 as charge,
-  cast(sum(cast(({EXACT} - 30000.0) * 1099511627776.0 as hugeint)) as double) / 1099511627776.0 as off, count(*) as n
+select l_returnflag, l_linestatus, cast(sum(cast({EXACT} * 4503599627370496.0 as hugeint)) as double) / 4503599627370496.0 as charge,
+  cast(sum(cast(({EXACT} - 30000.0) * 4503599627370496.0 as hugeint)) as double) / 4503599627370496.0 as off, count(*) as n
 from lineitem group by l_returnflag, l_linestatus""")
 def q_exact_sums(spark, d):
-    """Sums of products of doubles, compared to the last bit: the values are multiples of 2 ** -40."""
+    """Sums of products of doubles, compared to the last bit: the SQL adds them up as whole multiples of 2 ** -52."""
     li = V.table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", *(F.col(c).cast("double").alias(c) for c in ("l_extendedprice", "l_discount", "l_tax")))
     charge = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     keys = ["l_returnflag", "l_linestatus"]
