@@ -13,9 +13,10 @@ minhashes). A pair of similarity s shares a band when it shares a half key on ei
 3. Stars: each band pairs its members with its most central one (the one in the most bands) and the
    first by each of a few hashes. Pairs are verified and components grow by joins over the
    links. A group of mutual near copies costs a number of pairs in proportion to its size.
-4. The rest: all pairs of different components that share a band are verified. They are found by a
-   join on the half keys of the first collection whose condition asks for a half key of the second, and
-   gives each pair once.
+4. The rest: the members of bands that still hold several components. A hot band isn't paired member by
+   member: its members meet on their rarest shingles (the prefix that similar sets must share, in the order of how
+   many sets hold a shingle), and only where two components do. Documents from one template that are just
+   not similar enough have enough shingles of their own to meet on none.
 
 Before the full sets are compared, a sketch of SKETCH minhashes of one bit each leaves out pairs that
 are more than five standard deviations below the similarity. Sets are shipped by blocks of a family
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stage import text_batches, written
@@ -52,8 +53,8 @@ HALVES, MINHASHES = 16, 3
 SKETCH, DEVIATIONS = 2048, 5.0
 #: Hashes that pick a band's member for a star, after the most central one.
 STARS = 1
-#: Classes of a family in a block.
-BLOCK = 64
+#: Shingles of the classes in a block.
+BLOCK = 1 << 16
 
 
 def _functions(n: int, seed: int = 77) -> tuple[np.ndarray, np.ndarray]:
@@ -234,12 +235,12 @@ def _open(bands: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _blocks(bands: DataFrame, central: DataFrame) -> DataFrame:
-    """(id, block): classes by their most central neighbour, in blocks of about BLOCK; small families share blocks."""
+    """(id, block): classes by their most central neighbour, in blocks of about BLOCK shingles; small families share blocks."""
     rank = F.struct("degree", "rep")
     leads = bands.join(central, "rep").groupBy("band").agg(F.max(rank).alias("lead"))
-    family = bands.join(leads, "band").groupBy("rep").agg(F.max("lead").alias("lead")).select(F.col("rep").alias("id"), F.col("lead.rep").alias("family"))
-    size = family.groupBy("family").agg(F.count("*").alias("size"))
-    small = family.count() // (4 * BLOCK) + 1
+    family = bands.join(leads, "band").groupBy("rep").agg(F.max("lead").alias("lead")).join(central, "rep").select(F.col("rep").alias("id"), F.col("lead.rep").alias("family"), "n_shingles")
+    size = family.groupBy("family").agg(F.sum("n_shingles").alias("size"))
+    small = (central.agg(F.sum("n_shingles")).first()[0] or 0) // BLOCK + 1
     part = F.when(F.col("size") > BLOCK, F.xxhash64("family", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)))).otherwise(F.pmod(F.xxhash64("family"), F.lit(small)))
     return family.join(size, "family").select("id", part.alias("block"))
 
@@ -248,26 +249,60 @@ def _stars(rows: DataFrame, info: DataFrame, weights: list[Column], percent: int
     """(x, y, block_x, block_y): each band's rows of other components with its row of greatest weight, for each weight."""
     leads = rows.groupBy("band").agg(*(F.max_by(F.struct("rep", "component"), F.struct(w, F.col("rep"))).alias(f"lead_{i}") for i, w in enumerate(weights)))
     met = rows.join(leads, "band").select("rep", "component", F.explode(F.array(*(f"lead_{i}" for i in range(len(weights))))).alias("lead")).filter("component <> lead.component")
-    pairs = met.select(F.least("rep", "lead.rep").alias("x"), F.greatest("rep", "lead.rep").alias("y")).distinct()
+    return _sketched(met.select(F.least("rep", "lead.rep").alias("x"), F.greatest("rep", "lead.rep").alias("y")).distinct(), info, percent)
+
+
+def _sketched(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that their sketches allow, with their blocks."""
     a, b = _side(info, "_x").withColumnRenamed("id_x", "x"), _side(info, "_y")
-    return pairs.join(a, "x").join(b, (F.col("y") == F.col("id_y")) & _likely("_x", "_y", percent)).select("x", "y", "block_x", "block_y")
-
-
-def _rest(rows: DataFrame, info: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(x, y, block_x, block_y): all likely pairs of different components that share a band, once each."""
-    nodes = rows.select("rep", "component").distinct().join(info.withColumnRenamed("id", "rep"), "rep").join(classes.select("rep", "halves"), "rep")
-    nodes = nodes.select("rep", "component", "block", "n", *(f"s{i}" for i in range(SKETCH // 64)), *_longs("halves", "h", 2 * HALVES))
-    keyed = nodes.select("*", F.posexplode(F.array(*(f"h{i}" for i in range(HALVES)))).alias("side", "half"))
-    x = keyed.select("half", "side", *(F.col(c).alias(f"{c}_x") for c in nodes.columns))
-    y = keyed.select(F.col("half").alias("half_y"), *(F.col(c).alias(f"{c}_y") for c in nodes.columns))
-    same = lambda i: F.col(f"h{i}_x") == F.col(f"h{i}_y")
-    earlier, second = F.lit(False), F.lit(False)
-    for i in range(HALVES):
-        earlier = earlier | ((F.lit(i) < F.col("side")) & same(i))
-        second = second | same(HALVES + i)
-    on = (F.col("half") == F.col("half_y")) & (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y"))
-    met = x.join(y, on & _likely("_x", "_y", percent) & ~earlier & second)
-    return met.select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y"), "block_x", "block_y").distinct()
+    return pairs.join(a, "x").join(b, (F.col("y") == F.col("id_y")) & _likely("_x", "_y", percent)).select("x", "y", "block_x", "block_y").distinct()
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per shingle of each set."""
+    for batch in batches:
+        for k in range(batch.num_rows):  # a set at a time: sets may be long
+            own = batch.slice(k, 1)
+            g = np.frombuffer(own.column(4)[0].as_py() or b"", np.int64)
+            at = pa.array(np.zeros(len(g), np.int64))
+            yield pa.RecordBatch.from_arrays([*(own.column(i).take(at) for i in range(4)), pa.array(g)], names=["rep", "component", "row", "n", "shingle"])
+
+
+def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
+    """(shingle, rep, component, n, place, short) of the shingles over which similar sets of different components must meet.
+
+    ``nodes``: rep, component, row (the set's number within its rep), n, set. A set's shingles are ordered by how many sets
+    hold them, the rarest first. Of two similar sets the larger shares a shingle among its first
+    ``n - percent of n + 1`` with the first ``n - 2 percent / (1 + percent) of n + 1`` (``short``) of the smaller.
+    Shingles of one component only take their places but meet nothing.
+    """
+    kinds = dict(nodes.dtypes)
+    held = nodes.mapInArrow(_exploded, f"rep {kinds['rep']}, component {kinds['component']}, row long, n long, shingle long")
+    held = written(held, "shingles", narrow=True)
+    often = held.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    ranked = held.join(often.select("shingle", "often", (F.col("_lo") < F.col("_hi")).alias("several")), "shingle")
+    place = F.dense_rank().over(Window.partitionBy("rep", "row").orderBy("often", "shingle"))  # repeated rows share their places
+    ranked = ranked.withColumn("place", place.cast("long"))
+    least = lambda of, parts: F.floor((F.col("n") * of + parts - 1) / parts)  # noqa: E731  (rounded up)
+    long_, short = F.col("n") - least(percent, 100) + 1, F.col("n") - least(2 * percent, 100 + percent) + 1
+    return ranked.filter(F.col("several") & (F.col("place") <= long_)).select("shingle", "rep", "component", "n", "place", (F.col("place") <= short).alias("short")).distinct()
+
+
+def _rest(rows: DataFrame, sets: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """(x, y, block_x, block_y): all likely pairs of different components among the members of open bands."""
+    nodes = rows.select("rep", "component").distinct()
+    nodes = nodes.join(sets.select(F.col("id").alias("rep"), F.xxhash64("set").alias("row"), F.col("n").cast("long").alias("n"), "set"), "rep").select("rep", "component", "row", "n", "set")
+    keyed = written(prefixes(nodes, percent), "prefixes", narrow=True)
+    of = keyed.groupBy("shingle", "component").agg(F.count("*").alias("members")).groupBy("shingle").agg(F.max_by("component", F.struct("members", "component")).alias("main"))
+    x = keyed.join(of, "shingle").filter("component <> main").select("shingle", *(F.col(c).alias(f"{c}_x") for c in keyed.columns[1:]))
+    y = keyed.select(F.col("shingle").alias("shingle_y"), *(F.col(c).alias(f"{c}_y") for c in keyed.columns[1:]))
+    larger = (F.col("n_x") >= F.col("n_y")) & F.col("short_y") | (F.col("n_y") >= F.col("n_x")) & F.col("short_x")
+    fit = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    # what can be shared from the first common shingle on
+    enough = (F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) + 1) * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
+    met = x.join(y, (F.col("shingle") == F.col("shingle_y")) & (F.col("component_x") != F.col("component_y")) & fit & larger & enough)
+    pairs = written(met.select(F.least("rep_x", "rep_y").alias("x"), F.greatest("rep_x", "rep_y").alias("y")).distinct(), "met", narrow=True)
+    return _sketched(pairs, info, percent)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
@@ -288,7 +323,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     keys = live.select("rep", F.explode("a").alias("a"), "b").select("rep", "a", F.explode("b").alias("b"))
     bands = written(_shared(keys.select("rep", F.xxhash64("a", "b").alias("band")), "band", "rep"), "bands")
 
-    central = bands.groupBy("rep").agg(F.count("*").alias("degree"))
+    central = bands.groupBy("rep").agg(F.count("*").alias("degree")).join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep")
     blocks = written(_blocks(bands, central), "blocks", narrow=True)
     sets = narrow.join(blocks, "id").select("id", "block", "text").mapInArrow(_sets(shingle), f"id {kind}, block long, n long, sketch array<long>, set binary")
     sets = written(sets, "sets")
@@ -300,7 +335,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         if step == "stars":
             pairs = _stars(rows.join(central, "rep"), info, [F.col("degree"), *hashes], similarity)
         else:
-            pairs = _rest(rows, info, classes, similarity)
+            pairs = _rest(rows, sets, info, similarity)
         label = _merged(label, written(_verified(written(pairs, "pairs", narrow=True), sets, similarity), "verified", narrow=True))
 
     of_rep = label.withColumnRenamed("id", "rep")

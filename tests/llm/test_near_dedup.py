@@ -92,3 +92,39 @@ def test_chance_of_a_shared_band_and_of_the_sketch():
         assert same[:N.HALVES].any() and same[N.HALVES:].any()
         bits = N.mix(N.minhashes(g, n, s2, o2)) & np.uint64(1)
         assert abs((bits[0] != bits[1]).sum() - 0.1 * N.SKETCH) < N.DEVIATIONS * equal
+
+
+def test_template_family_costs_in_proportion(spark, monkeypatch):
+    """Copies of a template just under the similarity: pairs that are looked at grow with the family, not with its square."""
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    rows = [(i, " ".join(f"u{i}_{j}" if rng.random() < 0.0165 else w for j, w in enumerate(base))) for i in range(300)]
+    looked = Counter()
+
+    def counting(df, name, narrow=False, was=N.written):
+        out = was(df, name, narrow)
+        if name in ("pairs", "met"):
+            looked[n] += out.count()
+        return out
+
+    monkeypatch.setattr(N, "written", counting)
+    for n in (150, 300):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows[:n], "doc_id long, text string")).collect()}
+        assert got == brute(rows[:n], 5)
+    assert looked[300] < 3 * looked[150]
+
+
+def test_prefixes_lose_no_similar_pair(spark):
+    """Every pair of similar sets of different sizes shares a prefix shingle in the way the join asks for."""
+    rng = random.Random(9)
+    sets = [frozenset(rng.sample(range(40), rng.randint(1, 30))) for _ in range(60)]
+    sets += [s ^ frozenset(rng.sample(range(60), rng.randint(1, 4))) for s in sets]
+    sets = [s for s in sets if s]
+    rows = [(i, i, i, len(s), np.array(sorted(s), np.int64).tobytes()) for i, s in enumerate(sets)]
+    got = defaultdict(dict)
+    for r in N.prefixes(spark.createDataFrame(rows, "rep long, component long, row long, n long, set binary"), 80).collect():
+        got[r.rep][r.shingle] = r.short
+    for x, a in enumerate(sets):
+        for y, b in enumerate(sets):
+            if x != y and len(a) >= len(b) and 100 * len(a & b) >= 80 * len(a | b):
+                assert any(got[y].get(g) for g in got[x])
