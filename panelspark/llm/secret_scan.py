@@ -22,6 +22,8 @@ are never looked at by the scan and kept as they are by ``redact``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,24 +41,47 @@ DISTINCT = 10
 #: Owners from which on a value is a widely copied example.
 WIDE = 3
 MARK = "[REDACTED]"
+#: Matches of a text that are looked at together.
+PART = 128
 
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the value, which is computed once however often ``then`` uses it, inside lambdas too."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _cut(items: Column) -> Column:
+    """The array in arrays of at most PART elements (one, empty, for an empty array)."""
+    places = lambda i: F.sequence(F.lit(0), F.greatest(F.size(i) - 1, F.lit(0)), F.lit(PART))
+    return _bound(items, lambda i: F.transform(places(i), lambda at: F.slice(i, at + 1, PART)))
+
+
 def _located(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans of one kind, in order."""
     rows = F.arrays_zip(
         F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    length = lambda x: F.length(x["piece"]) + F.coalesce(F.length(x["whole"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.coalesce(F.length(x["whole"]), F.lit(0))
+        start, end = acc["at"] + F.length(x["piece"]), acc["at"] + length(x)
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(rows, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    def spans(part: Column, at: Column) -> Column:
+        return F.aggregate(part, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
+
+    def begins(parts: Column) -> Column:
+        # where each part begins: a list grows by one element a part, not by one a match
+        def add(acc: Column, part: Column) -> Column:
+            return F.struct((acc["at"] + F.aggregate(part, F.lit(0), lambda n, x: n + length(x))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), add, lambda acc: acc["out"])
+
+    located = _bound(_cut(rows), lambda parts: F.flatten(F.zip_with(parts, begins(parts), spans)))
+    return F.when(F.rlike(text, F.lit(pattern)), located).otherwise(F.array().cast(_SPAN))
 
 
 def _random_look(value: Column) -> Column:
@@ -69,8 +94,12 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base = F.array_sort(F.concat(*(_located(text, i, kind, *how) for i, (kind, how) in enumerate(KINDS.items()))))
     keys = F.filter(_located(text, len(KINDS), *CANDIDATE), lambda k: _random_look(k["value"]))
     found = docs.withColumn("_base", base).withColumn("_keys", keys)
-    clear = lambda k: ~F.exists("_base", lambda b: (b["start"] < k["end"]) & (b["end"] > k["start"]))
-    return found.withColumn("_keys", F.filter("_keys", clear))
+    meets = lambda a, b: (a["start"] < b["end"]) & (a["end"] > b["start"])
+    parts = F.transform(_cut(F.col("_base")), lambda p: F.struct(
+        F.array_min(F.transform(p, lambda b: b["start"])).alias("start"), F.array_max(F.transform(p, lambda b: b["end"])).alias("end"), p.alias("spans")))
+    near = lambda k, ps: F.exists(ps, lambda p: F.when(meets(p, k), F.exists(p["spans"], lambda b: meets(b, k))).otherwise(False))
+    clear = _bound(parts, lambda ps: F.filter("_keys", lambda k: ~near(k, ps)))
+    return found.withColumn("_keys", F.when((F.size("_base") > 0) & (F.size("_keys") > 0), clear).otherwise(F.col("_keys")))
 
 
 def ownership(values: DataFrame) -> DataFrame:
@@ -115,13 +144,15 @@ def _redacted(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns, with every span (overlapping ones as one) replaced by MARK in the text.
 
-    Only rows with spans or candidates wait for the corpus-wide counts; the others never meet a shuffle.
+    The scanned rows are written once. Only those with spans or candidates wait for the corpus-wide counts; the others
+    never meet a shuffle.
     """
     names = docs.columns
     found = with_spans(docs.select(F.struct(*names).alias("doc"), docs[text_col].alias("_text")), "_text")
     text = F.coalesce("_text", F.lit(""))
     any_span = F.size("_base") + F.size("_keys") > 0
-    some = written(found.filter(any_span).withColumn("row", F.monotonically_increasing_id()), "candidates")
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "candidates")
+    some = found.filter(any_span)
     spans = judged(some.select("row", F.col(f"doc.{owner_col}").alias("owner"), F.col(f"doc.{repo_col}").alias("repo"), "_base", "_keys"))
     place = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,end:int>>")

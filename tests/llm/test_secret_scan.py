@@ -91,3 +91,9 @@ def test_no_python_in_the_plans(spark, capsys):
         df.explain()
         plan = capsys.readouterr().out
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_texts_of_many_matches(spark):
+    text = "".join(f"token=abc{i}xyz Abc1defGhijKlm{i}nopQrs7tuv " + "é" * (i % 3) for i in range(3 * S.PART + 1))
+    rows = [(n, "a", text[:n]) for n in (len(text), 44 * S.PART, 45 * S.PART)] + [(1, "b", "token=abcdef " * S.PART), (2, "b", "Abc1defGhijKlm2nopQrs7tuv " * (2 * S.PART))]
+    check(spark.createDataFrame(rows, "doc_id long, source string, text string"))
