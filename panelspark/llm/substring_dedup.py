@@ -17,7 +17,8 @@ comparison of all windows finds. Maximal repeats are the unions of overlapping r
 
 Volume: about two anchors in ``length - seed + 2`` words go through one shuffle; each task first
 keeps one row of each of its own equal stretches, so a passage that a third of all documents share
-costs one row a task; the texts are shuffled once to meet their repeats and written in buckets of their
+costs a row in CHUNK. A short phrase with other neighbours in each document isn't merged so: anchors with a large
+share of all rows are found by a first pass, and their stretches dealt out to all tasks. The texts are shuffled once to meet their repeats and written in buckets of their
 ids, so what is found in their windows meets them without another shuffle.
 
 Defined cases: null or empty text has no words; texts shorter than a window keep all words;
@@ -37,11 +38,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stage import bucketed, text_batches
+from .stage import bucketed, text_batches, written
 from .words import _BASE, _POWERS, Words, gram_starts, grams, mix, steps
 
 #: Words of a window, and of the grams that anchors are chosen from.
 LENGTH, SEED = 20, 8
+#: Runs that a task merges at once.
+CHUNK = 1 << 21
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _PLACE = (1 << 32) - 1  # a place is the text's version in the high and the word number in the low 32 bits
 
@@ -85,44 +88,76 @@ def runs(w: Words, length: int, seed: int) -> tuple[np.ndarray, ...]:
     return g[anchor], stretch, w.doc[start], start - w.ptr[w.doc[start]], count
 
 
+def _merged(ids: list[pa.Array], found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """One row of each of the runs' equal stretches, and the others as ``known`` repeats."""
+    ids = pa.concat_arrays(ids)
+    anchor, stretch, doc, place, count = (np.concatenate(x) for x in zip(*found))
+    found.clear()
+    rank = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1].astype(np.int32)[doc]
+    order = np.lexsort((place, rank, stretch, anchor))
+    same = np.zeros(len(order), dtype=bool)
+    a, b = order[1:], order[:-1]
+    same[1:] = (anchor[a] == anchor[b]) & (stretch[a] == stretch[b])
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))  # the earliest of each row's equal stretches
+    lead = order[lead]
+    known = same & ((rank[order] != rank[lead]) | (place[order] != place[lead]))  # the same place twice is one place
+    at = order[~(same & ~known)]
+    known = known[~(same & ~known)]
+    spread = mix(np.arange(len(at), dtype=np.uint64) ^ mix(anchor[at]))  # known repeats need no anchor: deal them evenly
+    anchor = np.where(known, spread, anchor[at])
+    for i in range(0, len(at), 50_000):
+        s = slice(i, i + 50_000)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(anchor[s].view(np.int64)), pa.array(stretch[at[s]].view(np.int64)), ids.take(pa.array(doc[at[s]])),
+             pa.array(place[at[s]]), pa.array(count[at[s]]), pa.array(known[s])], names=["anchor", "stretch", "id", "place", "n", "known"])
+
+
 def _seeds(length: int, seed: int):
-    """(anchor, stretch, id, place, n, known): one row per run, or ``known`` repeats of a run of this task."""
+    """(anchor, stretch, id, place, n, known): one row per run, or ``known`` repeats of a run among the same CHUNK."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, found, texts = [], [], 0
+        ids, found, texts, held = [], [], 0, 0
         for batch in batches:
             for part in steps(batch, "text"):
                 anchor, stretch, doc, start, count = runs(Words(part.column(2)), length, seed)
                 place = (part.column(1).to_numpy().astype(np.int64) << 32)[doc] + start
                 found.append((anchor, stretch, doc.astype(np.int32) + texts, place, count.astype(np.int32)))
                 ids.append(part.column(0))
-                texts += part.num_rows
-        if not texts:
-            return
-        ids = pa.concat_arrays(ids)
-        anchor, stretch, doc, place, count = (np.concatenate(x) for x in zip(*found))
-        found.clear()
-        rank = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1].astype(np.int32)[doc]
-        order = np.lexsort((place, rank, stretch, anchor))
-        same = np.zeros(len(order), dtype=bool)
-        a, b = order[1:], order[:-1]
-        same[1:] = (anchor[a] == anchor[b]) & (stretch[a] == stretch[b])
-        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))  # the earliest of each row's equal stretches
-        lead = order[lead]
-        known = same & ((rank[order] != rank[lead]) | (place[order] != place[lead]))  # the same place twice is one place
-        at = order[~(same & ~known)]
-        known = known[~(same & ~known)]
-        spread = mix(np.arange(len(at), dtype=np.uint64) ^ mix(anchor[at]))  # known repeats need no anchor: deal them evenly
-        anchor = np.where(known, spread, anchor[at])
-        for i in range(0, len(at), 50_000):
-            s = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[s].view(np.int64)), pa.array(stretch[at[s]].view(np.int64)), ids.take(pa.array(doc[at[s]])),
-                 pa.array(place[at[s]]), pa.array(count[at[s]]), pa.array(known[s])], names=["anchor", "stretch", "id", "place", "n", "known"])
+                texts, held = texts + part.num_rows, held + len(anchor)
+                if held >= CHUNK:
+                    yield from _merged(ids, found)
+                    ids, found, texts, held = [], [], 0, 0
+        if texts:
+            yield from _merged(ids, found)
 
     return run
 
 
+def _heavy(length: int, seed: int, share: int):
+    """(anchor, n) of the anchors with over 1 / share of the rows of a batch of seeds, and (null, n) of all its rows."""
+    seeds = _seeds(length, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in seeds(batches):
+            own = batch.column(0).to_numpy()[~batch.column(5).to_numpy(zero_copy_only=False)]
+            anchor, n = np.unique(own, return_counts=True)
+            much = (n > 1) & (n * share > len(own))
+            yield pa.RecordBatch.from_arrays([pa.array([*anchor[much].tolist(), None], pa.int64()), pa.array([*n[much].tolist(), len(own)], pa.int64())], names=["anchor", "n"])
+
+    return run
+
+
+def hot_anchors(texts: DataFrame, length: int, seed: int, share: int) -> DataFrame:
+    """(anchor) of at most ``share`` anchors, all those with over 2 / share of all rows among them.
+
+    Batches leave an anchor out where it has 1 / share of their rows or less, so what they count of an anchor falls short
+    by 1 / share of all rows at most; those counted over 1 / share of all rows stay.
+    """
+    counts = written(texts.mapInArrow(_heavy(length, seed, share), "anchor long, n long"), "heavy", narrow=True)
+    total = counts.filter("anchor is null").agg(F.sum("n")).first()[0] or 0
+    return counts.filter("anchor is not null").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") * share > total).select("anchor")
+
+
 def _lists(col: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
     """(row of each element, elements) of a list column; null is empty."""
     size = np.nan_to_num(pc.list_value_length(col).to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -223,13 +258,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, dige
     text = F.coalesce(docs[text_col], F.lit(""))
     narrow = docs.select(docs[id_col].alias("id"), F.shiftrightunsigned(F.xxhash64(text), 40).cast("int").alias("version"), text.alias("text"))
     kind = dict(narrow.dtypes)["id"]
-    seeds = narrow.filter("id is not null").mapInArrow(_seeds(length, seed), f"anchor long, stretch long, id {kind}, place long, n int, known boolean")
-    dealt = seeds.repartition("anchor").sortWithinPartitions("anchor", "known", "stretch", "id", "place")
-    equal = Window.partitionBy("anchor", "known", "stretch").orderBy("id", "place")
-    one = Window.partitionBy("anchor", "known")
+    texts = narrow.filter("id is not null")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_anchors(texts, length, seed, 8 * parts).withColumn("hot", F.lit(True))
+    seeds = texts.mapInArrow(_seeds(length, seed), f"anchor long, stretch long, id {kind}, place long, n int, known boolean")
+    seeds = seeds.join(F.broadcast(hot), "anchor", "left")  # at most 8 x partitions rows
+    # a hot anchor's stretches are dealt out, equal ones to one task; they are taken to differ, so all their windows are compared
+    dealt = seeds.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("stretch"), F.lit(parts))).otherwise(0)).repartition("anchor", "salt")
+    dealt = dealt.sortWithinPartitions("anchor", "salt", "known", "stretch", "id", "place")
+    equal = Window.partitionBy("anchor", "salt", "known", "stretch").orderBy("id", "place")
+    one = Window.partitionBy("anchor", "salt", "known")
     seen = dealt.withColumn("nth", F.rank().over(equal)).withColumn("lo", F.min("stretch").over(one)).withColumn("hi", F.max("stretch").over(one))
     repeat = F.col("known") | (F.col("nth") > 1)
-    hits = seen.filter(repeat | (F.col("lo") != F.col("hi"))).select("id", "place", "n", repeat.alias("repeat"))
+    hits = seen.filter(repeat | (F.col("lo") != F.col("hi")) | F.col("hot")).select("id", "place", "n", repeat.alias("repeat"))
     by_text = hits.groupBy("id", F.shiftright("place", 32).cast("int").alias("version")).agg(F.collect_list(F.struct("place", "n", "repeat")).alias("runs"))
 
     met = narrow.join(by_text, ["id", "version"], "left").select("id", "version", "text", "runs")

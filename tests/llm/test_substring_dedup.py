@@ -69,3 +69,17 @@ def test_repeated_rows_and_odd_ids(spark):
     alone = spark.createDataFrame([(1, same), (1, same)], "doc_id long, text string")
     assert [r.n_removed for r in D.remove_repeats(alone).collect()] == [28, 28]
     assert D.remove_repeats(alone.limit(0)).count() == 0
+
+
+def test_phrase_with_other_neighbours_everywhere(spark, monkeypatch):
+    """A hot anchor is dealt out by its stretches, whatever the chunks that tasks merge, and nothing else changes."""
+    rng = random.Random(4)
+    phrase = " ".join(f"p{i}" for i in range(8))
+    rows = [(i, " ".join([*(f"w{rng.randint(0, 10**6)}" for _ in range(15)), phrase, *(f"v{rng.randint(0, 2)}" for _ in range(15))])) for i in range(400)]
+    rows += [(i + 1000, t) for i, t in rows[::9]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    narrow = docs.selectExpr("doc_id as id", "0 as version", "text")
+    assert 0 < D.hot_anchors(narrow, 20, 8, 64).count() <= 64
+    for chunk in (100, 1 << 21):
+        monkeypatch.setattr(D, "CHUNK", chunk)
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in D.remove_repeats(docs).collect()} == brute(rows, 20)
