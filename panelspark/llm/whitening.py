@@ -191,6 +191,35 @@ def feast(v: np.ndarray, low: float, high: float, count: int) -> tuple[np.ndarra
     raise ArithmeticError(f"the inertia counts {count} eigenvalues in ({low}, {high}); the projection didn't settle on them")
 
 
+def extracted(v: np.ndarray, low: float, high: float, over: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``feast``, of an interval with ``over`` eigenvalues above it. Where a circle much wider than the gaps at its ends doesn't
+    part the wanted eigenvalues from those beyond, each side of the widest gap within gets a circle of its own, and so on."""
+    try:
+        return feast(v, low, high, count)
+    except ArithmeticError:
+        places = [bracket(v, m, 1.0) for m in range(over + 1, over + count + 1)]  # falling
+        parts = [(u, e) for e, u in _split(v, low, high, places)]
+    q = np.linalg.qr(np.concatenate([u for u, _ in parts], axis=1))[0]  # circles by themselves leave rounding between the parts
+    e, s = np.linalg.eigh(q.T @ v @ q)
+    return e, q @ s
+
+
+def _split(v: np.ndarray, low: float, high: float, places: list[tuple[float, float]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(eigenvalues, vectors) by parts of the interval whose eigenvalues lie in ``places``."""
+    gaps = [a[0] - b[1] for a, b in zip(places, places[1:])]
+    least, most = places[-1][0], places[0][1]
+    # no wider than its eigenvalues and the nearer end ask for
+    margin = max(most - least, min(least - low, high - most))
+    try:
+        return [feast(v, max(low, least - margin), min(high, most + margin), len(places))]
+    except ArithmeticError:
+        if not gaps or max(gaps) <= 0:
+            raise
+    at = int(np.argmax(gaps)) + 1
+    t = (places[at - 1][0] + places[at][1]) / 2
+    return _split(v, t, high, places[:at]) + _split(v, low, t, places[at:])
+
+
 def components(v: np.ndarray, most: int = COMPONENTS) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues, unit eigenvectors as columns) of up to ``most`` of the largest eigenvalues, falling, that aren't zero but for rounding."""
     top = float(np.abs(v).sum(axis=1).max()) * 1.0001  # no eigenvalue is larger
@@ -200,7 +229,7 @@ def components(v: np.ndarray, most: int = COMPONENTS) -> tuple[np.ndarray, np.nd
     wanted = min(most, above(unit, len(v) * 2.0 ** -50))
     values, vectors, high, over = [], [], 1.0, 0
     for low, m in cuts(unit, wanted, 1.0):
-        e, u = feast(unit, low, high, m - over)
+        e, u = extracted(unit, low, high, over, m - over)
         values.append(e[::-1])
         vectors.append(u[:, ::-1])
         high, over = low, m

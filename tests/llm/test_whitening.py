@@ -95,6 +95,15 @@ def test_components(values):
     assert np.abs(v @ u[:, :len(want)] - u[:, :len(want)] * e).max() < 1e-10 * max(values)
 
 
+@pytest.mark.parametrize("values", [[0.438, 0.145] + [0.0744 - 0.0002 * i for i in range(62)], [1] + [0.01 - 1e-6 * i for i in range(63)]])
+def test_components_with_close_values_beyond_a_wide_interval(values):
+    """One circle doesn't part the eighth value from the ninth; circles by gaps do, and the parts' vectors stay at right angles."""
+    v = symmetric(np.random.default_rng(1), values)
+    e, u = W.components(v)
+    assert np.allclose(e, values[:8], rtol=0, atol=1e-12)
+    assert np.allclose(u.T @ u, np.eye(8), atol=1e-12) and np.abs(v @ u - u * e).max() < 1e-12
+
+
 def test_inertia():
     rng = np.random.default_rng(8)
     for dims in (1, 2, 5, 20):
