@@ -212,7 +212,8 @@ def dyadic_join(df: DataFrame, links: DataFrame, key: str | Sequence[str], at: C
     A link becomes the dyadic ranges that make up its interval, whatever its length a few rows; each distinct
     (key, ``at``) looks up the ranges that hold it, one a level. One equi join finds all pairs, each once, and no range test is left.
     What it finds meets the wide rows by (key, ``at``), so the rows of one firm spread over the tasks by their dates.
-    Null keys, null places and intervals with a null end match nothing.
+    Null keys, null places and intervals with a null end match nothing. Both joins are merge joins: the planner takes the ranges
+    for as small as the rows they were made of, and would send all of them through the driver to every task.
     """
     keys = [key] if isinstance(key, str) else list(key)
     own = [c for c in links.columns if c not in keys and c not in df.columns]
@@ -221,8 +222,8 @@ def dyadic_join(df: DataFrame, links: DataFrame, key: str | Sequence[str], at: C
     points = wide.select(*keys, at_name).where(F.col(at_name).isNotNull()).distinct()
     points = points.select(*keys, at_name, F.inline(dyadic_ancestors(F.col(at_name), levels)))
     cover = links.select(*keys, F.struct(*(F.col(f"`{c}`") for c in own), F.lit(1).alias("__one")).alias(row), F.inline(dyadic_cover(first.cast("long"), last.cast("long"), levels)))
-    hits = points.join(cover, [*keys, "level", "block"]).select(*keys, at_name, row)
-    out = wide.join(hits, [*keys, at_name])
+    hits = points.join(cover.hint("merge"), [*keys, "level", "block"]).select(*keys, at_name, row)
+    out = wide.join(hits.hint("merge"), [*keys, at_name])
     return out.select(*df.columns, *(F.col(row).getField(c).alias(c) for c in own))
 
 

@@ -93,6 +93,19 @@ def test_dyadic_join_has_no_range_test(spark, capsys):
     assert ">=" not in plan and "<=" not in plan.replace("<=>", "") and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_dyadic_ranges_are_not_broadcast(spark, capsys, tmp_dir):
+    """Tables of a known small size: their ranges, some twenty rows a row, must not pass through the driver."""
+    df, lk = frames(spark)
+    df.write.parquet(f"{tmp_dir}/df")
+    lk.write.parquet(f"{tmp_dir}/lk")
+    df, lk = spark.read.parquet(f"{tmp_dir}/df"), spark.read.parquet(f"{tmp_dir}/lk")
+    years = df.withColumn("fyear", F.year("at")).select("k", "fyear", "v")
+    for out, plain in ((L.dyadic_interval_join(df, lk, "k", "at"), L.interval_join(df, lk, "k", "at")), (L.dyadic_containing_links(years, lk, "k", "fyear"), L.containing_links(years, lk, "k", "fyear"))):
+        assert same(plain, out)
+        out.explain()
+        assert "Broadcast" not in capsys.readouterr().out
+
+
 # --------------------------------------------------------------------------- balanced parts
 
 
