@@ -56,10 +56,10 @@ def token_counts(df: DataFrame, text: str) -> DataFrame:
     """(type, dotted, follow, capital, n): the word types of all texts, whether a period is at their end, and behind a
     period the next word's type in the text and whether it has a capital."""
     tokens = F.filter(F.split(F.col(text), WS + "+", -1), lambda t: t != "")
-    words = F.transform(tokens, lambda t: _word(t))
-    pairs = F.transform(F.arrays_zip(words.alias("word"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("next")),
-                        lambda p: F.struct(p["word"].alias("word"), p["next"].alias("next")))
-    rows = df.select(F.inline(F.filter(pairs, lambda p: F.length(p["word"]) > 0)))
+    # bound once: a name used twice in a plan is worked out twice, the whole text with it
+    paired = lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("word"), F.get(ws, i + 1).alias("next")))
+    pairs = F.transform(F.array(F.transform(tokens, lambda t: _word(t))), paired)[0]
+    rows = df.select(F.inline(pairs)).where(F.length("word") > 0)
     dotted = F.col("word").endswith(".") & ~F.col("word").endswith("..")
     follow = F.when(dotted & (F.length("next") > 0), F.col("next"))
     seen = rows.select(_type(F.col("word")).alias("type"), dotted.alias("dotted"), _type(follow).alias("follow"), _capital(follow).alias("capital"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import exact, links, panel as P, returns, sections, sentences, text, vectors
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import io
 from ..sources.filing_index import read_filing_index
 from ..streaming.incremental_stocks import StockTables
@@ -145,7 +145,8 @@ def _prose(spark, d):
 
 @query("abbreviation_scores", f"with {LEARNT_SQL} select type, cast(n as bigint) as n, cast(k as bigint) as n_dotted, score >= 0.3 as is_short, round(score, 6) + 0.0 as score from scored")
 def q_abbreviation_scores(spark, d):
-    found = sentences.abbreviations(sentences.token_counts(_prose(spark, d), "text"))
+    counts = materialize(sentences.token_counts(_prose(spark, d), "text"))  # read three times: types, all tokens, all dots
+    found = sentences.abbreviations(counts)
     return found.select("type", "n", "n_dotted", (F.col("score") >= sentences.ABBREVIATION).alias("is_short"), (F.round("score", 6) + 0.0).alias("score"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from panelspark.operators import sentences as S
 from panelspark.operators.text import chunk_docs
 
+from .conftest import SF001
+
 
 @pytest.fixture(scope="module")
 def prose(spark):
@@ -66,3 +68,27 @@ def test_chunks_take_learned_ends(spark, ends):
     df = spark.createDataFrame([(1, "We met Mr. Smith in the U.S. market. It fell.\nshort. one")], "k int, t string")
     assert [r.chunk for r in chunk_docs(df, "k", "t", cap=20, ends=ends).orderBy("chunk_no").collect()] == ["We met Mr. Smith in the U.S. market.", "It fell.", "short. one"]
     assert [r.chunk for r in chunk_docs(df, "k", "t", cap=20).orderBy("chunk_no").collect()][:2] == ["We met Mr.", "Smith in the U.S."]
+
+
+def test_texts_are_split_into_words_once(spark, prose, capsys):
+    """Not once for each use of the words in the pairs."""
+    S.token_counts(prose, "t").explain()
+    plan = capsys.readouterr().out
+    assert max(line.count("split(") for line in plan.splitlines()) == 1
+
+
+def test_token_counts_of_pairs(spark):
+    df = spark.createDataFrame([("Mr. (Smith) paid 5. -- \" ok. \" Then",), ("",), (None,), ("end.",)], "t string")
+    got = sorted((r.type, r.dotted, r.follow, r.capital, r.n) for r in S.token_counts(df.repartition(2), "t").na.fill("-", ["follow"]).collect())
+    assert got == [("##", True, "--", False, 1), ("--", False, "-", None, 1), ("end", True, "-", None, 1), ("mr", True, "smith", True, 1), ("ok", True, "-", None, 1),
+                   ("paid", False, "-", None, 1), ("smith", False, "-", None, 1), ("then", False, "-", None, 1)]
+
+
+def test_scores_read_the_texts_once(spark, monkeypatch):
+    from panelspark.plans import catalog_scale
+
+    seen = []
+    abbreviations = S.abbreviations
+    monkeypatch.setattr(catalog_scale.sentences, "abbreviations", lambda counts: seen.append(counts) or abbreviations(counts))
+    catalog_scale.q_abbreviation_scores(spark, SF001)
+    assert "documents" not in seen[0].inputFiles()[0]
