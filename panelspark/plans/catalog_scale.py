@@ -17,19 +17,25 @@ from .catalog import CHUNK_NON_WS, CHUNK_WS, LINK_CLEAN_SQL, SQL, LetterCounts,
 # =========================================================================== quoted CSV
 
 
+#: Bytes of text in one file, about: a task reads a whole file where cells hold line breaks.
+QUOTED_FILE = 64 << 20
+
+
 @query("csv_quoted_cells", r"""
 select doc_id, text, case when doc_id % 3 = 0 then 'ACME "' || source || '", INC' when doc_id % 3 = 1 then source || '\' end as name, n_chars from documents""")
 def q_csv_quoted_cells(spark, d):
     """Whole texts with line breaks, commas, doubled quotes and trailing backslashes, as pandas writes them: lines of text,
-    a header in each of four files."""
+    a header in each file. Four files, each dealt out to several where it would be larger than ``QUOTED_FILE`` bytes."""
     path = scratch_path(spark, "quoted_csv")
     k = F.col("doc_id")
     cell = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')), F.lit(""))
     name = F.when(k % 3 == 0, F.concat(F.lit('ACME "'), "source", F.lit('", INC'))).when(k % 3 == 1, F.concat("source", F.lit("\\")))
-    rows = V.table(spark, d, "documents").select((k % 4).alias("part"), F.lit(1).alias("at"), F.concat_ws(",", cell(F.col("text")), k, cell(name), "n_chars").alias("line"))
-    header = spark.range(4).select(F.col("id").alias("part"), F.lit(0).alias("at"), F.lit("text,doc_id,name,n_chars").alias("line"))
-    (rows.unionByName(header).repartition("part").sortWithinPartitions("part", "at").select("part", "line").write.partitionBy("part").text(path))
-    return io.read_csv(spark, [f"{path}/part={i}" for i in range(4)], "doc_id long, text string, name string, n_chars long")
+    docs = V.table(spark, d, "documents")
+    n = -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // (4 * QUOTED_FILE))
+    rows = docs.select((k % 4).alias("part"), F.pmod(F.xxhash64(k, "text"), F.lit(n)).alias("sub"), F.lit(1).alias("at"), F.concat_ws(",", cell(F.col("text")), k, cell(name), "n_chars").alias("line"))
+    header = spark.range(4 * n).select((F.col("id") % 4).alias("part"), F.floor(F.col("id") / 4).alias("sub"), F.lit(0).alias("at"), F.lit("text,doc_id,name,n_chars").alias("line"))
+    (rows.unionByName(header).repartition("part", "sub").sortWithinPartitions("part", "sub", "at").select("part", "sub", "line").write.partitionBy("part", "sub").text(path))
+    return io.read_csv(spark, [f"{path}/part={i}/sub={j}" for i in range(4) for j in range(n)], "doc_id long, text string, name string, n_chars long")
 
 
 @query("csv_quoted_round_trip", "select o_orderkey, o_comment, o_clerk from (select o_orderkey, '\"' || o_orderpriority || '\", ' || o_orderstatus || '\\' as o_comment, ' ' || o_orderkey || chr(10) as o_clerk from orders) t")

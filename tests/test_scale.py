@@ -2,6 +2,7 @@
 
 import datetime as dt
 import glob
+import os
 import random
 
 import numpy as np
@@ -201,3 +202,19 @@ def test_securities_without_issuer_have_no_first_month(spark):
                               "permno int, permco int, yr int, date string, ret double")
     got = {r.permno: (r.crsp_first_date, round(r.ret, 9)) for r in R.annual_returns(m, "yr").collect()}
     assert got == {1: (None, 0.5), 2: (None, 0.1), 3: ("1998-02-01", 0.0), 4: ("1998-02-01", 0.0)}
+
+
+# --------------------------------------------------------------------------- quoted files of bounded size
+
+
+def test_quoted_files_are_bounded(spark, tmp_dir, monkeypatch):
+    from panelspark.plans import catalog_scale
+
+    rows = [(i, f'a "{i}"\nb, \\' + "x" * (i % 7) * 50 if i % 5 else None, "s" if i % 2 else None, i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_dir}/documents.parquet")
+    monkeypatch.setattr(catalog_scale, "QUOTED_FILE", 2000, raising=False)
+    out = catalog_scale.q_csv_quoted_cells(spark, tmp_dir)
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect()) == [(i, t, n) for i, t, _, n in rows]
+    sizes = [os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles()]
+    assert len(sizes) > 4 and max(sizes) < 3 * 2000
