@@ -20,18 +20,18 @@ CELL, PARTS = 24, 4
 _LOWEST = -38
 
 
-def _cells(x: Column) -> tuple[Column, list[Column]]:
-    """(number of the highest cell, parts of the value in it and the cells below); zero and what isn't finite have none."""
-    finite = (x != 0) & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    size = F.when(finite, F.abs(x)).otherwise(F.lit(1.0))
-    top = F.greatest(F.floor(F.log2(size) / CELL).cast("int"), F.lit(_LOWEST))
-    rest = F.when(finite, x).otherwise(0.0) * F.pow(F.lit(2.0), -F.lit(CELL) * top)
-    parts = []
-    for _ in range(PARTS):
-        part = rest.cast("long")  # towards zero; exact, like what is left
-        parts.append(part)
-        rest = (rest - part) * float(1 << CELL)
-    return F.when(finite, top), parts
+def _with_cells(df: DataFrame, x: str) -> DataFrame:
+    """Adds ``__top``, the number of the highest cell, and ``__p0`` to ``__p3``, the parts of the value in it and the cells below; zero and
+    what isn't finite have none. One projection a part: written as one expression, each part would work out those before it again, twice."""
+    v = F.col(x)
+    finite = (v != 0) & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    size = F.when(finite, F.abs(v)).otherwise(F.lit(1.0))
+    df = df.select("*", finite.alias("__finite"), F.greatest(F.floor(F.log2(size) / CELL).cast("int"), F.lit(_LOWEST)).alias("__at"))
+    df = df.select("*", (F.when(F.col("__finite"), v).otherwise(0.0) * F.pow(F.lit(2.0), -F.lit(CELL) * F.col("__at"))).alias("__rest"))
+    for j in range(PARTS):
+        df = df.select("*", F.col("__rest").cast("long").alias(f"__p{j}"))  # towards zero; exact, like what is left
+        df = df.withColumn("__rest", (F.col("__rest") - F.col(f"__p{j}")) * float(1 << CELL))
+    return df.withColumn("__top", F.when(F.col("__finite"), F.col("__at"))).drop("__finite", "__at", "__rest")
 
 
 def exact_sums(df: DataFrame, keys: Sequence[str], values: Mapping[str, str | Column]) -> DataFrame:
@@ -42,13 +42,10 @@ def exact_sums(df: DataFrame, keys: Sequence[str], values: Mapping[str, str | Co
     a cell for each 24 bits that its values' sizes span.
     """
     keys = list(keys)
-    one = []
-    for i, v in enumerate(values.values()):
-        x = (F.col(v) if isinstance(v, str) else v).cast("double")
-        top, parts = _cells(x)
-        odd = F.when(F.isnan(x) | (F.abs(x) == float("inf")), x)
-        one.append(F.struct(F.lit(i).alias("__i"), top.alias("__top"), *(p.alias(f"__p{j}") for j, p in enumerate(parts)), odd.alias("__odd"), x.isNotNull().cast("int").alias("__some")))
-    long = df.select(*keys, F.inline(F.array(*one)))
+    one = [F.struct(F.lit(i).alias("__i"), (F.col(v) if isinstance(v, str) else v).cast("double").alias("__x")) for i, v in enumerate(values.values())]
+    long = _with_cells(df.select(*keys, F.inline(F.array(*one))), "__x")
+    x = F.col("__x")
+    long = long.withColumns({"__odd": F.when(F.isnan(x) | (F.abs(x) == float("inf")), x), "__some": x.isNotNull().cast("int")})
     summed = long.groupBy(*keys, "__i", "__top").agg(*(F.sum(f"__p{j}").alias(f"__p{j}") for j in range(PARTS)), F.sum("__odd").alias("__odd"), F.max("__some").alias("__some"))
     parts = F.transform(F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"__p{j}").alias("p")) for j in range(PARTS))),
                         lambda x: F.struct((F.col("__top") - x["j"]).alias("cell"), x["p"].alias("part")))

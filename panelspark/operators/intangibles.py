@@ -269,8 +269,11 @@ def stocks_from(f: DataFrame, rates: GrowthRates, founding: DataFrame, pivot_yea
                   .agg(F.max(F.year("ipodate")).cast("int").alias(y), F.min("cusip").alias("cusip"))
                   .withColumn("__src", F.lit(1)))
     f = add_anchor_rows(f.withColumn("__src", F.lit(0)), ipo_rows)
+    if not seg:
+        # windows per firm came before: one shuffle by firm serves the rest as well
+        f = f.repartition(k)
     f = keep_last(f, [k, y], ["datadate", "seq", "__src"])
-    f = densify_years(f, k, y)
+    f = densify_years(f, k, y, unique=True)
     # 11. age-rate backcast of the logs
     if age_mode == "recomputed":
         f = f.withColumn("ageipo", (F.col(y) - F.max(F.year("ipodate")).over(w)).cast("int"))
@@ -278,22 +281,26 @@ def stocks_from(f: DataFrame, rates: GrowthRates, founding: DataFrame, pivot_yea
           .withColumn("logxsga", guarded_log("xsga")).withColumn("logxrd", guarded_log("xrd")))
     f = backcast_rates(f, k, [y], "xrd", "logxrd", "grate_xrd")
     f = backcast_rates(f, k, [y], "xsga", "logxsga", "grate_xsga")
-    # 12. founding year from data rows (Q10), per firm
-    listed = clean_founding(founding).groupBy("cusip").agg(F.min("founding").alias("listed"))
-    f = f.join(listed, "cusip", "left")
-    data_row = F.col("count").isNotNull()
-    est = founding_estimate(F.col("listed"), F.col("firstcomp"), F.year("ipodate"), lag)
-    f = f.withColumn("__fy", F.min_by(F.when(data_row, est), F.when(data_row & est.isNotNull(), F.col(y))).over(w))
+    # the columns that later steps read
+    f = f.select(k, y, "cusip", "count", "__src", "firstcomp", "ipodate", "xrd", "xsga", "logxrd", "logxsga", "ageipo", "sich")
     if checkpoint:
         # fan-out: founding rows are derived from this frame and unioned back into it
         f = materialize(f)
+    # 12. founding year from data rows (Q10), per firm: the list meets a row per firm and attributes, not the panel
+    listed = clean_founding(founding).groupBy("cusip").agg(F.min("founding").alias("listed"))
+    data_year = F.min(F.when(F.col("count").isNotNull(), F.col(y)))
+    firms = f.groupBy(k, "cusip", "firstcomp", "ipodate").agg(data_year.alias("__y")).join(listed, "cusip", "left")
+    firms = firms.withColumn("__est", founding_estimate(F.col("listed"), F.col("firstcomp"), F.year("ipodate"), lag))
     # 13. founding-year row, dedup (real rows win), densify, back-fill firm constants
-    found_rows = (f.groupBy(k).agg(F.max("__fy").alias(y), F.min("cusip").alias("cusip"))
+    first_est = F.min_by("__est", F.when(F.col("__est").isNotNull(), F.col("__y")))
+    found_rows = (firms.groupBy(k).agg(first_est.alias(y), F.min("cusip").alias("cusip"))
                    .where(F.col(y).isNotNull()).withColumn("__src", F.lit(2)))
-    f = add_anchor_rows(f.drop("__fy", "listed"), found_rows)
+    # a firm has a row a year here: one shuffle by firm serves all that follows
+    f = add_anchor_rows(f, found_rows).drop("cusip").repartition(k)
     f = keep_last(f, [k, y], ["count", "__src"])
-    f = densify_years(f, k, y)
-    f = bfill(f, k, [y], ["firstcomp", "ipodate"])
+    f = attach_sic_rates(f, "sich")  # 16, before rows are copied into the gaps
+    f = densify_years(f, k, y, unique=True)
+    f = bfill(f, k, [y], ["firstcomp", "ipodate"], unique=True)
     # 14. constant-rate backcast of the remaining null logs
     # each pre-IPO rate is a one-row global aggregate, attached as a scalar
     # subquery (computed once, no join); an all-null rate adds nothing, as a
@@ -304,8 +311,7 @@ def stocks_from(f: DataFrame, rates: GrowthRates, founding: DataFrame, pivot_yea
     # 15. back to levels
     f = (f.withColumn("xsga", level_from_log("xsga", "logxsga", zero_mode))
           .withColumn("xrd", level_from_log("xrd", "logxrd", zero_mode)))
-    # 16. industry rates and the two perpetual-inventory recurrences
-    f = attach_sic_rates(f, "sich")
+    # 16. the two perpetual-inventory recurrences
     cols = [k, y, "count", "xrd", "xsga", "theta_g2", "gamma_o2"]
     if keep_intermediate:
         cols += ["logxrd", "logxsga", "ageipo", "sich"]

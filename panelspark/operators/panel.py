@@ -104,10 +104,11 @@ def nearest_fill(df: DataFrame, key, order, col: str, when: Column | None = None
 # --------------------------------------------------------------------------- W3
 
 def bfill(df: DataFrame, key, order, cols: Sequence[str] | str, suffix: str = "",
-          segments: int | None = None) -> DataFrame:
-    """Backward fill per key: next non-null value at or after the row."""
+          segments: int | None = None, unique: bool = False) -> DataFrame:
+    """Backward fill per key: next non-null value at or after the row.
+    ``unique``: no two rows of a key tie in ``order``, so no other column is needed to sort by."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    order = _total(df, key, order)
+    order = _cols(order) if unique else _total(df, key, order)
     if segments:
         nx = {f"__bf{i}": F.col(c) for i, c in enumerate(cols)}
         t = segmented_scan(df, _names(key), _cols(order), segments, nxt=nx)
@@ -122,19 +123,21 @@ def bfill(df: DataFrame, key, order, cols: Sequence[str] | str, suffix: str = ""
 # --------------------------------------------------------------------------- W4
 
 def densify_years(df: DataFrame, key, year: str = "fyear", src: str | None = None,
-                  segments: int | None = None) -> DataFrame:
+                  segments: int | None = None, unique: bool = False) -> DataFrame:
     """One row per year from each key's first to last year; a gap year copies the
     whole previous row, its nulls included (W4). Rows that repeat a year stay, and the
     last of them - the other columns decide their order - fills the gap after it.
+    ``unique``: no year repeats in a key, so rows are sorted by year alone.
 
     ``explode(sequence(year, next_year - 1))`` -- no calendar table and no join;
     the only shuffle is the window's partitioning by key.
     """
+    order = _cols(year) if unique else _total(df, key, year)
     if segments:
-        t = segmented_scan(df, _names(key), _total(df, key, year), segments, nxt={"__ny": F.col(year)})
+        t = segmented_scan(df, _names(key), order, segments, nxt={"__ny": F.col(year)})
         out = t.withColumn("__to", F.greatest(F.col("__ny.v") - 1, F.col(year))).drop("__rn", "__ny")
     else:
-        nxt = F.lead(F.col(year)).over(_w(key, _total(df, key, year)))
+        nxt = F.lead(F.col(year)).over(_w(key, order))
         out = df.withColumn("__to", F.greatest(nxt - 1, F.col(year)))
     if src:
         out = out.withColumn(src, F.col(year))
@@ -297,26 +300,23 @@ def _fold(rows: Column, k: int, mode: str, first_zero: bool = False) -> Column:
         for i in range(k):
             a, b = x[f"__a{i}"], x[f"__b{i}"]
             if mode == "state":
-                new = a * acc[f"l{i}"] + b
-                if first_zero:
-                    new = F.when(acc["n"] == 0, F.lit(0.0)).otherwise(new)
-                parts.append(F.concat(acc[f"s{i}"], F.array(new)).alias(f"s{i}"))
-                lasts.append(new.alias(f"l{i}"))
+                done = acc[f"s{i}"]  # its last state is read back: named twice, it would be worked out twice
+                first = F.lit(0.0) if first_zero else a * F.lit(0.0) + b
+                new = F.when(F.size(done) == 0, first).otherwise(a * F.element_at(done, -1) + b)
+                parts.append(F.concat(done, F.array(new)).alias(f"s{i}"))
             else:
                 p, q = a * acc[f"lp{i}"], a * acc[f"lq{i}"] + b
                 parts += [F.concat(acc[f"p{i}"], F.array(p)).alias(f"p{i}"),
                           F.concat(acc[f"q{i}"], F.array(q)).alias(f"q{i}")]
                 lasts += [p.alias(f"lp{i}"), q.alias(f"lq{i}")]
-        return F.struct(*parts, *lasts, (acc["n"] + 1).alias("n"))
+        return F.struct(*parts, *lasts)
 
     empty = F.array().cast("array<double>")
     if mode == "state":
-        zero = F.struct(*[empty.alias(f"s{i}") for i in range(k)],
-                        *[F.lit(0.0).alias(f"l{i}") for i in range(k)], F.lit(0).alias("n"))
+        zero = F.struct(*[empty.alias(f"s{i}") for i in range(k)])
     else:
         zero = F.struct(*[e for i in range(k) for e in (empty.alias(f"p{i}"), empty.alias(f"q{i}"))],
-                        *[e for i in range(k) for e in (F.lit(1.0).alias(f"lp{i}"), F.lit(0.0).alias(f"lq{i}"))],
-                        F.lit(0).alias("n"))
+                        *[e for i in range(k) for e in (F.lit(1.0).alias(f"lp{i}"), F.lit(0.0).alias(f"lq{i}"))])
     return F.aggregate(rows, zero, merge)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.exact import exact_sums
@@ -33,8 +33,8 @@ def growth_parts(prepared: DataFrame, key: str = "gvkey") -> DataFrame:
 
 def merged_rates(parts: DataFrame, key: str = "gvkey") -> DataFrame:
     """(value, age, grate): the mean log growth over all firms from age - 1 to age, from their parts."""
-    before = parts.select(key, "value", (F.col("age") + 1).alias("age"), F.col("n").alias("pn"), F.col("s").alias("ps"))
-    pairs = parts.join(before, [key, "value", "age"])
+    w = Window.partitionBy(key, "value").orderBy("age")  # a row a firm, value and age
+    pairs = parts.where(F.col(key).isNotNull()).select("*", *(F.lag(c).over(w).alias(f"p{c}") for c in ("age", "n", "s"))).where(F.col("page") == F.col("age") - 1)
     pairs = pairs.select("value", "age", (F.col("pn").cast("double") * F.col("s") - F.col("n").cast("double") * F.col("ps")).alias("num"), (F.col("n") * F.col("pn")).cast("double").alias("den"))
     sums = exact_sums(pairs, ["value", "age"], {"num": "num", "den": "den"})
     return sums.select("value", "age", (F.col("num") / F.col("den")).alias("grate"))
@@ -69,15 +69,16 @@ class StockTables:
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn(BUCKET, F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
 
-    def replace(self, name: str, new: DataFrame, firms: DataFrame) -> DataFrame:
-        """Rewrite the firms' buckets: the new rows, and those of the other firms in them."""
-        old, new = self.read(name), self._bucketed(new)
+    def replace(self, name: str, new: DataFrame, firms: DataFrame | None) -> DataFrame:
+        """Rewrite the firms' buckets: the new rows, and those of the other firms in them. Without ``firms`` the new rows are the table."""
+        old, new = self.read(name) if firms is not None else None, self._bucketed(new)
         if old is not None:
             touched = self._bucketed(firms).select(BUCKET).distinct()
-            new = old.join(touched, BUCKET, "left_semi").join(firms, self.key, "left_anti").select(*new.columns).unionByName(new)
-        # written aside first: the folder is read by this very plan
-        rows = materialize(new)
-        (rows.repartition(BUCKET).sortWithinPartitions(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{self.root}/{name}"))
+            # written aside first: the folder is read by this very plan
+            new = materialize(old.join(touched, BUCKET, "left_semi").join(firms, self.key, "left_anti").select(*new.columns).unionByName(new))
+        # by bucket, and a large bucket by several tasks: their number grows with the rows, not with the buckets
+        spread = new.hint("rebalance", BUCKET)
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "static" if firms is None else "dynamic").partitionBy(BUCKET).parquet(f"{self.root}/{name}")
         return self.read(name)
 
     def update(self, number: int, accounts: DataFrame, company: DataFrame, founding: DataFrame, exclude: Sequence = (), pivot_year: int = RD_PIVOT_YEAR,
@@ -102,14 +103,15 @@ class StockTables:
         parts = self.replace("parts", growth_parts(prepared, k), firms)
         rates = materialize(merged_rates(parts.drop(BUCKET), k))
         moved = materialize(moved_rates(rates_before, rates))
-        if moved.where(F.col("age").between(-1, 0)).limit(1).count():
-            again = every.select(k).distinct()
+        rows, again = every.drop(BUCKET), None
+        if moved.where(F.col("age").between(-1, 0)).limit(1).count():  # every firm
+            self.recomputed = every.select(k).distinct().count()
         else:
             ages = moved.select(F.col("age").alias("ageipo")).distinct()
-            again = every.select(k, "ageipo").join(ages, "ageipo", "left_semi").select(k).unionByName(firms).distinct()
-        again = materialize(again)
-        self.recomputed = again.count()
-        new = stocks_from(materialize(every.drop(BUCKET).join(again, k, "left_semi")), as_growth_rates(rates), founding, pivot_year, age_mode, zero_mode, key=k, year=self.year, segments=segments)
+            again = materialize(every.select(k, "ageipo").join(ages, "ageipo", "left_semi").select(k).unionByName(firms).distinct())
+            self.recomputed = again.count()
+            rows = materialize(rows.join(again, k, "left_semi"))
+        new = stocks_from(rows, as_growth_rates(rates), founding, pivot_year, age_mode, zero_mode, key=k, year=self.year, segments=segments)
         stocks = self.replace("stocks", new, again)
         rates.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/rates")  # a row a value and age
         return stocks.drop(BUCKET)

@@ -106,3 +106,30 @@ def test_rates_move_only_where_the_bits_do(spark):
     assert moved_rates(one, two).count() == 0 and moved_rates(None, one).count() == 4
     changed = merged_rates(parts.withColumn("s", F.when((F.col("gvkey") == 2) & (F.col("age") == 3), F.col("s") + 1e-9).otherwise(F.col("s"))))
     assert [(r.value, r.age) for r in moved_rates(one, changed).collect()] == [("xrd", 3)]
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_dir):
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8k"}
+    was = {c: spark.conf.get(c) for c in conf}
+    rows = spark.range(0, 40000, 1, 8).select(F.col("id").alias("gvkey"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        tables = StockTables(spark, f"{tmp_dir}/b", buckets=2)
+        written = tables.replace("rows", rows, rows.select("gvkey"))
+        files = lambda: written.select("__bucket", F.input_file_name().alias("file")).distinct().groupBy("__bucket").agg(F.count("*").alias("n")).collect()
+        assert all(r.n > 3 for r in files()) and written.drop("__bucket").exceptAll(rows).count() == 0 and written.count() == 40000
+        # the rows of some firms: the others stay, in both buckets
+        some = rows.where("gvkey < 100").withColumn("x", F.lit("new"))
+        again = tables.replace("rows", some, some.select("gvkey"))
+        assert again.count() == 40000 and again.where("x = 'new'").count() == 100
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
+
+
+def test_founding_list_and_rates_do_not_shuffle_the_panel_again(spark):
+    parts = spark.createDataFrame([(f, "xrd", a, 1, 1.0) for f in range(3) for a in range(3)] + [(9, "xrd", 0, 1, 1.0), (9, "xrd", 2, 1, 9.0)], "gvkey int, value string, age int, n long, s double")
+    plan = merged_rates(parts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LOG2") == 1  # ages met by a window; the cells of a value worked out once
+    assert [(r.value, r.age, r.grate) for r in merged_rates(parts).orderBy("age").collect()] == [("xrd", 1, 0.0), ("xrd", 2, 0.0)]  # firm 9 skips an age
