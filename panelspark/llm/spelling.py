@@ -179,12 +179,13 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(word, n, near, near_n) of all ordered pairs of words of (word, n) that are one edit apart; words are distinct."""
+    """(word, n, near, near_n) of all ordered pairs of words of (word, n) that are one edit apart; words are distinct.
+    A merge join: the planner takes the signatures for as large as the words they are made of."""
     keys = words.mapInArrow(signatures, "key long, long byte, word string, n long")
     a, b = keys.alias("a"), keys.alias("b")
     once = (F.col("a.long") < F.col("b.long")) | ((F.col("a.long") + F.col("b.long") == 0) & (F.col("a.word") < F.col("b.word")))
     apart = F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & once & apart)
+    pairs = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & once & apart)
     pairs = pairs.select(F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("near"), F.col("b.n").alias("near_n")).distinct()
     there = F.struct("word", "n", "near", "near_n")
     back = F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
@@ -193,11 +194,12 @@ def near_words(words: DataFrame) -> DataFrame:
 
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root) from (word, form): the last word of each chain. Each round doubles the steps taken; a form is at
-    least twice as frequent as its word, so chains have fewer than 64 steps and six rounds do."""
+    least twice as frequent as its word, so chains have fewer than 64 steps and six rounds do. Merge joins, here and
+    below: the planner takes a compressed file's size for that of its rows."""
     found = written(forms.select("word", F.col("form").alias("root")), "roots", narrow=True)
     while True:
         ahead = found.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        found = written(found.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots", narrow=True)
+        found = written(found.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots", narrow=True)
         if not found.filter("moved").limit(1).count():
             return found.select("word", "root")
 
@@ -210,5 +212,5 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     is_form = -F.col("best.by") >= TIMES * F.col("n")
     near = written(near.select("word", "n_near", F.when(is_form, F.col("best.form")).alias("form"), F.when(is_form, -F.col("best.by")).alias("form_n")), "near", narrow=True)
     last = roots(near.filter(F.col("form").isNotNull()))
-    out = words.join(near, "word", "left").join(last, "word", "left")
+    out = words.join(near.hint("merge"), "word", "left").join(last.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")

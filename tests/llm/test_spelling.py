@@ -120,3 +120,15 @@ def test_crc_of_runs():
     state = np.array([zlib.crc32(f"{i}:".encode()) for i in range(len(start))], dtype=np.uint32)
     want = [zlib.crc32(f"{i}:".encode() + data[a:b].tobytes()) for i, (a, b) in enumerate(zip(start, end))]
     assert P.run_crc(data, start, end, state).tolist() == want
+
+
+def test_no_join_passes_through_the_driver(spark, monkeypatch, capsys):
+    """Files and rows made from them are larger than the planner thinks: nothing may be broadcast for its small size."""
+    frames, written = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, *a, **k: frames.append(df) or written(df, *a, **k))
+    docs = spark.createDataFrame([(i, "alphabet alphabets " + "alphabetic " * (1 + i % 2)) for i in range(9)], "doc_id long, text string")
+    frames.append(P.spelling_variants(docs))
+    for df in frames:
+        df.explain()
+    plans = capsys.readouterr().out
+    assert plans.count("SortMergeJoin") >= 4 and "Broadcast" not in plans
