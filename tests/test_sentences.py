@@ -92,3 +92,38 @@ def test_scores_read_the_texts_once(spark, monkeypatch):
     monkeypatch.setattr(catalog_scale.sentences, "abbreviations", lambda counts: seen.append(counts) or abbreviations(counts))
     catalog_scale.q_abbreviation_scores(spark, SF001)
     assert "documents" not in seen[0].inputFiles()[0]
+
+
+def by_places(df, ends):
+    rows = S.materialize(df.withColumn("row", F.monotonically_increasing_id()))
+    return S.open_ends(rows, "row", "t", ends, "open").select("k", "t", S.sentence_array(F.col("t"), F.col("open")).alias("s"))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd ends, white space and repeated rows."""
+    rng = random.Random(2)
+    tokens = ["Mr.", "mr.", "J.", "5.", "12", "No.", "(The", "the", "The.", '"So."', "so..", "So...", "!", "?)", ".", '."', ".)", '"', "a.b.", "Inc.,", 'Inc."', "x.\")", "É.", "x" * 100 + ".", "y" * 90, "1" * 90 + "."]
+    blank = [" ", "  ", "\n", "\t  ", " " * 90]
+    rows = [(i % 250, "".join(rng.choice(tokens) + rng.choice(blank) for _ in range(rng.randrange(25))).strip(" " if i % 3 else None)) for i in range(300)]
+    return spark.createDataFrame([*rows, *rows[:20], (None, "No. 5. Then"), (None, "No. 5. Then"), (1, None), (2, "")], "k int, t string").repartition(4)
+
+
+@pytest.mark.parametrize("size", [0, 3, 5000])
+def test_lists_and_tables_are_whole(spark, prose, odd, ends, monkeypatch, size):
+    """No entry is left out, whatever goes to the tasks, and texts meet the tables as they would the lists."""
+    monkeypatch.setattr(S, "LIST_SIZE", size)
+    assert S.learn_sentence_ends(prose, "t") == ends and len(ends.starters) > 1
+    df = prose.unionByName(odd)
+    learnt = S.learn_sentence_ends(df, "t")
+    key = lambda r: (str(r.k), str(r.t))
+    want = sorted(df.select("k", "t", S.sentence_array(F.col("t"), learnt).alias("s")).collect(), key=key)
+    assert sorted(by_places(df, learnt).collect(), key=key) == want
+    assert any(r.s and len(r.s) > 5 for r in want) and {"mr", "inc"} <= set(learnt.abbreviations)
+
+
+def test_long_words_are_read_whole(spark):
+    word, number = "x" * 100, "1" * 90
+    ends = S.SentenceEnds((word,), ("the",), (f"{word} ##", f"a{'b' * 99} ##"))
+    assert split(spark, ends, f"{word}. {number} a. {word}. Then") == [f"{word}. {number} a. {word}. Then"]
+    assert split(spark, ends, f"A{'b' * 99}. {number}. b{'b' * 99}. {number}{' ' * 90}c") == [f"A{'b' * 99}. {number}.", f"b{'b' * 99}.", f"{number}{' ' * 90}c"]
