@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .text import NON_WS, WS, WS_CHARS
+from .text import WS, WS_CHARS
 
 # Thresholds of the published method: of abbreviations, of pairs that belong together, of sentence starters.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
@@ -24,6 +24,8 @@ LIST_SIZE = 5000
 NUMBER = "##"
 #: Punctuation around a word that isn't part of it.
 OPENERS, CLOSERS = "\"'([{“‘«¿¡", "\"')]}”’»,;:"
+#: White space; most characters are ruled out by one test.
+BLANK = f"(?![!-~]){WS}"
 #: How a token ends behind which a sentence may end.
 END = r"[.!?][\"')\]”’»]?"
 #: A noncharacter; no text holds it.
@@ -37,12 +39,12 @@ class SentenceEnds:
 
     def __init__(self, abbreviations: tuple[str, ...] | DataFrame = (), starters: tuple[str, ...] | DataFrame = (), together: tuple[str, ...] | DataFrame = (),
                  going_on: DataFrame | None = None):
-        self._given = (abbreviations, starters, together)
+        self.given = (abbreviations, starters, together)
         self.going_on = going_on
 
     @cached_property
     def _lists(self) -> tuple[tuple[str, ...], ...]:
-        return tuple(tuple(sorted(r[0] for r in x.collect())) if isinstance(x, DataFrame) else tuple(x) for x in self._given)
+        return tuple(tuple(sorted(r[0] for r in x.collect())) if isinstance(x, DataFrame) else tuple(x) for x in self.given)
 
     abbreviations = property(lambda self: self._lists[0])
     starters = property(lambda self: self._lists[1])
@@ -75,7 +77,7 @@ def _pairs(text: Column, made) -> Column:
     text has white space there."""
     # bound once: a name used twice in a plan is worked out twice, the whole text with it
     paired = lambda ts: F.transform(ts, lambda t, i: made(t, F.get(ts, i + 1)))
-    return F.transform(F.array(F.split(text, WS + "+", -1)), paired)[0]
+    return F.transform(F.array(F.split(text, f"(?:{BLANK})+", -1)), paired)[0]
 
 
 def token_counts(df: DataFrame, text: str) -> DataFrame:
@@ -189,11 +191,16 @@ def _places(text: Column) -> Column:
 
 def open_ends(df: DataFrame, row: str, text: str, ends: SentenceEnds, name: str) -> DataFrame:
     """``df`` and a column ``name``: the places (0, 1, ...) among those where a sentence may end, in order, at which none
-    does. Null: there are none. ``row`` is another value in each row and the same whenever it is read; ``ends`` are learned from the same texts."""
+    does. Null: there are none. ``row`` is another value in each row and the same whenever it is read, best in buckets; ``ends`` are learned from the same texts."""
     places = df.select(row, F.posexplode(_places(F.col(text))).alias("place", "x")).select(row, "place", _word(F.col("x.word")).alias("word"), _word(F.col("x.next")).alias("next"))
     places = places.where(F.col("word").endswith("."))
     places = places.select(row, "place", _type(F.col("word")).alias("type"), _type(F.col("next")).alias("follow"), _capital(F.col("next")).alias("capital"), F.col("word").endswith("..").alias("dots"))
-    found = places.where(~(F.col("dots") & F.col("capital"))).join(_met(ends.going_on.withColumn("goes_on", F.lit(True))), ["type", "follow", "capital"], "left")
+    places = places.where(~(F.col("dots") & F.col("capital")))
+    short = ends.given[0]
+    if short.count() <= LIST_SIZE:  # all but those of ``going_on`` can be left out before the join
+        places = places.join(F.broadcast(short.withColumn("short", F.lit(True))), "type", "left")
+        places = places.where(F.col("dots") | F.coalesce("short", F.lit(False)) | (F.col("type") == NUMBER) | _initial(F.col("type")) | (F.col("follow") == NUMBER))
+    found = places.join(_met(ends.going_on.withColumn("goes_on", F.lit(True))), ["type", "follow", "capital"], "left")
     found = found.where(F.col("dots") | F.col("goes_on").isNotNull())
     found = found.groupBy(row).agg(F.sort_array(F.collect_list("place")).alias(name))
     return df.join(found.hint("merge"), row, "left")

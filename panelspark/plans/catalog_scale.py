@@ -145,9 +145,10 @@ def _prose(spark, d):
     t = F.col("text")
     for a, b in ((" of ", " U.S. "), (" and ", " Inc. "), (" with ", " No. 5 "), (" de ", " J. K. ")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    flat = F.trim(F.regexp_replace(t, f"{text.WS.replace(' ', '')}{text.WS}*| {text.WS}+", " "))  # a lone blank stays
-    docs = V.table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
-    return docs.repartition(F.xxhash64("doc_id", "text")).select("doc_id", flat.alias("text"))  # a file may be one task
+    flat = F.trim(F.regexp_replace(t, f"(?![!-~])(?:{text.WS.replace(' ', '')}{text.WS}*| {text.WS}+)", " "))  # a lone blank stays
+    docs = V.table(spark, d, "documents").where(F.col("text").isNotNull()).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row")  # a file may be one task
+    return docs.select("row", "doc_id", flat.alias("text"))
 
 
 @query("abbreviation_scores", f"with {LEARNT_SQL} select type, cast(n as bigint) as n, cast(k as bigint) as n_dotted, score >= 0.3 as is_short, round(score, 6) + 0.0 as score from scored")
@@ -172,7 +173,7 @@ sent as (select doc_id, s, string_agg(token, ' ' order by nth) as sentence from
 select doc_id, count(*) as n_sentences, md5(string_agg(sentence, chr(10) order by s)) as sentences_md5 from sent group by doc_id""")
 def q_sentence_ends(spark, d):
     """Every text split at the learned ends."""
-    prose = materialize(_prose(spark, d).withColumn("row", F.monotonically_increasing_id()))  # written: the same number at each reading
+    prose = materialize(_prose(spark, d), by="row")
     ends = sentences.learn_sentence_ends(prose, "text")
     own = sentences.open_ends(prose.where("text <> ''"), "row", "text", ends, "open")
     own = own.select("doc_id", sentences.sentence_array(F.col("text"), F.col("open")).alias("s"))

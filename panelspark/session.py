@@ -84,10 +84,22 @@ def clear_scratch(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def materialize(df):
+def materialize(df, by: str | None = None):
     """Cut lineage at a fan-out point: the rows are written once, in one job, as Parquet
     under the cluster's ``spark.checkpoint.dir`` and read back. Later stages read the files,
-    so the upstream plan runs once and a lost executor costs no more than reading again."""
-    path = scratch_path(df.sparkSession, "rows")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    so the upstream plan runs once and a lost executor costs no more than reading again.
+
+    ``by``: in as many hash buckets of that column as shuffles have partitions, among which the caller has dealt out the rows;
+    a later join on it reads the buckets where they lie and shuffles its other side only."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "rows")
+    out = df.write.option("compression", "zstd")
+    if by is None:
+        out.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = f"rows_{path.rsplit('-', 1)[1]}"
+    out.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(table)
+    found = spark.table(table)
+    found.schema  # resolved now; the catalog's entry for the files isn't needed any more
+    spark.sql(f"DROP TABLE {table}")
+    return found

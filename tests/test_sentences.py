@@ -127,3 +127,19 @@ def test_long_words_are_read_whole(spark):
     ends = S.SentenceEnds((word,), ("the",), (f"{word} ##", f"a{'b' * 99} ##"))
     assert split(spark, ends, f"{word}. {number} a. {word}. Then") == [f"{word}. {number} a. {word}. Then"]
     assert split(spark, ends, f"A{'b' * 99}. {number}. b{'b' * 99}. {number}{' ' * 90}c") == [f"A{'b' * 99}. {number}.", f"b{'b' * 99}.", f"{number}{' ' * 90}c"]
+
+
+def test_texts_are_dealt_out_and_stay_where_they_lie(spark, monkeypatch, capsys):
+    """One file isn't one task, and the places meet the texts without another shuffle of these."""
+    from panelspark.plans import catalog_scale
+
+    seen, learn = [], S.learn_sentence_ends
+    monkeypatch.setattr(catalog_scale.sentences, "learn_sentence_ends", lambda df, t: seen.append(df) or learn(df, t))
+    out = catalog_scale.q_sentence_ends(spark, SF001)
+    files = seen[0].inputFiles()
+    assert len(files) > 4 and "documents" not in files[0]
+    out.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(row") <= 1 and "SortMergeJoin [row" in plan and "Bucketed: true" in plan
+    keys = seen[0].select("row")
+    assert keys.distinct().count() == keys.count() == spark.read.parquet(f"{SF001}/documents.parquet").where("text is not null").count()
