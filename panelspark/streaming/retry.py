@@ -89,11 +89,14 @@ def retry_extraction(spark: SparkSession, in_path: str, schema: T.StructType | s
         q = (rows.groupBy("key").transformWithState(Attempts(attempt, tries, delay_ms), LOG, "Append", "ProcessingTime")
              .writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).start())
         try:
-            end = time.monotonic() + patience_s
-            # empty batches run as long as timers may wait; the first of them has seen all files
+            end, first = time.monotonic() + patience_s, None
+            # empty batches run as long as timers may wait; the first may be one that the stop before cut off, done again
+            # without the files that came since; a later one, or a wait for data, has seen all files
             while time.monotonic() < end and not q.awaitTermination(0.2):
                 p = q.lastProgress
-                idle = p["numInputRows"] == 0 if p else q.status["message"].startswith("Waiting")
+                first = p["batchId"] if p and first is None else first
+                waits = q.status["message"]
+                idle = p["numInputRows"] == 0 and (p["batchId"] > first or waits.startswith("Waiting for data")) if p else waits.startswith("Waiting")
                 if idle and not pending["n"]:
                     break
         finally:
